@@ -56,14 +56,18 @@ def day_month(day: Column) -> Column:
     return F.date_format(day, "dd.MM.")
 
 
+def _two_digits(x: Column) -> Column:
+    return F.lpad(x.cast("int").cast("string"), 2, "0")
+
+
 def hour_label(hour: Column) -> Column:
-    return F.format_string("%02d:00", hour.cast("int"))
+    """'08:00'; NULL stays NULL."""
+    return F.concat(_two_digits(hour), F.lit(":00"))
 
 
 def clock(minute: Column) -> Column:
     """Minutes after midnight -> 'HH:MM'."""
-    minute = minute.cast("int")
-    return F.format_string("%02d:%02d", F.floor(minute / 60).cast("int"), minute % 60)
+    return F.concat(_two_digits(F.floor(minute / 60)), F.lit(":"), _two_digits(minute % 60))
 
 
 def time_span(start_min: Column, end_min: Column) -> Column:

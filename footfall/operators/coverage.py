@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import NONE, gap_text, hour_label
@@ -33,39 +33,34 @@ def scheduled_by_hour(employees: DataFrame, shifts: DataFrame, *,
             .groupBy(*keys, "weekday", "hour").agg(F.count(F.lit(1)).alias("scheduled")))
 
 
-def _absent_by_hour(days: DataFrame, employees: DataFrame, shifts: DataFrame,
-                    absences: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Planned but absent employees per date and hour.
+def _absent_by_hour(employees: DataFrame, shifts: DataFrame, absences: DataFrame,
+                    first_day: Column, last_day: Column, keys: Sequence[str]) -> DataFrame:
+    """Planned but absent employees per date and hour between two days.
 
-    Only absent employees meet dates: an absence is narrowed to the span of the
-    series' demand days and expanded to single days, each counted once.
+    Only absent employees meet dates: an absence is cut to the two days and
+    expanded to single days, each counted once.
     """
-    away = dated_absences(absences).select("emp_id", "start_date", "end_date")
-    planned = _working_hours(employees, shifts, keys)
-    bounds = days.groupBy(*keys).agg(F.min("date_local").alias("lo"),
-                                     F.max("date_local").alias("hi"))
-    who = active_employees(employees).select(*keys, F.col("id").alias("emp_id"))
-    spans = who.join(away, "emp_id")
-    spans = spans.join(bounds, list(keys)) if keys else spans.withColumn("one", F.lit(1)).join(
-        bounds.withColumn("one", F.lit(1)), "one")
-    first, last = F.greatest("start_date", "lo"), F.least("end_date", "hi")
-    off = (spans.withColumn("a", first).withColumn("b", last).filter("a <= b")
+    start, end = F.greatest("start_date", first_day), F.least("end_date", last_day)
+    off = (dated_absences(absences)
+           .select("emp_id", start.alias("a"), end.alias("b")).filter("a <= b")
            .select("emp_id", F.explode(F.sequence("a", "b")).alias("date_local")).distinct()
            .withColumn("weekday", iso_weekday(F.col("date_local"))))
     hours = F.sequence(F.col("start_h"), F.col("end_h") - 1)
-    return (off.join(planned, ["emp_id", "weekday"])
+    return (off.join(_working_hours(employees, shifts, keys), ["emp_id", "weekday"])
             .select(*keys, "date_local", F.explode(hours).alias("hour"))
             .groupBy(*keys, "date_local", "hour").agg(F.count(F.lit(1)).alias("away")))
 
 
 def coverage_by_hour(demand: DataFrame, employees: DataFrame, shifts: DataFrame,
                      absences: DataFrame | None = None, *,
+                     days: tuple[str, str] | None = None,
                      keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Required and scheduled staff for every demand hour, with gap and status.
 
     ``demand`` has keys, date_local, hour and recommended_staff.  Supply is the
     weekly roster by hour less those absent on the date, so employees are never
-    multiplied by dates.
+    multiplied by dates.  ``absences`` needs ``days``, the first and last day of the
+    demand (a forecast knows them); demand outside of them is an error.
     """
     rows = demand.select(*keys, "date_local", "hour",
                          F.col("recommended_staff").cast("bigint").alias("required"),
@@ -74,7 +69,13 @@ def coverage_by_hour(demand: DataFrame, employees: DataFrame, shifts: DataFrame,
                      [*keys, "weekday", "hour"], "left")
     scheduled = F.coalesce("scheduled", F.lit(0))
     if absences is not None:
-        away = _absent_by_hour(demand, employees, shifts, absences, keys)
+        if days is None:
+            raise ValueError("absences need the first and last day of the demand")
+        first_day, last_day = (F.lit(str(d)).cast("date") for d in days)
+        rows = rows.withColumn("date_local", F.when(
+            F.col("date_local").between(first_day, last_day), F.col("date_local")).otherwise(
+                F.raise_error(F.lit("demand outside of the given days")).cast("date")))
+        away = _absent_by_hour(employees, shifts, absences, first_day, last_day, keys)
         rows = rows.join(away, [*keys, "date_local", "hour"], "left")
         scheduled = scheduled - F.coalesce("away", F.lit(0))
     rows = rows.withColumn("scheduled", scheduled).withColumn(

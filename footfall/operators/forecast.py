@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from footfall.functions.labels import hour_label
 from footfall.functions.numbers import (
-    STAFF_STEPS, half_even, half_even_1, not_negative, share, staff_for, truncate)
+    STAFF_STEPS, half_even, half_even_1, not_negative, staff_for, truncate)
 from footfall.functions.timeparts import hours_after_midnight
-from footfall.operators.features import seasonal_profile
+from footfall.operators.features import QUARTILES, seasonal_profile
 from footfall.operators.ranking import first_rows
 from footfall.sources.calendar import horizon
 
@@ -51,13 +51,24 @@ def baseline_by_weekday_and_holiday(daily: DataFrame, *, as_of: Column, days: in
 
     Future days count as ordinary days unless ``calendar`` is given.  Without keys an
     empty history raises; with keys a series without history has no rows.
+
+    All profiles of a series come from one grouping: a conditional percentile per
+    season over at most one value per calendar day, merged map-side.
     """
-    overall = (seasonal_profile(daily, by=(), keys=keys)
-               .withColumnsRenamed({"q1": "all_q1", "median": "all_median", "q3": "all_q3"}))
-    if not keys:
-        overall = overall.withColumn("all_median", F.coalesce("all_median", F.raise_error(
-            F.lit("no history to forecast from")).cast("double")))
-    ahead = horizon(overall, as_of, days)
+    flags = (False,) if calendar is None else (False, True)
+    value, weekday, holiday = F.col("visitors"), F.col("weekday"), F.col("is_public_holiday")
+    seasons = [(weekday == d) & (holiday == F.lit(flag)) for flag in flags for d in range(1, 8)]
+    profile = daily.groupBy(*keys).agg(
+        F.count("visitors").alias("n_days"),
+        F.percentile(value, QUARTILES).alias("overall"),
+        F.array(*[F.percentile(F.when(season, value), QUARTILES) for season in seasons])
+        .alias("profiles"))
+    if keys:
+        profile = profile.filter("n_days > 0")
+    else:
+        profile = profile.withColumn("n_days", F.when(F.col("n_days") > 0, F.col("n_days")).otherwise(
+            F.raise_error(F.lit("no history to forecast from")).cast("bigint")))
+    ahead = horizon(profile, as_of, days).filter("n_days > 0")
     if calendar is None:
         ahead = ahead.withColumn("is_public_holiday", F.lit(False))
     else:
@@ -65,15 +76,11 @@ def baseline_by_weekday_and_holiday(daily: DataFrame, *, as_of: Column, days: in
                             "date_local", "left")
                  .withColumn("is_public_holiday",
                              F.coalesce("is_public_holiday", F.lit(False))))
-    season = ("weekday", "is_public_holiday")
-    profile = seasonal_profile(daily, by=season, keys=keys)
-    if calendar is None:
-        profile = profile.filter(~F.col("is_public_holiday"))
-    joined = ahead.join(profile, [*keys, *season], "left")
-    return joined.select(
-        *keys, "date_local", "weekday", "is_public_holiday",
-        *_band(F.coalesce("q1", "all_q1"), F.coalesce("median", "all_median"),
-               F.coalesce("q3", "all_q3")))
+    position = F.col("weekday") + F.when(F.col("is_public_holiday"), 7).otherwise(0)
+    q = F.coalesce(F.element_at("profiles", position), F.col("overall"))
+    return (ahead.withColumn("q", q)
+            .select(*keys, "date_local", "weekday", "is_public_holiday",
+                    *_band(F.col("q")[0], F.col("q")[1], F.col("q")[2])))
 
 
 def normalize_forecast(df: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:

@@ -229,6 +229,27 @@ def synthetic_series(spark, sf):
         views.daily_series(spark, sf).select("site_id", "date_local"), _date(views.SERIES_TODAY))
 
 
+@query
+def demo_history(spark, sf):
+    """The demonstration month of every supplier."""
+    sites = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site_id"))
+    return synthetic.demo_last_days(sites, views.SERIES_TODAY)
+
+
+@query
+def demo_forecast(spark, sf):
+    """The demonstration day of every customer: the day shape itself."""
+    sites = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("site_id"))
+    day = synthetic.demo_daily_forecast(sites, views.SERIES_TODAY, sum(forecast.DAY_SHAPE))
+    return forecast.hourly_split(day, extra=("change_next_pct",))
+
+
+@query
+def demo_hours(spark, sf):
+    sites = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("site_id"))
+    return synthetic.demo_hour_profile(sites)
+
+
 # ---- staff -----------------------------------------------------------------
 
 def _staff(spark, sf):
@@ -262,6 +283,25 @@ def plan_search(spark, sf):
         "site_id", "id", "name", "role", "total_hours")
 
 
+@query
+def week_map(spark, sf):
+    """The weekday map of every employee, opened again to one row per weekday."""
+    emp, sh, _ = _staff(spark, sf)
+    return (shifts.week_map(emp, sh).select("site_id", "id", F.explode("shifts").alias("day", "s"))
+            .select("site_id", "id", "day", F.col("s.start"), F.col("s.end")))
+
+
+@query
+def role_names(spark, sf):
+    emp, sh, _ = _staff(spark, sf)
+    return shifts.role_names(shifts.weekly_plan(emp, sh))
+
+
+@query
+def absent_ids(spark, sf):
+    return shifts.absent_on_day(views.absences(spark, sf), as_of=views.EVENTS_NOW)
+
+
 @query
 def weekly_coverage(spark, sf):
     emp, sh, _ = _staff(spark, sf)
@@ -286,7 +326,8 @@ def _demand_hours(spark, sf):
 
 
 def _coverage(spark, sf):
-    return coverage.coverage_by_hour(_demand_hours(spark, sf), *_staff(spark, sf))
+    return coverage.coverage_by_hour(_demand_hours(spark, sf), *_staff(spark, sf),
+                                     days=("2024-02-01", "2024-03-01"))
 
 
 @query
@@ -467,10 +508,23 @@ def kpi_report(spark, sf):
     return reports.kpi_report(
         demand=totals, history=history.history_summary(_last(spark, sf)),
         coverage=coverage.coverage_summary(
-            coverage.coverage_by_hour(hours, emp, sh, ab)),
+            coverage.coverage_by_hour(hours, emp, sh, ab, days=("2024-02-01", "2024-02-01"))),
         team=shifts.team_summary(emp, sh))
 
 
+@query
+def chart_frames(spark, sf):
+    """The history frames behind the charts, stacked with their chart name."""
+    last = _last(spark, sf)
+    frames = reports.chart_frames(last=last, by_weekday=history.weekday_profile(last))
+    trend = frames["trend"].select("site_id", F.lit("trend").alias("chart"),
+                                   F.col("chart_label").alias("x"), F.col("visitors").alias("y"))
+    weekday = frames["by_weekday"].select("site_id", F.lit("by_weekday").alias("chart"),
+                                          F.col("label").alias("x"),
+                                          F.col("avg_visitors").alias("y"))
+    return trend.unionByName(weekday)
+
+
 @query
 def table_audit(spark, sf):
     def t(name, ts, *key):
