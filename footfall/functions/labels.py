@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from footfall.functions.literals import literal
 from footfall.functions.numbers import half_even, half_even_1
 
 # fixed values: labels shown to users
@@ -21,7 +22,8 @@ NONE = "–"
 
 def pick(names: tuple[str, ...], number: Column) -> Column:
     """The name at a 1-based position."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), number.cast("int"))
+    texts = F.expr("array(" + ", ".join(literal(n) for n in names) + ")")
+    return F.element_at(texts, number.cast("int"))
 
 
 def weekday_label(number: Column) -> Column:

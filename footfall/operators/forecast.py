@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import hour_label
+from footfall.functions.literals import struct_array
 from footfall.functions.numbers import (
     STAFF_STEPS, half_even, half_even_1, not_negative, staff_for, truncate)
 from footfall.functions.timeparts import hours_after_midnight
@@ -56,13 +57,15 @@ def baseline_by_weekday_and_holiday(daily: DataFrame, *, as_of: Column, days: in
     season over at most one value per calendar day, merged map-side.
     """
     flags = (False,) if calendar is None else (False, True)
-    value, weekday, holiday = F.col("visitors"), F.col("weekday"), F.col("is_public_holiday")
-    seasons = [(weekday == d) & (holiday == F.lit(flag)) for flag in flags for d in range(1, 8)]
+    quartiles = ", ".join(f"{q}D" for q in QUARTILES)
+    seasons = ", ".join(
+        f"percentile(visitors, array({quartiles})) "
+        f"FILTER (WHERE weekday = {day} AND is_public_holiday = {flag})"
+        for flag in flags for day in range(1, 8))
     profile = daily.groupBy(*keys).agg(
         F.count("visitors").alias("n_days"),
-        F.percentile(value, QUARTILES).alias("overall"),
-        F.array(*[F.percentile(F.when(season, value), QUARTILES) for season in seasons])
-        .alias("profiles"))
+        F.percentile("visitors", QUARTILES).alias("overall"),
+        F.expr(f"array({seasons})").alias("profiles"))
     if keys:
         profile = profile.filter("n_days > 0")
     else:
@@ -133,8 +136,8 @@ def hourly_split(daily: DataFrame, *, keys: Sequence[str] = ("site_id",),
     A map-only expansion: totals, band and staff need no shuffle.  Without a full
     band it is 15 % around the hour, towards zero.
     """
-    weights = F.array(*[F.struct(F.lit(open_hour + i).alias("hour"),
-                                 F.lit(float(w)).alias("weight")) for i, w in enumerate(shape)])
+    weights = struct_array(("hour", "weight"),
+                           [(open_hour + i, float(w)) for i, w in enumerate(shape)])
     total_weight = float(sum(shape))
     hours = daily.select(*keys, "date_local", *extra,
                          half_even(F.col("forecast")).alias("day_total"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.labels import WEEKDAYS_SHORT, day_month, hour_label, weekday_label
+from footfall.functions.labels import day_month, hour_label, weekday_label
 from footfall.functions.numbers import half_even, half_even_1, truncate
 from footfall.functions.timeparts import DEFAULT_TZ, iso_weekday, local_hour
 from footfall.operators.features import daily_visitors, daily_weather
@@ -48,14 +48,14 @@ def hour_of_day_profile(visits: DataFrame, *, keys: Sequence[str] = ("site_id",)
 
 def weekday_profile(last: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Mean visitors per weekday of the last days, cut to whole numbers, 0 when empty."""
-    day = iso_weekday(F.col("date_local"))
-    means = F.array(*[
-        F.coalesce(truncate(F.sum(F.when(day == d, F.col("visitors")))
-                            / F.nullif(F.count_if(day == d), F.lit(0))), F.lit(0))
-        for d in range(1, 8)])
-    rows = F.array(*[F.struct(F.lit(d).alias("weekday"), F.lit(WEEKDAYS_SHORT[d - 1]).alias("label"),
-                              F.col("means")[d - 1].alias("avg_visitors")) for d in range(1, 8)])
-    return last.groupBy(*keys).agg(means.alias("means")).select(*keys, F.inline(rows))
+    means = ", ".join(
+        f"coalesce(cast(sum(visitors) FILTER (WHERE weekday = {d}) "
+        f"/ nullif(count_if(weekday = {d}), 0) AS BIGINT), 0)" for d in range(1, 8))
+    return (last.withColumn("weekday", iso_weekday(F.col("date_local")))
+            .groupBy(*keys).agg(F.expr(f"array({means})").alias("means"))
+            .select(*keys, F.posexplode("means").alias("pos", "avg_visitors"))
+            .select(*keys, (F.col("pos") + 1).alias("weekday"),
+                    weekday_label(F.col("pos") + 1).alias("label"), "avg_visitors"))
 
 
 def weather_points(last: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import (
-    WEEKDAYS_EN, WEEKDAYS_SHORT, absence_label, clock, status_label, time_span)
+    WEEKDAYS_EN, absence_label, clock, status_label, time_span, weekday_label)
 from footfall.functions.numbers import half_even, half_even_1
 from footfall.functions.timeparts import iso_weekday, now_local, today
 
@@ -127,15 +127,15 @@ def weekly_plan(employees: DataFrame, shifts: DataFrame, absences: DataFrame | N
     aggregates of one grouping, so a plan needs a single shuffle.
     """
     joined = active_employees(employees).join(
-        shifts, F.col("id") == F.col("employee_id"), "left")
-    days = range(1, 8)
-    on_day = [F.col("weekday") == d for d in days]
-    spans = [F.max(F.when(c, time_span(F.col("start_min"), F.col("end_min")))).alias(n)
-             for c, n in zip(on_day, WEEKDAYS_EN)]
-    lengths = [F.coalesce(F.max(F.when(c, F.col("end_min") - F.col("start_min"))) / 60.0,
-                          F.lit(0.0)) for c in on_day]
+        shifts, F.col("id") == F.col("employee_id"), "left").withColumn(
+            "span", time_span(F.col("start_min"), F.col("end_min")))
+    spans = [F.expr(f"max(span) FILTER (WHERE weekday = {d})").alias(name)
+             for d, name in enumerate(WEEKDAYS_EN, 1)]
+    # added day by day from Monday, in hours
+    hours = " + ".join(f"coalesce(max(end_min - start_min) FILTER (WHERE weekday = {d}) / 60.0D, 0.0D)"
+                       for d in range(1, 8))
     plan = joined.groupBy(*keys, "id", "name", "role").agg(
-        *spans, half_even_1(reduce(lambda a, b: a + b, lengths)).alias("total_hours"))
+        *spans, half_even_1(F.expr(hours)).alias("total_hours"))
     if absences is not None:
         badge = absence_on_day(absences, as_of=as_of).select(
             F.col("emp_id").alias("id"), F.col("label").alias("absence_label"))
@@ -159,8 +159,8 @@ def _weekday_counts(employees: DataFrame, shifts: DataFrame, keys: Sequence[str]
     """One row per key with the number of planned employees on each weekday."""
     joined = active_employees(employees).join(
         shifts, F.col("id") == F.col("employee_id"), "left")
-    return joined.groupBy(*keys).agg(
-        F.array(*[F.count_if(F.col("weekday") == d) for d in range(1, 8)]).alias("counts"))
+    counts = ", ".join(f"count_if(weekday = {d})" for d in range(1, 8))
+    return joined.groupBy(*keys).agg(F.expr(f"array({counts})").alias("counts"))
 
 
 def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
@@ -168,10 +168,9 @@ def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
     """Planned employees per weekday, all seven, with the share of the busiest day."""
     counts = _weekday_counts(employees, shifts, keys)
     top = F.greatest(F.array_max("counts"), F.lit(1))
-    days = F.array(*[F.struct(F.lit(d).alias("weekday"), F.lit(WEEKDAYS_SHORT[d - 1]).alias("label"),
-                              F.col("counts")[d - 1].alias("planned")) for d in range(1, 8)])
-    return (counts.select(*keys, top.alias("top"), F.inline(days))
-            .select(*keys, "weekday", "label", "planned",
+    return (counts.select(*keys, top.alias("top"), F.posexplode("counts").alias("pos", "planned"))
+            .withColumn("weekday", F.col("pos") + 1)
+            .select(*keys, "weekday", weekday_label(F.col("weekday")).alias("label"), "planned",
                     (F.col("planned") / F.col("top") * 100).cast("bigint").alias("height_pct")))
 
 
@@ -195,8 +194,7 @@ def team_summary(employees: DataFrame, shifts: DataFrame, *,
         F.map_from_entries(F.transform("r", lambda e: F.struct(e["role"], e["n"]))).alias("roles"),
         F.array_join(F.transform("r", lambda e: F.concat(e["n"].cast("string"), F.lit("× "),
                                                          e["role"])), " · ").alias("roles_text"),
-        F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS_SHORT]), busiest.cast("int"))
-        .alias("busiest_day"),
+        weekday_label(busiest).alias("busiest_day"),
         F.array_max("counts").alias("busiest_count"),
         (F.col("total_hours") / F.greatest(F.col("headcount"), F.lit(1)).cast("double"))
         .alias("mean_hours"))

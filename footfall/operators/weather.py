@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.functions.literals import constant_table
 from footfall.functions.timeparts import DEFAULT_TZ, local_time, now_local
 from footfall.operators.ranking import first_rows
 from footfall.sources.landed_json import days_ahead
@@ -40,9 +41,8 @@ UNKNOWN_ICON, UNKNOWN_TEXT = "cloud", "Unbekannt"
 
 
 def weather_code_table(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(c).alias("weather_code"), F.lit(i).alias("icon"),
-                     F.lit(t).alias("description")) for c, (i, t) in WEATHER_CODES.items()]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    return constant_table(spark, ("weather_code", "icon", "description"),
+                          [(code, *names) for code, names in WEATHER_CODES.items()])
 
 
 def with_weather_text(df: DataFrame) -> DataFrame:

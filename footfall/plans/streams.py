@@ -13,9 +13,6 @@ from footfall.session import work_dir
 from footfall.sinks.keyed import read_table
 from footfall.streaming import jobs
 
-_EVENTS = T.StructType.fromDDL(
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
-    "props STRING")
 _COPIES = T.StructType.fromDDL(
     "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, "
     "date_local DATE")
@@ -32,7 +29,7 @@ _FEATURES = T.StructType.fromDDL(
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet")
+    return (spark.readStream.schema(views.TABLES["events"]).option("pathGlobFilter", "events.parquet")
             .parquet(sf_dir).withColumn("ts", instant_from_utc(F.col("ts"))))
 
 

@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.functions.literals import constant_table, literal
+
 # fixed values: public holidays, by date
 FIXED_HOLIDAYS = (
     (1, 1, "Neujahr"),
@@ -67,11 +69,11 @@ def days_spanned(df: DataFrame, day: Column, keys: Sequence[str] = ()) -> DataFr
 
 def school_days(spark: SparkSession, breaks: Sequence[tuple[str, str]]) -> DataFrame:
     """Distinct days of inclusive (first, last) ranges."""
-    rows = [F.struct(F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b"))
-            for a, b in breaks]
-    ranges = (spark.range(1).select(F.inline(F.array(*rows))) if rows
-              else spark.createDataFrame([], "a DATE, b DATE"))
-    return ranges.select(F.explode(F.sequence("a", "b")).alias("date_local")).distinct()
+    if not breaks:
+        return spark.createDataFrame([], "date_local DATE")
+    ranges = constant_table(spark, ("a", "b"), [(str(a), str(b)) for a, b in breaks])
+    return ranges.select(F.explode(F.sequence(F.to_date("a"), F.to_date("b")))
+                         .alias("date_local")).distinct()
 
 
 def calendar(days: DataFrame, *, breaks: Sequence[tuple[str, str]] | DataFrame = SCHOOL_BREAKS,
@@ -83,19 +85,20 @@ def calendar(days: DataFrame, *, breaks: Sequence[tuple[str, str]] | DataFrame =
     Two holidays on one day give both names in alphabetical order.
     """
     spark = days.sparkSession
-    day = F.col("date_local")
-    after_easter = F.datediff(day, easter_sunday(F.year(day)))
-    names = [F.when((F.month(day) == m) & (F.dayofmonth(day) == d), name) for m, d, name in fixed]
-    names += [F.when(after_easter == F.lit(offset), name) for offset, name in movable]
-    found = F.array_sort(F.array_compact(F.array(*names)))
+    rules = [f"CASE WHEN month(date_local) = {m} AND day(date_local) = {d} THEN {literal(n)} END"
+             for m, d, n in fixed]
+    rules += [f"CASE WHEN after_easter = {offset} THEN {literal(n)} END" for offset, n in movable]
+    found = F.expr(f"array_sort(array_compact(array({', '.join(rules)})))")
+    after_easter = F.datediff("date_local", easter_sunday(F.year("date_local")))
     school = breaks if isinstance(breaks, DataFrame) else school_days(spark, breaks)
     school = school.select("date_local", F.lit(True).alias("in_break"))
-    return (days.withColumn("found", found)
+    return (days.withColumn("after_easter", after_easter)
+            .withColumn("found", found)
             .join(school, "date_local", "left")
             .withColumn("is_public_holiday", F.size("found") > 0)
             .withColumn("is_school_holiday", F.coalesce("in_break", F.lit(False)))
             .withColumn("holiday_name", F.when(F.size("found") > 0, F.array_join("found", "; ")))
-            .drop("found", "in_break"))
+            .drop("found", "after_easter", "in_break"))
 
 
 def horizon(df: DataFrame, as_of: Column, days: int = 30, first_offset: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import hour_label, weekday_label
+from footfall.functions.literals import struct_array
 from footfall.functions.numbers import half_even_1, noise, truncate
 from footfall.functions.timeparts import iso_weekday, today
 
@@ -42,10 +43,9 @@ def demo_last_days(sites: DataFrame, as_of, days: int = 30) -> DataFrame:
 
 
 def demo_hour_profile(sites: DataFrame) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(8 + i).alias("hour"), F.lit(v).cast("bigint").alias("visitors"))
-                     for i, v in enumerate(DEMO_HOURS)])
-    keys = sites.columns
-    return (sites.select(*keys, F.inline(rows))
+    rows = struct_array(("hour", "visitors"), enumerate(DEMO_HOURS, 8))
+    return (sites.select(*sites.columns, F.inline(rows))
+            .withColumn("visitors", F.col("visitors").cast("bigint"))
             .withColumn("hour_label", hour_label(F.col("hour"))))
 
 
