@@ -23,7 +23,8 @@ def half_even_1(x: Column) -> Column:
     """One decimal, ties decided on the exact binary value of the double.
 
     0.35 is stored slightly below 7/20 and becomes 0.3.  ``10 * x`` is kept as an
-    exact sum of two doubles, so the comparison with the midpoint is exact.
+    exact sum of two doubles, so the comparison with the midpoint is exact.  ``x`` is
+    used several times: give it a column, not a long expression.
     """
     x = x.cast("double")
     high = x.cast("float").cast("double")

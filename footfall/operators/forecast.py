@@ -227,8 +227,9 @@ def day_change(daily: DataFrame, *, keys: Sequence[str] = ("site_id",),
               ).orderBy("date_local")
     total = half_even(F.col(value)).cast("double")
     following = F.lead(F.col(value).cast("double")).over(window)
-    change = half_even_1((following - total) / F.nullif(total, F.lit(0.0)) * 100.0)
-    return daily.withColumn("change_next_pct", change)
+    change = (following - total) / F.nullif(total, F.lit(0.0)) * 100.0
+    return (daily.withColumn("change_next_pct", change)
+            .withColumn("change_next_pct", half_even_1(F.col("change_next_pct"))))
 
 
 def shown_days(predictions: DataFrame, *, as_of: Column, preferred: str | None = None,

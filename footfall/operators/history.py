@@ -25,13 +25,13 @@ def last_days(visits: DataFrame, weather: DataFrame, *, days: int = 30,
     newest = first_rows(daily, keys, [F.col("date_local").desc()], days)
     wkeys = [k for k in keys if k in weather.columns]
     joined = newest.join(daily_weather(weather, keys=wkeys, tz=tz),
-                         [*wkeys, "date_local"], "left")
+                         [*wkeys, "date_local"], "left").fillna(0.0, ["avg_temp", "rain"])
     return joined.select(
         *keys, "date_local", weekday_label(iso_weekday(F.col("date_local"))).alias("day_label"),
         day_month(F.col("date_local")).alias("chart_label"),
         truncate(F.col("visitors")).alias("visitors"),
-        half_even_1(F.coalesce("avg_temp", F.lit(0.0))).alias("avg_temp_c"),
-        half_even_1(F.coalesce("rain", F.lit(0.0))).alias("rain_mm"))
+        half_even_1(F.col("avg_temp")).alias("avg_temp_c"),
+        half_even_1(F.col("rain")).alias("rain_mm"))
 
 
 def hour_of_day_profile(visits: DataFrame, *, keys: Sequence[str] = ("site_id",),

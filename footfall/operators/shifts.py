@@ -134,8 +134,9 @@ def weekly_plan(employees: DataFrame, shifts: DataFrame, absences: DataFrame | N
     # added day by day from Monday, in hours
     hours = " + ".join(f"coalesce(max(end_min - start_min) FILTER (WHERE weekday = {d}) / 60.0D, 0.0D)"
                        for d in range(1, 8))
-    plan = joined.groupBy(*keys, "id", "name", "role").agg(
-        *spans, half_even_1(F.expr(hours)).alias("total_hours"))
+    plan = (joined.groupBy(*keys, "id", "name", "role")
+            .agg(*spans, F.expr(hours).alias("total_hours"))
+            .withColumn("total_hours", half_even_1(F.col("total_hours"))))
     if absences is not None:
         badge = absence_on_day(absences, as_of=as_of).select(
             F.col("emp_id").alias("id"), F.col("label").alias("absence_label"))

@@ -8,7 +8,8 @@ write reads and replaces only the partitions its rows fall into.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -100,18 +101,27 @@ def write_partitions(df: DataFrame, path: str, partition: str, mode: str = "over
     return seen.get["rows"]
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows used more than once, kept on the executors unless the caller already does."""
+    if df.is_cached:
+        yield df
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                         partition: str, arrival: Sequence[Column] | None = None) -> int:
     """Append the rows whose key is not in the table; running it again adds nothing."""
-    spark = new.sparkSession
-    staged = new.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        target = _touched(read_table(spark, path, schema), staged, partition)
+    with _kept(new) as staged:
+        target = _touched(read_table(new.sparkSession, path, schema), staged, partition)
         on = [*key] if partition in key else [*key, partition]
         rows = absent_rows(staged, target, on, arrival=arrival)
         return write_partitions(rows.select(*schema.names), path, partition, "append")
-    finally:
-        staged.unpersist()
 
 
 def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
@@ -122,12 +132,8 @@ def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequen
     Spark writes the merged partitions to a staging folder and swaps them in when
     the whole job has succeeded.
     """
-    spark = new.sparkSession
-    staged = new.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        target = _touched(read_table(spark, path, schema), staged, partition)
+    with _kept(new) as staged:
+        target = _touched(read_table(new.sparkSession, path, schema), staged, partition)
         on = [*key] if partition in key else [*key, partition]
         rows = merged_rows(staged, target, on, update, arrival=arrival)
         return write_partitions(rows, path, partition)
-    finally:
-        staged.unpersist()

@@ -24,13 +24,13 @@ def synthetic_days(df: DataFrame, as_of: Column, day: str = "date_local") -> Dat
     n = F.datediff(as_of, F.col(day))
     workday = iso_weekday(F.col(day)) < 6
     temp = F.lit(14.0) + noise(n) * 8.0 + F.when(workday, 3.0).otherwise(0.0)
-    rain = half_even_1(F.greatest(F.lit(0.0), (noise(n * 3) - 0.6) * 12.0))
+    rain = F.greatest(F.lit(0.0), (noise(n * 3) - 0.6) * 12.0)
     wave = (noise(n * 7) - 0.5) * 180.0
-    return (df.withColumn("rain_mm", rain)
+    return (df.withColumns({"rain_mm": rain, "avg_temp_c": temp})
+            .withColumns({c: half_even_1(F.col(c)) for c in ("rain_mm", "avg_temp_c")})
             .withColumn("visitors", truncate(F.greatest(
                 F.lit(120.0),
                 F.when(workday, 720.0).otherwise(430.0) + wave - F.col("rain_mm") * 9.0)))
-            .withColumn("avg_temp_c", half_even_1(temp))
             .withColumn("day_label", weekday_label(iso_weekday(F.col(day)))))
 
 
