@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.functions.timeparts import instant_from_utc, local_date
 from footfall.operators.features import feature_store
 from footfall.plans import views
+from footfall.schemas import flat_schema
 from footfall.session import work_dir
 from footfall.sinks.keyed import read_table
 from footfall.streaming import jobs
 
-_COPIES = T.StructType.fromDDL(
+_COPIES = flat_schema(
     "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, "
     "date_local DATE")
-_HOURS = T.StructType.fromDDL(
+_HOURS = flat_schema(
     "site_id BIGINT, ts TIMESTAMP, count_enter BIGINT, count_exit BIGINT, date_local DATE")
-_DAYS = T.StructType.fromDDL(
+_DAYS = flat_schema(
     "site_id BIGINT, count_enter BIGINT, count_exit BIGINT, date_local DATE")
-_LAST_SEEN = T.StructType.fromDDL(
+_LAST_SEEN = flat_schema(
     "user_id BIGINT, ts TIMESTAMP, event_type STRING, value DOUBLE, part BIGINT")
-_FEATURES = T.StructType.fromDDL(
+_FEATURES = flat_schema(
     "site_id BIGINT, ts TIMESTAMP, hour_local INT, weekday INT, is_weekend BOOLEAN, "
     "is_public_holiday BOOLEAN, is_school_holiday BOOLEAN, temperature_c DOUBLE, "
     "precipitation_mm DOUBLE, weather_code INT, visitor_count BIGINT, date_local DATE")

@@ -8,36 +8,46 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "SMALLINT": T.ShortType(),
+    "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(),
+    "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
+}
+
+
+def flat_schema(columns: str) -> T.StructType:
+    """'name TYPE, name TYPE' of plain types; unlike a DDL text it needs no session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
 
-VISITS_HOURLY = _schema(
+VISITS_HOURLY = flat_schema(
     "site_id BIGINT, ts TIMESTAMP, count_enter BIGINT, count_exit BIGINT, fetched_at TIMESTAMP")
-WEATHER_HOURLY = _schema(
+WEATHER_HOURLY = flat_schema(
     "ts TIMESTAMP, temperature_c DOUBLE, precipitation_mm DOUBLE, weather_code INT, "
     "wind_speed_kmh DOUBLE, cloud_cover_pct INT, fetched_at TIMESTAMP")
-CALENDAR = _schema(
+CALENDAR = flat_schema(
     "date_local DATE, is_public_holiday BOOLEAN, is_school_holiday BOOLEAN, holiday_name STRING")
-FEATURE_STORE = _schema(
+FEATURE_STORE = flat_schema(
     "site_id BIGINT, ts TIMESTAMP, date_local DATE, hour_local INT, weekday INT, "
     "is_weekend BOOLEAN, is_public_holiday BOOLEAN, is_school_holiday BOOLEAN, "
     "temperature_c DOUBLE, precipitation_mm DOUBLE, weather_code INT, "
     "pedestrian_count INT, event_count_nearby SMALLINT, event_max_visitors INT, "
     "visitor_count BIGINT, created_at TIMESTAMP")
-PREDICTIONS = _schema(
+PREDICTIONS = flat_schema(
     "site_id BIGINT, model_name STRING, model_version STRING, date_local DATE, "
     "predicted_at TIMESTAMP, predicted_visitors DOUBLE, confidence_lower DOUBLE, "
     "confidence_upper DOUBLE")
-STAFFING_RECOMMENDATIONS = _schema(
+STAFFING_RECOMMENDATIONS = flat_schema(
     "site_id BIGINT, date_local DATE, shift STRING, start_min INT, end_min INT, "
     "predicted_visitors BIGINT, recommended_staff INT, demand_level STRING, "
     "model_version STRING, notes STRING, created_at TIMESTAMP")
-EMPLOYEES = _schema("id STRING, site_id BIGINT, name STRING, role STRING, active BOOLEAN")
-SHIFTS = _schema("employee_id STRING, weekday INT, start_min INT, end_min INT")
-ABSENCES = _schema("emp_id STRING, type STRING, start_date DATE, end_date DATE")
-FORECAST_CSV = _schema("datum STRING, forecast STRING, low STRING, high STRING")
-RUN_LOG = _schema(
+EMPLOYEES = flat_schema("id STRING, site_id BIGINT, name STRING, role STRING, active BOOLEAN")
+SHIFTS = flat_schema("employee_id STRING, weekday INT, start_min INT, end_min INT")
+ABSENCES = flat_schema("emp_id STRING, type STRING, start_date DATE, end_date DATE")
+FORECAST_CSV = flat_schema("datum STRING, forecast STRING, low STRING, high STRING")
+RUN_LOG = flat_schema(
     "run_id STRING, step STRING, rows BIGINT, seconds DOUBLE, finished_at TIMESTAMP")
 
 NATURAL_KEYS = {

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.functions.timeparts import DEFAULT_TZ, instant_from_local, local_date, now_local
 
@@ -25,9 +24,9 @@ _WEATHER_FIELDS = {
 }
 
 
-def _with_keys(keys: dict[str, str], column: str, kind: str) -> T.StructType:
+def _with_keys(keys: dict[str, str], column: str, kind: str) -> str:
     fields = [f"`{name}` {ktype}" for name, ktype in keys.items()]
-    return T.StructType.fromDDL(", ".join([*fields, f"`{column}` {kind}"]))
+    return ", ".join([*fields, f"`{column}` {kind}"])
 
 
 def read_count_pages(spark: SparkSession, path: str | Sequence[str], *,
