@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.functions.timeparts import instant_from_utc
+from footfall.schemas import NATURAL_KEYS, NOT_NULL
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -45,17 +45,19 @@ def duplicate_keys(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
                     "duplicate key " + ",".join(key))
 
 
-def missing_values(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    """Rows with NULL, one finding per column that must be filled; one scan for all."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(f"null {c}").alias("check_name"),
-                              F.col(c).alias("violations")) for c in columns])
+def broken_rules(df: DataFrame, table: str, rules: Mapping[str, Column]) -> DataFrame:
+    """Rows that break each named rule (a condition that is true for a bad row); one scan."""
+    names = list(rules)
+    counts = df.agg(*[F.count_if(rules[n]).alias(f"c{i}") for i, n in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"c{i}").alias("violations"))
+                     for i, n in enumerate(names)])
     return counts.select(F.inline(rows)).select(
         F.lit(table).alias("table_name"), "check_name", "violations")
 
 
-def broken_rule(df: DataFrame, table: str, check: str, bad: Column) -> DataFrame:
-    return _finding(df.agg(F.count_if(bad).alias("violations")), table, check)
+def missing_values(columns: Sequence[str]) -> dict[str, Column]:
+    """One rule per column that must be filled."""
+    return {f"null {c}": F.col(c).isNull() for c in columns}
 
 
 def orphans(child: DataFrame, table: str, column: str, parent: DataFrame,
@@ -73,18 +75,12 @@ def orphans(child: DataFrame, table: str, column: str, parent: DataFrame,
 def staff_constraints(employees: DataFrame, shifts: DataFrame) -> DataFrame:
     """The declared constraints of the staff tables as findings."""
     return _union([
-        duplicate_keys(employees, "employees", ["id"]),
-        missing_values(employees, "employees", ["id", "name", "role", "active"]),
-        duplicate_keys(shifts, "shifts", ["employee_id", "weekday"]),
-        missing_values(shifts, "shifts", ["employee_id", "weekday", "start_min", "end_min"]),
-        broken_rule(shifts, "shifts", "weekday outside 1..7",
-                    ~F.col("weekday").between(1, 7)),
-        broken_rule(shifts, "shifts", "end not after start",
-                    F.col("end_min") <= F.col("start_min")),
+        duplicate_keys(employees, "employees", NATURAL_KEYS["employees"]),
+        broken_rules(employees, "employees", missing_values(NOT_NULL["employees"])),
+        duplicate_keys(shifts, "shifts", NATURAL_KEYS["shifts"]),
+        broken_rules(shifts, "shifts", {
+            **missing_values(NOT_NULL["shifts"]),
+            "weekday outside 1..7": ~F.col("weekday").between(1, 7),
+            "end not after start": F.col("end_min") <= F.col("start_min")}),
         orphans(shifts, "shifts", "employee_id", employees, "id"),
     ])
-
-
-def naive_as_instant(df: DataFrame, *columns: str) -> DataFrame:
-    """Zone-less UTC columns as instants."""
-    return df.withColumns({c: instant_from_utc(F.col(c)) for c in columns})

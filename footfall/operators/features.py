@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.numbers import exact_mean, exact_sum
@@ -113,15 +113,23 @@ def seasonal_profile(daily: DataFrame, *, by: Sequence[str] = ("weekday",),
 
 def resample_daily(hourly: DataFrame, *, sums: Sequence[str] = (), means: Sequence[str] = (),
                    keys: Sequence[str] = ("site_id",), tz: str = "UTC") -> DataFrame:
-    """Every day from first to last per key: missing days have sum 0 and mean NULL."""
+    """Every day from first to last per key: missing days have sum 0 and mean NULL.
+
+    Each day with data is followed by the empty days up to the next one, so the gaps
+    are filled without joining a calendar.  The window sees one row per day.
+    """
     aggs = [F.sum(c).alias(c) for c in sums] + [exact_mean(F.col(c)).alias(c) for c in means]
-    days = (hourly.groupBy(*keys, local_date(F.col("ts"), tz).alias("date_local")).agg(*aggs))
-    span = days.groupBy(*keys).agg(F.min("date_local").alias("a"), F.max("date_local").alias("b"))
-    spine = (span.filter("a IS NOT NULL")
-             .select(*keys, F.explode(F.sequence("a", "b")).alias("date_local")))
-    filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in sums]
-    return (spine.join(days, [*keys, "date_local"], "left")
-            .select(*keys, "date_local", *filled, *means))
+    days = (hourly.groupBy(*keys, local_date(F.col("ts"), tz).alias("day")).agg(*aggs)
+            .filter("day IS NOT NULL"))
+    window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("day")
+    until = F.coalesce(F.date_sub(F.lead("day").over(window), 1), F.col("day"))
+    filled = days.withColumn("until", until).select(
+        *keys, *sums, *means, F.posexplode(F.sequence("day", "until")).alias("gap", "date_local"))
+    has_data = F.col("gap") == 0
+    return filled.select(
+        *keys, "date_local",
+        *[F.when(has_data, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in sums],
+        *[F.when(has_data, F.col(c)).alias(c) for c in means])
 
 
 def series_stats(df: DataFrame, *, day: Column, flag: Column | None = None,

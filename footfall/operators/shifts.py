@@ -7,7 +7,6 @@ start_min, end_min), absences (emp_id, type, start_date, end_date).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +73,20 @@ def shift_status(start_min: Column, end_min: Column, now_seconds: Column) -> Col
             .when(start_min.isNotNull(), "active"))
 
 
+def _on_duty(employees: DataFrame, shifts: DataFrame, absences: DataFrame, as_of) -> DataFrame:
+    """Active employees with the day's shift and its status; both NULL when off duty."""
+    now = now_local(as_of)
+    seconds = (F.hour(now) * 3600 + F.minute(now) * 60 + F.extract(F.lit("SECOND"), now)
+               ).cast("double")
+    own = shifts.filter(F.col("weekday") == iso_weekday(today(as_of)))
+    status = F.when(F.col("start_min").isNotNull(), F.when(F.col("type").isNotNull(), "absent").otherwise(
+        shift_status(F.col("start_min"), F.col("end_min"), seconds)))
+    return (active_employees(employees)
+            .join(own, F.col("id") == F.col("employee_id"), "left")
+            .join(absence_on_day(absences, as_of=as_of), F.col("id") == F.col("emp_id"), "left")
+            .withColumn("status", status))
+
+
 def shift_board(employees: DataFrame, shifts: DataFrame, absences: DataFrame, *, as_of,
                 keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Everyone with a shift on the day of ``as_of`` (a local wall-clock time).
@@ -81,35 +94,23 @@ def shift_board(employees: DataFrame, shifts: DataFrame, absences: DataFrame, *,
     ``status_rank`` then ``start`` is the order of display.  An absent employee is
     "absent" at any hour.
     """
-    now = now_local(as_of)
-    seconds = (F.hour(now) * 3600 + F.minute(now) * 60 + F.extract(F.lit("SECOND"), now)
-               ).cast("double")
-    own = shifts.filter(F.col("weekday") == iso_weekday(today(as_of)))
-    rows = (active_employees(employees)
-            .join(own, F.col("id") == F.col("employee_id"))
-            .join(absence_on_day(absences, as_of=as_of), F.col("id") == F.col("emp_id"), "left"))
-    status = F.when(F.col("type").isNotNull(), "absent").otherwise(
-        shift_status(F.col("start_min"), F.col("end_min"), seconds))
-    rank = reduce(lambda c, s: c.when(F.col("status") == s[1], s[0]),
-                  enumerate(("break", "coming", "done", "absent"), 1),
-                  F.when(F.col("status") == "active", 0))
+    rows = _on_duty(employees, shifts, absences, as_of).filter(F.col("start_min").isNotNull())
+    rank = F.array_position(F.expr("array('active', 'break', 'coming', 'done', 'absent')"),
+                            F.col("status")) - 1
     section = (F.when(F.col("status").isin("active", "break"), "active")
                .when(F.col("status") != "done", F.col("status")))
-    return (rows.withColumn("status", status)
-            .select(*keys, "id", "name", "role", clock(F.col("start_min")).alias("start"),
-                    clock(F.col("end_min")).alias("end"), "status",
-                    F.col("label").alias("absence_label"),
-                    status_label(F.col("status"), F.col("label")).alias("status_label"),
-                    rank.alias("status_rank"), section.alias("section")))
+    return rows.select(*keys, "id", "name", "role", clock(F.col("start_min")).alias("start"),
+                       clock(F.col("end_min")).alias("end"), "status",
+                       F.col("label").alias("absence_label"),
+                       status_label(F.col("status"), F.col("label")).alias("status_label"),
+                       rank.cast("int").alias("status_rank"), section.alias("section"))
 
 
 def shift_summary(employees: DataFrame, shifts: DataFrame, absences: DataFrame, *, as_of,
                   keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Head counts of the board; a series with staff but nobody today has zeros."""
-    board = shift_board(employees, shifts, absences, as_of=as_of, keys=keys)
-    staff = active_employees(employees).select(*keys, "id")
     status = F.col("status")
-    counts = (staff.join(board.select("id", "status"), "id", "left").groupBy(*keys).agg(
+    counts = (_on_duty(employees, shifts, absences, as_of).groupBy(*keys).agg(
         F.count("status").alias("total_today"),
         F.count_if(status == "absent").alias("absent"),
         F.count_if(status.isin("active", "break")).alias("active_now"),
@@ -156,20 +157,15 @@ def search_plan(plan: DataFrame, *, search: str | None = None, role: str | None
     return plan
 
 
-def _weekday_counts(employees: DataFrame, shifts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key with the number of planned employees on each weekday."""
-    joined = active_employees(employees).join(
-        shifts, F.col("id") == F.col("employee_id"), "left")
-    counts = ", ".join(f"count_if(weekday = {d})" for d in range(1, 8))
-    return joined.groupBy(*keys).agg(F.expr(f"array({counts})").alias("counts"))
-
-
 def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
                     keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """Planned employees per weekday, all seven, with the share of the busiest day."""
-    counts = _weekday_counts(employees, shifts, keys)
+    joined = active_employees(employees).join(
+        shifts, F.col("id") == F.col("employee_id"), "left")
+    counts = ", ".join(f"count_if(weekday = {d})" for d in range(1, 8))
+    week = joined.groupBy(*keys).agg(F.expr(f"array({counts})").alias("counts"))
     top = F.greatest(F.array_max("counts"), F.lit(1))
-    return (counts.select(*keys, top.alias("top"), F.posexplode("counts").alias("pos", "planned"))
+    return (week.select(*keys, top.alias("top"), F.posexplode("counts").alias("pos", "planned"))
             .withColumn("weekday", F.col("pos") + 1)
             .select(*keys, "weekday", weekday_label(F.col("weekday")).alias("label"), "planned",
                     (F.col("planned") / F.col("top") * 100).cast("bigint").alias("height_pct")))
@@ -177,20 +173,23 @@ def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
 
 def team_summary(employees: DataFrame, shifts: DataFrame, *,
                  keys: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Head count, weekly hours, roles, busiest weekday (the first of equals)."""
+    """Head count, weekly hours, roles, busiest weekday (the first of equals).
+
+    Plan rows are grouped by role first: what is gathered per key afterwards is one
+    row per role, however many employees there are.
+    """
     plan = weekly_plan(employees, shifts, keys=keys)
-    # grouped by role first, so what is gathered per key is one row per role
     roles = plan.groupBy(*keys, "role").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"),
-        F.sum(F.col("total_hours").cast("decimal(18,1)")).alias("hours"))
+        F.sum(F.col("total_hours").cast("decimal(18,1)")).alias("hours"),
+        *[F.count(d).alias(d) for d in WEEKDAYS_EN])
+    counts = ", ".join(f"sum({d})" for d in WEEKDAYS_EN)
     team = roles.groupBy(*keys).agg(
         F.sum("n").alias("headcount"), F.sum("hours").cast("double").alias("total_hours"),
-        F.array_sort(F.collect_list(F.struct("first_id", "role", "n"))).alias("r"))
-    counts = _weekday_counts(employees, shifts, keys)
+        F.array_sort(F.collect_list(F.struct("first_id", "role", "n"))).alias("r"),
+        F.expr(f"array({counts})").alias("counts"))
     busiest = F.array_position("counts", F.array_max("counts"))
-    joined = (team.join(counts, list(keys)) if keys else team.withColumn("one", F.lit(1)).join(
-        counts.withColumn("one", F.lit(1)), "one").drop("one"))
-    return joined.select(
+    return team.select(
         *keys, "headcount", "total_hours",
         F.map_from_entries(F.transform("r", lambda e: F.struct(e["role"], e["n"]))).alias("roles"),
         F.array_join(F.transform("r", lambda e: F.concat(e["n"].cast("string"), F.lit("× "),
