@@ -420,7 +420,7 @@ ORACLE: dict[str, str] = {
           FROM events GROUP BY 1, 2),
         spine AS (SELECT site_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day
           FROM (SELECT site_id, min(day) AS a, max(day) AS b FROM d GROUP BY 1))
-        SELECT s.site_id, s.day AS date_local, coalesce(count, 0) AS count, round_even(value, 4) AS value
+        SELECT s.site_id, s.day AS date_local, coalesce(count, 0) AS count, value
         FROM spine s LEFT JOIN d ON d.site_id = s.site_id AND d.day = s.day"""),
     "series_stats": _sql("""
         SELECT user_id, CAST(min(ts) AS DATE) AS first_date, CAST(max(ts) AS DATE) AS last_date,
@@ -538,8 +538,7 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, max(planned) OVER (PARTITION BY site_id) AS top FROM weekday_counts)""",
                             "weekday_counts"),
     "team_summary": _sql("""
-        SELECT site_id, headcount, total_hours, roles_text, busiest_day, busiest_count,
-          round_even(mean_hours, 6) AS mean_hours FROM team""", "team"),
+        SELECT * FROM team""", "team"),
     "scheduled_by_hour": _sql("SELECT * FROM scheduled", "scheduled"),
     "coverage_by_hour": _sql(f"""
         SELECT *, {_label('hour')} AS hour_label,

@@ -81,8 +81,7 @@ def horizon_dates(spark, sf):
 def resample_daily(spark, sf):
     hourly = views.events(spark, sf).withColumn(
         "count", F.floor("value").cast("bigint")).withColumn("site_id", F.col("user_id"))
-    return features.resample_daily(hourly, sums=("count",), means=("value",)).withColumn(
-        "value", F.bround("value", 4))
+    return features.resample_daily(hourly, sums=("count",), means=("value",))
 
 
 @query
@@ -311,8 +310,7 @@ def weekly_coverage(spark, sf):
 @query
 def team_summary(spark, sf):
     emp, sh, _ = _staff(spark, sf)
-    return shifts.team_summary(emp, sh).drop("roles").withColumn(
-        "mean_hours", F.bround("mean_hours", 6))
+    return shifts.team_summary(emp, sh).drop("roles")
 
 
 @query
