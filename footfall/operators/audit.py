@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from footfall.schemas import NATURAL_KEYS, NOT_NULL
 
@@ -33,6 +35,27 @@ def table_audit(tables: Mapping[str, tuple[DataFrame, str | None, Sequence[str]]
         "table_name", "n_rows", "min_ts", "max_ts", "null_keys")
 
 
+def stored_audit(spark: SparkSession,
+                 tables: Mapping[str, tuple[str, StructType, str | None, Sequence[str]]]
+                 ) -> DataFrame:
+    """:func:`table_audit` over Parquet folders; one that cannot be opened gives its error.
+
+    ``tables`` maps a name to (path, schema, time column or None, key columns).
+    """
+    opened, failed = {}, []
+    for name, (path, schema, ts, key) in tables.items():
+        try:
+            opened[name] = spark.read.schema(schema).parquet(path), ts, key
+        except AnalysisException as error:
+            failed.append((name, error.getCondition() or type(error).__name__))
+    kind = ("table_name STRING, n_rows BIGINT, min_ts TIMESTAMP_NTZ, max_ts TIMESTAMP_NTZ, "
+            "null_keys BIGINT, error STRING")
+    rows = spark.createDataFrame([(n, None, None, None, None, e) for n, e in failed], kind)
+    if opened:
+        rows = rows.unionByName(table_audit(opened).withColumn("error", F.lit(None).cast("string")))
+    return rows
+
+
 def _finding(df: DataFrame, table: str, check: str) -> DataFrame:
     return df.select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
                      F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall import schemas
-from footfall.functions.timeparts import DEFAULT_TZ, local_date, now_local, instant_from_local, today
+from footfall.functions.timeparts import (
+    DEFAULT_TZ, instant_from_local, local_date, now_local, today)
 from footfall.operators.features import daily_history, feature_store
 from footfall.operators.forecast import (
     BASELINE_HOLIDAY_VERSION, BASELINE_MODEL, as_predictions, baseline_by_weekday_and_holiday)
 from footfall.operators.staffing import staffing_recommendations
-from footfall.sinks.keyed import insert_ignore_table, read_table, upsert_table
+from footfall.sinks.keyed import (
+    insert_ignore_table, read_table, upsert_table, write_partitions)
 from footfall.sources.calendar import SCHOOL_BREAKS, calendar, days_between
 from footfall.sources.landed_json import read_count_pages, read_weather_arrays
 
@@ -112,10 +114,18 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
                             schema=_with_date(schemas.FEATURE_STORE), partition=_DATED,
                             update=update)
 
-    def forecast() -> DataFrame:
+    def write_days() -> int:
         features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
-        return baseline_by_weekday_and_holiday(
-            daily_history(features), as_of=today(as_of), days=cfg.horizon)
+        if cfg.since is not None:
+            features = features.filter(F.col(_DATED) >= F.lit(cfg.since).cast("date"))
+        # whole days are summed again, so their partitions are simply replaced
+        return write_partitions(daily_history(features).select(*schemas.DAILY_HISTORY.names),
+                                cfg.path("daily_history"), _DATED)
+
+    def forecast() -> DataFrame:
+        # the small daily table, not the hourly one, is read over its whole length
+        days = stored(spark, cfg, "daily_history", schemas.DAILY_HISTORY)
+        return baseline_by_weekday_and_holiday(days, as_of=today(as_of), days=cfg.horizon)
 
     def write_predictions() -> int:
         rows = as_predictions(forecast(), model_name=BASELINE_MODEL,
@@ -147,6 +157,7 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
     step("load calendar", load_calendar)
     if step("build features", build_features) == 0 and cfg.since is None:
         raise ValueError("the feature store is empty: no history to forecast from")
+    step("sum days", write_days)
     step("write predictions", write_predictions)
     step("write staffing", write_staffing)
 

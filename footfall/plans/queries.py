@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions import labels
 from footfall.functions.numbers import demand_level, staff_for
-from footfall.functions.timeparts import iso_weekday, today
+from footfall.functions.timeparts import iso_weekday, local_date, today
 from footfall.operators import (
     audit, coverage, evaluation, features, forecast, history, reports, shifts, staffing, weather)
 from footfall.plans import streams, views
@@ -87,7 +87,7 @@ def resample_daily(spark, sf):
 @query
 def series_stats(spark, sf):
     ev = views.events(spark, sf)
-    return features.series_stats(ev, day=F.to_date("ts"), flag=F.col("event_type") == "error",
+    return features.series_stats(ev, day=local_date(F.col("ts"), "UTC"), flag=F.col("event_type") == "error",
                                  keys=("user_id",))
 
 

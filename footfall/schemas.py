@@ -35,6 +35,8 @@ FEATURE_STORE = flat_schema(
     "temperature_c DOUBLE, precipitation_mm DOUBLE, weather_code INT, "
     "pedestrian_count INT, event_count_nearby SMALLINT, event_max_visitors INT, "
     "visitor_count BIGINT, created_at TIMESTAMP")
+DAILY_HISTORY = flat_schema(
+    "site_id BIGINT, visitors BIGINT, weekday INT, is_public_holiday BOOLEAN, date_local DATE")
 PREDICTIONS = flat_schema(
     "site_id BIGINT, model_name STRING, model_version STRING, date_local DATE, "
     "predicted_at TIMESTAMP, predicted_visitors DOUBLE, confidence_lower DOUBLE, "
@@ -55,6 +57,7 @@ NATURAL_KEYS = {
     "weather_hourly": ("ts",),
     "calendar": ("date_local",),
     "feature_store": ("site_id", "ts"),
+    "daily_history": ("site_id", "date_local"),
     "predictions": ("site_id", "model_name", "model_version", "date_local"),
     "staffing_recommendations": ("site_id", "date_local", "shift"),
     "employees": ("id",),

@@ -74,7 +74,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         return spark.createDataFrame([], schema)
 
 
-def _touched(target: DataFrame, new: DataFrame, partition: str) -> DataFrame:
+def touched_partitions(target: DataFrame, new: DataFrame, partition: str) -> DataFrame:
     """Target rows of the partitions ``new`` falls into, by static partition pruning.
 
     Reads at most MAX_LISTED_PARTITIONS + 1 distinct values; with more, the range of
@@ -118,7 +118,7 @@ def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key:
                         partition: str, arrival: Sequence[Column] | None = None) -> int:
     """Append the rows whose key is not in the table; running it again adds nothing."""
     with _kept(new) as staged:
-        target = _touched(read_table(new.sparkSession, path, schema), staged, partition)
+        target = touched_partitions(read_table(new.sparkSession, path, schema), staged, partition)
         on = [*key] if partition in key else [*key, partition]
         rows = absent_rows(staged, target, on, arrival=arrival)
         return write_partitions(rows.select(*schema.names), path, partition, "append")
@@ -133,7 +133,7 @@ def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequen
     the whole job has succeeded.
     """
     with _kept(new) as staged:
-        target = _touched(read_table(new.sparkSession, path, schema), staged, partition)
+        target = touched_partitions(read_table(new.sparkSession, path, schema), staged, partition)
         on = [*key] if partition in key else [*key, partition]
         rows = merged_rows(staged, target, on, update, arrival=arrival)
         return write_partitions(rows, path, partition)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from footfall.functions.timeparts import DEFAULT_TZ, local_date
 from footfall.sinks.keyed import (
-    insert_ignore_table, read_table, upsert_table, write_partitions)
+    insert_ignore_table, read_table, touched_partitions, upsert_table, write_partitions)
 
 AVAILABLE_NOW: Mapping[str, object] = {"availableNow": True}
 # fixed values: refresh cadence of the shift board and of the weather
@@ -95,3 +95,31 @@ def daily_totals(hours: DataFrame, hour_path: str, day_path: str, *,
             dated.unpersist()
 
     return _start(hours, write, checkpoint, trigger, mode="update")
+
+
+def daily_totals_any_lateness(events: DataFrame, event_path: str, day_path: str, *,
+                              event_schema: T.StructType, key: Sequence[str],
+                              measures: Mapping[str, Column], checkpoint: str,
+                              keys: Sequence[str] = ("site_id",), ts: str = "ts",
+                              tz: str = DEFAULT_TZ,
+                              trigger: Mapping[str, object] = AVAILABLE_NOW) -> StreamingQuery:
+    """Totals per local day without a watermark: no event is ever too late.
+
+    Events are stored once per ``key``, then the local days of the batch are summed
+    again from the store and replaced as a whole.  It reads more than
+    :func:`daily_totals` and keeps no state.
+    """
+    def write(batch: DataFrame, _: int) -> None:
+        dated = batch.withColumn("date_local", local_date(F.col(ts), tz)).persist()
+        try:
+            insert_ignore_table(dated, event_path, schema=event_schema, key=key,
+                                partition="date_local")
+            stored = read_table(batch.sparkSession, event_path, event_schema)
+            totals = (touched_partitions(stored, dated, "date_local")
+                      .groupBy(*keys, "date_local")
+                      .agg(*[F.sum(c).alias(name) for name, c in measures.items()]))
+            write_partitions(totals, day_path, "date_local")
+        finally:
+            dated.unpersist()
+
+    return _start(events, write, checkpoint, trigger)

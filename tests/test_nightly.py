@@ -1,10 +1,13 @@
 import json
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from footfall import schemas
+from footfall.operators.audit import stored_audit
+from footfall.operators.features import daily_history
 from footfall.plans.nightly import NightlyConfig, run, stored
 
 START = datetime(2025, 4, 24, tzinfo=timezone.utc)
@@ -53,7 +56,7 @@ def test_run_and_run_again(spark, tmp_path):
              "s": stored(spark, cfg, "staffing_recommendations", schemas.STAFFING_RECOMMENDATIONS)}
     assert {t: sorted(map(tuple, df.collect()), key=repr) for t, df in again.items()} == before
     log = spark.read.parquet(cfg.path("run_log"))
-    assert log.count() == 12 and log.select("run_id").distinct().count() == 2
+    assert log.count() == 14 and log.select("run_id").distinct().count() == 2
     rows = {r.step: r.rows for r in log.filter("step LIKE 'load%'").groupBy("step").agg(
         F.min("rows").alias("rows")).collect()}
     assert rows == {"load visits": 0, "load weather": 0, "load calendar": 0}
@@ -72,6 +75,28 @@ def test_corrections_and_new_days(spark, tmp_path):
     assert sorted(created.values()) == [28, 27 * 28]
 
 
+def test_rebuild_from_a_day_on(spark, tmp_path):
+    run(spark, _land(tmp_path, 27), AS_OF - timedelta(days=1))
+    cfg = replace(_land(tmp_path, 28), since="2025-05-20")
+    run(spark, cfg, AS_OF)
+    days = stored(spark, cfg, "daily_history", schemas.DAILY_HISTORY)
+    full = daily_history(stored(spark, cfg, "feature_store", schemas.FEATURE_STORE))
+    columns = ["site_id", "date_local", "visitors", "weekday", "is_public_holiday"]
+    got = sorted(map(tuple, days.select(columns).collect()))
+    assert len(got) == 56 and got == sorted(map(tuple, full.select(columns).collect()))
+
+
+def test_audit_of_stored_tables(spark, tmp_path):
+    cfg = _land(tmp_path, 2)
+    run(spark, cfg, datetime(2025, 4, 26, 3))
+    rows = {r.table_name: r for r in stored_audit(spark, {
+        "features": (cfg.path("feature_store"), schemas.FEATURE_STORE, "ts", ["site_id", "ts"]),
+        "missing": (cfg.path("nothing"), schemas.FEATURE_STORE, "ts", ["site_id"])}).collect()}
+    assert rows["features"].n_rows == 56 and rows["features"].error is None
+    assert rows["features"].min_ts == datetime(2025, 4, 24, 6) and rows["features"].null_keys == 0
+    assert rows["missing"].error == "PATH_NOT_FOUND" and rows["missing"].n_rows is None
+
+
 def test_no_history_is_an_error(spark, tmp_path):
     cfg = _land(tmp_path, 0)
     with pytest.raises(ValueError, match="no history"):

@@ -78,3 +78,23 @@ def test_repeated_batch_changes_nothing(spark):
         jobs.upsert_stream(stream, path, schema=TABLE, key=["event_id"], partition="date_local",
                            update=["n"], checkpoint=work_dir(spark, "cp")).awaitTermination()
     assert read_table(spark, path, TABLE).count() == 40
+
+
+def test_totals_without_a_watermark(spark):
+    source, events, days, checkpoint = (work_dir(spark, n) for n in ("src", "ev", "days", "cp"))
+
+    def run():
+        jobs.daily_totals_any_lateness(
+            _stream(spark, source), events, days, event_schema=TABLE, key=["event_id"],
+            measures={"n": F.col("n")}, checkpoint=checkpoint).awaitTermination()
+
+    _land(spark, source, range(50))
+    run()
+    # one copy of old events, and new ones a year late
+    _land(spark, source, range(40, 60))
+    _land(spark, source, range(100, 130), timedelta(days=-365))
+    run()
+    want = (spark.read.schema(EVENT).parquet(source).dropDuplicates(["event_id"])
+            .groupBy("site_id", local_date(F.col("ts")).alias("d")).agg(F.sum("n")))
+    got = read_table(spark, days, DAYS).select("site_id", "date_local", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
