@@ -66,6 +66,11 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
     run_id = uuid.uuid4().hex
     stamp = instant_from_local(now_local(as_of), cfg.tz)
     log: list[tuple[str, str, int, float]] = []
+    # the local days rebuilt, and the days forecast
+    recent = (F.col(_DATED).isNotNull() if cfg.since is None
+              else F.col(_DATED) >= F.lit(cfg.since).cast("date"))
+    ahead = F.col(_DATED).between(F.date_add(today(as_of), 1),
+                                  F.date_add(today(as_of), cfg.horizon))
 
     def step(name: str, work: Callable[[], int]) -> int:
         start = time.monotonic()
@@ -100,9 +105,7 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
     def build_features() -> int:
         visits = stored(spark, cfg, "visits_hourly", schemas.VISITS_HOURLY)
         weather = stored(spark, cfg, "weather_hourly", schemas.WEATHER_HOURLY)
-        if cfg.since is not None:
-            day = F.col(_DATED) >= F.lit(cfg.since).cast("date")
-            visits, weather = visits.filter(day), weather.filter(day)
+        visits, weather = visits.filter(recent), weather.filter(recent)
         days = read_table(spark, cfg.path("calendar"), schemas.CALENDAR)
         rows = feature_store(visits.drop(_DATED), weather, days, tz=cfg.tz).withColumn(
             "created_at", stamp)
@@ -112,14 +115,12 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
             "event_max_visitors")]
         return upsert_table(rows, cfg.path("feature_store"), key=["site_id", "ts"],
                             schema=_with_date(schemas.FEATURE_STORE), partition=_DATED,
-                            update=update)
+                            update=update, within=recent)
 
     def write_days() -> int:
         features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
-        if cfg.since is not None:
-            features = features.filter(F.col(_DATED) >= F.lit(cfg.since).cast("date"))
         # whole days are summed again, so their partitions are simply replaced
-        return write_partitions(daily_history(features).select(*schemas.DAILY_HISTORY.names),
+        return write_partitions(daily_history(features.filter(recent)).select(*schemas.DAILY_HISTORY.names),
                                 cfg.path("daily_history"), _DATED)
 
     def forecast() -> DataFrame:
@@ -132,23 +133,21 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
                               model_version=cfg.model_version, predicted_at=stamp)
         return upsert_table(
             rows, cfg.path("predictions"), schema=_with_date(schemas.PREDICTIONS),
-            key=schemas.NATURAL_KEYS["predictions"], partition=_DATED,
+            key=schemas.NATURAL_KEYS["predictions"], partition=_DATED, within=ahead,
             update=["predicted_visitors", "confidence_lower", "confidence_upper", "predicted_at"])
 
     def write_staffing() -> int:
         # from the stored forecast of this run, not a second computation of it
         made = (stored(spark, cfg, "predictions", schemas.PREDICTIONS)
                 .filter((F.col("model_name") == BASELINE_MODEL)
-                        & (F.col("model_version") == cfg.model_version)
-                        & F.col(_DATED).between(F.date_add(today(as_of), 1),
-                                                F.date_add(today(as_of), cfg.horizon)))
+                        & (F.col("model_version") == cfg.model_version) & ahead)
                 .withColumnRenamed("predicted_visitors", "forecast"))
         rows = (staffing_recommendations(made)
                 .withColumns({"notes": F.lit(None).cast("string"), "created_at": stamp}))
         return upsert_table(
             rows, cfg.path("staffing_recommendations"),
             schema=_with_date(schemas.STAFFING_RECOMMENDATIONS),
-            key=schemas.NATURAL_KEYS["staffing_recommendations"], partition=_DATED,
+            key=schemas.NATURAL_KEYS["staffing_recommendations"], partition=_DATED, within=ahead,
             update=["start_min", "end_min", "predicted_visitors", "recommended_staff",
                     "demand_level", "model_version", "created_at"])
 

@@ -114,26 +114,48 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+@contextmanager
+def _sides(new: DataFrame, path: str, schema: T.StructType, partition: str,
+           within: Column | None) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The new rows and the stored rows they may meet.
+
+    ``within`` is a condition on the partition column that holds for all new rows: the
+    rows are then used once and need not be kept.  A row outside of it is an error.
+    """
+    stored = read_table(new.sparkSession, path, schema)
+    if within is None:
+        with _kept(new) as kept:
+            yield kept, touched_partitions(stored, kept, partition)
+        return
+    outside = F.raise_error(F.lit(f"row outside of the given {partition} range"))
+    checked = F.when(within, F.col(partition)).otherwise(
+        outside.cast(schema[partition].dataType))
+    yield new.withColumn(partition, checked), stored.filter(within)
+
+
+def _with_partition(key: Sequence[str], partition: str) -> list[str]:
+    """The partition is a function of the key; naming it narrows the join."""
+    return [*key] if partition in key else [*key, partition]
+
+
 def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
-                        partition: str, arrival: Sequence[Column] | None = None) -> int:
+                        partition: str, arrival: Sequence[Column] | None = None,
+                        within: Column | None = None) -> int:
     """Append the rows whose key is not in the table; running it again adds nothing."""
-    with _kept(new) as staged:
-        target = touched_partitions(read_table(new.sparkSession, path, schema), staged, partition)
-        on = [*key] if partition in key else [*key, partition]
-        rows = absent_rows(staged, target, on, arrival=arrival)
-        return write_partitions(rows.select(*schema.names), path, partition, "append")
+    with _sides(new, path, schema, partition, within) as (rows, target):
+        added = absent_rows(rows, target, _with_partition(key, partition), arrival=arrival)
+        return write_partitions(added.select(*schema.names), path, partition, "append")
 
 
 def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                  partition: str, update: Sequence[str],
-                 arrival: Sequence[Column] | None = None) -> int:
+                 arrival: Sequence[Column] | None = None, within: Column | None = None) -> int:
     """Merge rows into the table; running it again changes nothing.
 
     Spark writes the merged partitions to a staging folder and swaps them in when
     the whole job has succeeded.
     """
-    with _kept(new) as staged:
-        target = touched_partitions(read_table(new.sparkSession, path, schema), staged, partition)
-        on = [*key] if partition in key else [*key, partition]
-        rows = merged_rows(staged, target, on, update, arrival=arrival)
-        return write_partitions(rows, path, partition)
+    with _sides(new, path, schema, partition, within) as (rows, target):
+        merged = merged_rows(rows, target, _with_partition(key, partition), update,
+                             arrival=arrival)
+        return write_partitions(merged, path, partition)

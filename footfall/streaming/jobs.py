@@ -84,6 +84,8 @@ def daily_totals(hours: DataFrame, hour_path: str, day_path: str, *,
         try:
             # one row per changed local day, bounded by the days kept in state
             days = [r[0] for r in dated.select("date_local").distinct().collect()]
+            if not days:
+                return
             upsert_table(dated, hour_path, schema=hour_schema, key=[*keys, "ts"],
                          partition="date_local", update=list(measures))
             totals = (read_table(spark, hour_path, hour_schema)

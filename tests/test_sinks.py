@@ -101,6 +101,20 @@ def test_many_partitions_fall_back_to_a_range(spark, monkeypatch):
     assert insert_ignore_table(rows, path, **args) == 0
 
 
+def test_known_partitions(spark):
+    path = work_dir(spark, "t")
+    january = F.col("d").between(F.lit("2026-01-01").cast("date"), F.lit("2026-01-31").cast("date"))
+    args = dict(schema=SCHEMA, key=["k"], partition="d", update=["v"], within=january)
+    rows = _df(spark, [(i, "a", "n", date(2026, 1, 1 + i % 3)) for i in range(30)])
+    upsert_table(rows, path, **args)
+    before = _set(read_table(spark, path, SCHEMA))
+    upsert_table(rows, path, **args)
+    assert _set(read_table(spark, path, SCHEMA)) == before and len(before) == 30
+    with pytest.raises(Exception, match="outside"):
+        upsert_table(_df(spark, [(1, "x", "n", date(2026, 2, 1))]), path, **args)
+    assert _set(read_table(spark, path, SCHEMA)) == before
+
+
 def test_one_key_with_most_rows(spark):
     """A third of all rows under one key still leaves exactly one row of it."""
     new = spark.range(30000).select(
