@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from footfall.llm import exact_dedup, mixing, secrets, simhash, token_counts, token_ids
+from footfall.llm import (exact_dedup, mixing, quality, secrets, simhash, token_counts, token_ids,
+                          toxicity)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_ids": token_ids.op4_token_ids,
+    "op6_quality": quality.op6_quality,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
