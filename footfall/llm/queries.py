@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from footfall.llm import (exact_dedup, mixing, quality, secrets, simhash, token_counts, token_ids,
-                          toxicity)
+from footfall.llm import (decontamination, exact_dedup, mixing, quality, secrets, simhash,
+                          token_counts, token_ids, toxicity)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_ids": token_ids.op4_token_ids,
     "op6_quality": quality.op6_quality,
+    "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
