@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from footfall.llm import (decontamination, exact_dedup, mixing, quality, secrets, simhash,
-                          token_counts, token_ids, toxicity)
+                          suffix_dedup, token_counts, token_ids, toxicity)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_token_ids": token_ids.op4_token_ids,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality": quality.op6_quality,
     "op7_decontaminate": decontamination.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
