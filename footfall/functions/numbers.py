@@ -73,8 +73,12 @@ def demand_level(peak: Column, steps: Sequence[tuple[float, str]] = DEMAND_STEPS
 
 
 def exact_sum(x: Column) -> Column:
-    """Sum that does not depend on row order: added as DECIMAL, returned as DOUBLE."""
-    return F.sum(x.cast("decimal(18,8)")).cast("double")
+    """Sum that does not depend on row order: added as DECIMAL, returned as DOUBLE.
+
+    Values may have 16 digits before the point; what they have beyond 12 after it is
+    rounded.
+    """
+    return F.sum(x.cast("decimal(28,12)")).cast("double")
 
 
 def exact_mean(x: Column) -> Column:

@@ -30,7 +30,7 @@ def _one(x: str) -> str:
 
 
 def _sum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,8))) AS DOUBLE)"
+    return f"CAST(sum(CAST({x} AS DECIMAL(28,12))) AS DOUBLE)"
 
 
 def _staff(x: str) -> str:
@@ -730,4 +730,12 @@ ORACLE: dict[str, str] = {
     "stream_upsert": """
         SELECT user_id, ts, event_type, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "stream_upsert_batches": """
+        SELECT user_id, ts, event_type, value + (CASE WHEN again THEN 1 ELSE 0 END) AS value
+        FROM (SELECT *, event_id % 2 = 0 AND user_id % 3 = 0 AS again, event_id % 2 = 0 AS early
+              FROM events)
+        QUALIFY row_number() OVER (PARTITION BY user_id
+          ORDER BY early AND NOT again, ts DESC, event_id DESC) = 1""",
 }
+ORACLE["insert_ignore_stored"] = ORACLE["insert_ignore"]
+ORACLE["upsert_stored"] = ORACLE["upsert_keyed"]

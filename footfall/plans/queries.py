@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from footfall.operators import (
 from footfall.plans import streams, views
 from footfall.session import work_dir
 from footfall.sinks.exports import write_csv
-from footfall.sinks.keyed import absent_rows, merged_rows
+from footfall.sinks.keyed import (
+    absent_rows, insert_ignore_table, merged_rows, read_table, upsert_table)
 from footfall.sources import calendar, fallback, landed_json, synthetic, tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,7 +128,8 @@ def baseline_calendar(spark, sf):
     """As baseline_holiday, but future holidays are looked up (none seen: overall values)."""
     return forecast.baseline_by_weekday_and_holiday(
         views.feature_days(spark, sf), as_of=_date("2024-03-15"), days=60,
-        calendar=views.calendar_2024(spark))
+        calendar=calendar.calendar(calendar.days_between(spark, "2024-03-15", "2024-05-20"),
+                                   breaks=views.SCHOOL_BREAKS_2024))
 
 
 @query
@@ -171,9 +174,15 @@ def normalize_forecast(spark, sf):
 
 @query
 def scan_forecast_csv(spark, sf):
+    """Files of two layouts in one folder: other orders and cases, an extra column."""
     path = work_dir(spark, "forecast-csv")
-    write_csv(_messy_forecast(spark, sf), path)
-    return tabular.read_forecast_csv(spark, path, keys=("site_id",))
+    rows = _messy_forecast(spark, sf)
+    odd = F.dayofmonth("Datum") % 2 == 1
+    write_csv(rows.filter(odd), f"{path}/a")
+    write_csv(rows.filter(~odd).select(
+        F.col("FORECAST").alias("Forecast"), F.lit("x, y").alias("note"), "High", "Low",
+        F.col("Datum").alias("DATUM"), "site_id"), f"{path}/b")
+    return tabular.read_forecast_csv(spark, [f"{path}/a", f"{path}/b"], keys=("site_id",))
 
 
 @query
@@ -433,6 +442,30 @@ def upsert_keyed(spark, sf):
                        arrival=[F.col("arrival")])
 
 
+@query
+def insert_ignore_stored(spark, sf):
+    """insert_ignore into a written table, in three writes; the last adds nothing new."""
+    stored, newer = _order_slices(spark, sf)
+    return _stored_orders(spark, stored, newer, insert_ignore_table)
+
+
+@query
+def upsert_stored(spark, sf):
+    """upsert_keyed into a written table, one delivery after the other."""
+    stored, newer = _order_slices(spark, sf)
+    return _stored_orders(spark, stored, newer, partial(
+        upsert_table, update=["o_totalprice", "o_orderpriority"]))
+
+
+def _stored_orders(spark, stored, newer, write):
+    path, part = work_dir(spark, "orders"), F.col("o_orderkey") % 4
+    schema = stored.withColumn("part", part.cast("bigint")).schema
+    for rows in (stored, newer.filter("arrival = 1"), newer.filter("arrival = 2")):
+        write(rows.drop("arrival").withColumn("part", part.cast("bigint")), path, schema=schema,
+              key=["o_orderkey"], partition="part")
+    return read_table(spark, path, schema).drop("part")
+
+
 @query
 def source_fallback(spark, sf):
     """Stored, file and demonstration totals: each customer takes the best it has."""
@@ -564,4 +597,5 @@ def display_labels(spark, sf):
 
 QUERIES.update(
     stream_dedup=streams.stream_dedup, stream_daily=streams.stream_daily,
-    stream_enrich=streams.stream_enrich, stream_upsert=streams.stream_upsert)
+    stream_enrich=streams.stream_enrich, stream_upsert=streams.stream_upsert,
+    stream_upsert_batches=streams.stream_upsert_batches)

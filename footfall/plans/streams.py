@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.timeparts import instant_from_utc, local_date
@@ -15,9 +15,12 @@ from footfall.streaming import jobs
 
 _COPIES = flat_schema(
     "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, "
+    "part BIGINT")
+_STORED = flat_schema(
+    "event_id BIGINT, site_id BIGINT, ts TIMESTAMP, event_type STRING, value DOUBLE, "
     "date_local DATE")
-_HOURS = flat_schema(
-    "site_id BIGINT, ts TIMESTAMP, count_enter BIGINT, count_exit BIGINT, date_local DATE")
+#: Partitions of tables that are kept by a key without a date.
+PARTS = 8
 _DAYS = flat_schema(
     "site_id BIGINT, count_enter BIGINT, count_exit BIGINT, date_local DATE")
 _LAST_SEEN = flat_schema(
@@ -29,29 +32,41 @@ _FEATURES = flat_schema(
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (spark.readStream.schema(views.TABLES["events"]).option("pathGlobFilter", "events.parquet")
-            .parquet(sf_dir).withColumn("ts", instant_from_utc(F.col("ts"))))
+    """The events table as a file stream, be it one file or a folder of files."""
+    path = f"{sf_dir}/events.parquet"
+    files = spark.read.schema(views.TABLES["events"]).parquet(path).inputFiles()
+    reader = spark.readStream.schema(views.TABLES["events"])
+    if len(files) == 1 and files[0].endswith("/events.parquet"):  # a stream reads folders only
+        reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
+    return reader.parquet(path).withColumn("ts", instant_from_utc(F.col("ts")))
+
+
+def _part(key: str) -> Column:
+    """A partition that follows from the key alone."""
+    return F.pmod(F.col(key), F.lit(PARTS))
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event delivered twice, stored once."""
     path, checkpoint = work_dir(spark, "events"), work_dir(spark, "events-checkpoint")
     stream = _events_stream(spark, sf_dir)
-    twice = stream.union(stream).withColumn("date_local", local_date(F.col("ts")))
+    twice = stream.union(stream).withColumn("part", _part("event_id"))
     jobs.ingest_once(twice.drop("props"), path, schema=_COPIES, key=["event_id"],
-                     partition="date_local", checkpoint=checkpoint).awaitTermination()
-    return views.as_naive_utc(read_table(spark, path, _COPIES), "ts")
+                     partition="part", follows_key=True,
+                     checkpoint=checkpoint).awaitTermination()
+    stored = read_table(spark, path, _COPIES).withColumn("date_local", local_date(F.col("ts")))
+    return views.as_naive_utc(stored, "ts").drop("part")
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events -> hourly sums -> totals per local day."""
-    hours_path, days_path = work_dir(spark, "hours"), work_dir(spark, "days")
+    """Events -> totals per local day, each event counted however late it comes."""
+    stored, days = work_dir(spark, "stored-events"), work_dir(spark, "days")
     stream = _events_stream(spark, sf_dir).withColumn("site_id", F.col("user_id") % 5)
-    measures = views.count_measures()
-    jobs.daily_totals(jobs.hourly_counts(stream, measures), hours_path, days_path,
-                      hour_schema=_HOURS, measures=list(measures),
-                      checkpoint=work_dir(spark, "days-checkpoint")).awaitTermination()
-    return read_table(spark, days_path, _DAYS)
+    jobs.daily_totals_any_lateness(
+        stream, stored, days, event_schema=_STORED, key=["event_id"],
+        measures=views.count_measures(),
+        checkpoint=work_dir(spark, "days-checkpoint")).awaitTermination()
+    return read_table(spark, days, _DAYS)
 
 
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +75,7 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.visits_hourly(spark, sf_dir).write.parquet(landed)
     stream = spark.readStream.schema(
         "site_id BIGINT, ts TIMESTAMP, count_enter BIGINT, count_exit BIGINT").parquet(landed)
-    rows = feature_store(stream, views.weather_hourly(spark, sf_dir), views.calendar_2024(spark))
+    rows = feature_store(stream, views.weather_hourly(spark, sf_dir), views.event_calendar(spark, sf_dir))
     jobs.upsert_stream(rows.select(*_FEATURES.names), path, schema=_FEATURES,
                        key=["site_id", "ts"], partition="date_local",
                        update=[c for c in _FEATURES.names
@@ -72,10 +87,33 @@ def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of every user, kept by upsert."""
     path = work_dir(spark, "last-seen")
-    stream = _events_stream(spark, sf_dir).withColumn("part", F.col("user_id") % 8)
+    stream = _events_stream(spark, sf_dir).withColumn("part", _part("user_id"))
     jobs.upsert_stream(stream.select("event_id", *_LAST_SEEN.names), path, schema=_LAST_SEEN,
                        key=["user_id"], partition="part",
                        update=["ts", "event_type", "value"],
                        arrival=[F.col("ts"), F.col("event_id")],
                        checkpoint=work_dir(spark, "last-seen-checkpoint")).awaitTermination()
     return views.as_naive_utc(read_table(spark, path, _LAST_SEEN), "ts").drop("part")
+
+
+def stream_upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest delivery of every user over two runs into one table.
+
+    The first run stores the even events.  The second meets its rows: odd events, of known
+    and of new users, and the even ones of every third user delivered again with a
+    changed value.
+    """
+    landed, path = work_dir(spark, "landed-events"), work_dir(spark, "last-seen")
+    checkpoint = work_dir(spark, "last-seen-checkpoint")
+    events = views.table(spark, sf_dir, "events").withColumn("ts", instant_from_utc(F.col("ts")))
+    even = F.col("event_id") % 2 == 0
+    again = events.filter(even & (F.col("user_id") % 3 == 0)).withColumn(
+        "value", F.col("value") + 1)
+    for delivery in (events.filter(even), events.filter(~even).unionByName(again)):
+        delivery.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(delivery.schema).parquet(landed)
+        jobs.upsert_stream(stream.withColumn("part", _part("user_id")).select(
+            "event_id", *_LAST_SEEN.names), path, schema=_LAST_SEEN, key=["user_id"],
+            partition="part", update=["ts", "event_type", "value"],
+            arrival=[F.col("ts"), F.col("event_id")], checkpoint=checkpoint).awaitTermination()
+    return views.as_naive_utc(read_table(spark, path, _LAST_SEEN), "ts").drop("part")

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.functions.timeparts import instant_from_utc, local_time
+from footfall.functions.timeparts import instant_from_utc, local_date, local_time
 from footfall.operators.features import daily_history, feature_store
 from footfall.operators.forecast import baseline_by_weekday
-from footfall.sources.calendar import calendar, days_between
+from footfall.sources.calendar import calendar, days_spanned
 
 EVENTS_NOW = "2024-01-31 12:00:00"
 WEATHER_NOW = "2024-01-15 12:20:00"
@@ -103,13 +103,15 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("weekday", F.weekday("date_local") + 1))
 
 
-def calendar_2024(spark: SparkSession) -> DataFrame:
-    return calendar(days_between(spark, "2023-12-31", "2024-12-31"), breaks=SCHOOL_BREAKS_2024)
+def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every local day from the first to the last event."""
+    days = days_spanned(events(spark, sf_dir), local_date(F.col("ts")))
+    return calendar(days, breaks=SCHOOL_BREAKS_2024)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_store(visits_hourly(spark, sf_dir), weather_hourly(spark, sf_dir),
-                         calendar_2024(spark))
+                         event_calendar(spark, sf_dir))
 
 
 def feature_days(spark: SparkSession, sf_dir: str) -> DataFrame:

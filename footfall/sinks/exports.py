@@ -15,7 +15,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_jdbc(df: DataFrame, url: str, table: str, *, block_rows: int = 1000,
                connections: int = 8, properties: Mapping[str, str] | None = None) -> None:
-    """Append to a database table in blocks, over a bounded number of connections."""
-    (df.coalesce(connections).write.format("jdbc").mode("append")
+    """Append to a database table in blocks, over a bounded number of connections.
+
+    Rows already written stay if a task is repeated or the job is run again: write to an
+    empty staging table and move the rows in one statement of the database.
+    """
+    (df.repartition(connections).write.format("jdbc").mode("append")
      .options(url=url, dbtable=table, batchsize=str(block_rows), **dict(properties or {}))
      .save())

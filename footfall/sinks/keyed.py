@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 
 from footfall.operators.ranking import first_rows
 
-# partition values are listed one by one up to this number, as a range beyond it
-MAX_LISTED_PARTITIONS = 1000
-
 
 def _one_per_key(df: DataFrame, key: Sequence[str], arrival: Sequence[Column] | None,
                  last: bool) -> DataFrame:
@@ -75,17 +72,26 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def touched_partitions(target: DataFrame, new: DataFrame, partition: str) -> DataFrame:
-    """Target rows of the partitions ``new`` falls into, by static partition pruning.
+    """Target rows of the partitions that ``new`` falls into, and of no others.
+
+    A semi-join on the partition values: Spark prunes the target's partitions by them at
+    run time, and nothing is collected, however many there are.
+    """
+    return target.join(new.select(partition).distinct(), partition, "left_semi")
+
+
+def without_nulls(new: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``new``, failing at the first row that has no value in one of ``columns``.
 
-    Reads at most MAX_LISTED_PARTITIONS + 1 distinct values; with more, the range of
-    the values is used, which is never too narrow.
+    A key or partition of NULL equals no stored one, so such a row could neither be found
+    again nor replaced.
     """
-    values = [r[0] for r in new.select(partition).distinct()
-              .limit(MAX_LISTED_PARTITIONS + 1).collect()]
-    if len(values) <= MAX_LISTED_PARTITIONS:
-        return target.filter(F.col(partition).isin(values))
-    low, high = new.agg(F.min(partition), F.max(partition)).first()
-    return target.filter(F.col(partition).between(low, high))
+    def checked(name: str) -> Column:
+        fail = F.raise_error(F.lit(f"NULL in {name}, which names a stored row"))
+        return F.when(F.col(name).isNotNull(), F.col(name)).otherwise(
+            fail.cast(new.schema[name].dataType))
+
+    return new.withColumns({name: checked(name) for name in dict.fromkeys(columns)})
 
 
 def write_partitions(df: DataFrame, path: str, partition: str, mode: str = "overwrite") -> int:
@@ -115,22 +121,25 @@ def _kept(df: DataFrame) -> Iterator[DataFrame]:
 
 
 @contextmanager
-def _sides(new: DataFrame, path: str, schema: T.StructType, partition: str,
-           within: Column | None) -> Iterator[tuple[DataFrame, DataFrame]]:
+def _sides(new: DataFrame, path: str, schema: T.StructType, key: Sequence[str], partition: str,
+           within: Column | None, follows_key: bool) -> Iterator[tuple[DataFrame, DataFrame]]:
     """The new rows and the stored rows they may meet.
 
     ``within`` is a condition on the partition column that holds for all new rows: the
     rows are then used once and need not be kept.  A row outside of it is an error.
     """
     stored = read_table(new.sparkSession, path, schema)
-    if within is None:
+    new = without_nulls(new, [*key, partition])
+    if within is not None:
+        outside = F.raise_error(F.lit(f"row outside of the given {partition} range"))
+        checked = F.when(within, F.col(partition)).otherwise(
+            outside.cast(schema[partition].dataType))
+        yield new.withColumn(partition, checked), stored.filter(within)
+    elif not follows_key:
+        yield new, stored
+    else:
         with _kept(new) as kept:
             yield kept, touched_partitions(stored, kept, partition)
-        return
-    outside = F.raise_error(F.lit(f"row outside of the given {partition} range"))
-    checked = F.when(within, F.col(partition)).otherwise(
-        outside.cast(schema[partition].dataType))
-    yield new.withColumn(partition, checked), stored.filter(within)
 
 
 def _with_partition(key: Sequence[str], partition: str) -> list[str]:
@@ -140,10 +149,16 @@ def _with_partition(key: Sequence[str], partition: str) -> list[str]:
 
 def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                         partition: str, arrival: Sequence[Column] | None = None,
-                        within: Column | None = None) -> int:
-    """Append the rows whose key is not in the table; running it again adds nothing."""
-    with _sides(new, path, schema, partition, within) as (rows, target):
-        added = absent_rows(rows, target, _with_partition(key, partition), arrival=arrival)
+                        within: Column | None = None, follows_key: bool = True) -> int:
+    """Append the rows whose key is not in the table; running it again adds nothing.
+
+    ``follows_key``: the partition is a function of the key, so only the partitions of the
+    new rows are read.  Without it the keys of the whole table are read, and a key that
+    comes again with another partition value is still the same key.
+    """
+    with _sides(new, path, schema, key, partition, within, follows_key) as (rows, target):
+        match = _with_partition(key, partition) if follows_key else [*key]
+        added = absent_rows(rows, target, match, arrival=arrival)
         return write_partitions(added.select(*schema.names), path, partition, "append")
 
 
@@ -152,10 +167,12 @@ def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequen
                  arrival: Sequence[Column] | None = None, within: Column | None = None) -> int:
     """Merge rows into the table; running it again changes nothing.
 
-    Spark writes the merged partitions to a staging folder and swaps them in when
-    the whole job has succeeded.
+    The partition must be a function of the key.  Merged partitions are staged and, when
+    the whole job has succeeded, replace the stored ones one after the other: a driver
+    lost in between leaves some partitions old or missing, so a table that must never be
+    seen half replaced needs a catalog format with MERGE.
     """
-    with _sides(new, path, schema, partition, within) as (rows, target):
+    with _sides(new, path, schema, key, partition, within, True) as (rows, target):
         merged = merged_rows(rows, target, _with_partition(key, partition), update,
                              arrival=arrival)
         return write_partitions(merged, path, partition)

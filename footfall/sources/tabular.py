@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.operators.forecast import normalize_forecast
@@ -12,16 +14,42 @@ from footfall.operators.forecast import normalize_forecast
 
 def read_forecast_csv(spark: SparkSession, path: str | Sequence[str], *,
                       columns: Sequence[str] = ("datum", "forecast", "low", "high"),
+                      required: Sequence[str] = ("datum", "forecast"),
                       keys: Sequence[str] = ()) -> DataFrame:
     """Daily forecast files -> (keys, date_local, forecast, low, high).
 
-    Headers match ``columns`` without regard to case; everything is read as text
-    and converted by :func:`normalize_forecast`, which turns bad numbers to NULL.
+    Each file's own header says where its columns are, in any order and case, among
+    others; of ``columns`` only ``required`` must be there, the rest is NULL where a file
+    lacks it.  Everything is read as text and converted by :func:`normalize_forecast`,
+    which turns bad numbers to NULL.  A value may be quoted but has no line breaks.  One
+    frame is planned per layout (distinct header); a file without a header is an error.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*keys, *columns)])
-    raw = (spark.read.option("header", True).option("enforceSchema", False)
-           .schema(schema).csv(path))
-    return normalize_forecast(raw, keys=keys)
+    wanted = [*keys, *columns]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"))
+    names = F.transform(F.split(F.lower(F.regexp_replace("value", "[\"\uFEFF]", "")), ","), F.trim)
+    titled = F.forall(F.array(*[F.lit(c.lower()) for c in (*keys, *required)]),
+                      lambda c: F.array_contains(names, c))
+    heads = lines.filter(titled).groupBy("__file").agg(F.min("value").alias("__head"))
+    layouts = [r[0] for r in heads.select("__head").distinct().collect()]  # few: not one per file
+    marked = lines.join(heads, "__file", "left").select("value", F.when(
+        F.col("__head").isNull(), F.raise_error(F.concat(
+            F.lit("no forecast header in "), "__file")).cast("string"))
+        .otherwise(F.col("__head")).alias("__head"))
+    frames = []
+    for head in layouts:
+        here = [c.strip().strip('"\ufeff').lower() for c in head.split(",")]
+        cells = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(len(here))))
+        rows = marked.filter((F.col("__head") == head) & (F.col("value") != head)).select(
+            cells.alias("cells"))
+        frames.append(rows.select(*[
+            (F.col(f"cells.c{here.index(c.lower())}") if c.lower() in here
+             else F.lit(None).cast("string")).alias(c) for c in wanted]))
+    if not frames:  # no file, no line or no header
+        empty = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
+        frames = [spark.createDataFrame([], empty).unionByName(marked.select(
+            *[F.col("__head").alias(c) for c in wanted]))]
+    return normalize_forecast(reduce(DataFrame.unionByName, frames), keys=keys)
 
 
 def query(spark: SparkSession, text: str, params: Mapping[str, object] | None = None,

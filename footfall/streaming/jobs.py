@@ -1,7 +1,7 @@
 """Streaming loads: deduplicated ingest, daily totals, enrichment, upsert.
 
 Every job writes through ``foreachBatch`` with a keyed write, so a batch repeated
-after a failure leaves the table as it was.  ``trigger`` is passed to
+after a failed task or job leaves the table as it was.  ``trigger`` is passed to
 ``writeStream.trigger``: ``{"availableNow": True}`` for a finite run,
 ``{"processingTime": "60 seconds"}`` for a refresh cadence.
 """
@@ -33,15 +33,17 @@ def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
 
 def ingest_once(stream: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                 partition: str, checkpoint: str, arrival: Sequence[Column] | None = None,
+                follows_key: bool = False,
                 trigger: Mapping[str, object] = AVAILABLE_NOW) -> StreamingQuery:
-    """Append each key once, however late a copy arrives.
+    """Append each key once, however late a copy arrives and whatever partition it names.
 
     The table itself is the memory of the keys seen, so no state grows with them and
-    nothing is too late: a batch is compared with the partitions it falls into.
+    nothing is too late.  With ``follows_key`` (the partition is a function of the key) a
+    batch is compared only with the partitions it falls into.
     """
     def write(batch: DataFrame, _: int) -> None:
         insert_ignore_table(batch, path, schema=schema, key=key, partition=partition,
-                            arrival=arrival)
+                            arrival=arrival, follows_key=follows_key)
 
     return _start(stream, write, checkpoint, trigger)
 
@@ -60,7 +62,11 @@ def upsert_stream(stream: DataFrame, path: str, *, schema: T.StructType, key: Se
 
 def hourly_counts(events: DataFrame, measures: Mapping[str, Column], *, ts: str = "ts",
                   keys: Sequence[str] = ("site_id",), delay: str = "7 days") -> DataFrame:
-    """Sums per series and hour of an event stream; state is kept for ``delay``."""
+    """Sums per series and hour of an event stream; state is kept for ``delay``.
+
+    Events later than that are not counted: use :func:`daily_totals_any_lateness` where
+    every event must count.
+    """
     return (events.withWatermark(ts, delay)
             .groupBy(*keys, F.window(ts, "1 hour").alias("w"))
             .agg(*[F.sum(c).alias(name) for name, c in measures.items()])
@@ -82,14 +88,10 @@ def daily_totals(hours: DataFrame, hour_path: str, day_path: str, *,
         spark = batch.sparkSession
         dated = batch.withColumn("date_local", local_date(F.col("ts"), tz)).persist()
         try:
-            # one row per changed local day, bounded by the days kept in state
-            days = [r[0] for r in dated.select("date_local").distinct().collect()]
-            if not days:
-                return
             upsert_table(dated, hour_path, schema=hour_schema, key=[*keys, "ts"],
                          partition="date_local", update=list(measures))
-            totals = (read_table(spark, hour_path, hour_schema)
-                      .filter(F.col("date_local").isin(days))
+            stored = read_table(spark, hour_path, hour_schema)
+            totals = (touched_partitions(stored, dated, "date_local")
                       .groupBy(*keys, "date_local")
                       .agg(*[F.sum(m).alias(m) for m in measures]))
             write_partitions(totals, day_path, "date_local")
@@ -115,7 +117,7 @@ def daily_totals_any_lateness(events: DataFrame, event_path: str, day_path: str,
         dated = batch.withColumn("date_local", local_date(F.col(ts), tz)).persist()
         try:
             insert_ignore_table(dated, event_path, schema=event_schema, key=key,
-                                partition="date_local")
+                                partition="date_local", follows_key=False)
             stored = read_table(batch.sparkSession, event_path, event_schema)
             totals = (touched_partitions(stored, dated, "date_local")
                       .groupBy(*keys, "date_local")

@@ -193,3 +193,11 @@ def test_demo_series_formula(spark):
         assert r.avg_temp_c == round(14 + 8 * seed(i) + (3 if work else 0), 1)
         assert r.visitors == int(max(120, (720 if work else 430) + (seed(i * 7) - 0.5) * 180
                                      - rain * 9))
+
+
+def test_exact_sums_of_large_and_small_values(spark):
+    from footfall.functions.numbers import exact_mean, exact_sum
+
+    frame = spark.createDataFrame([(2e10, 1e-9), (4e10, 3e-9), (None, None)], "a double, b double")
+    row = frame.select(exact_sum(F.col("a")), exact_mean(F.col("b"))).first()
+    assert row[0] == 6e10 and abs(row[1] - 2e-9) < 1e-15

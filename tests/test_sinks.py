@@ -1,3 +1,4 @@
+import glob
 from datetime import date
 
 import pytest
@@ -73,7 +74,6 @@ def test_upsert_table(spark):
 
 
 def test_only_touched_partitions_are_rewritten(spark):
-    import glob
     path = work_dir(spark, "t")
     args = dict(schema=SCHEMA, key=["k"], partition="d", update=["v"])
     upsert_table(_df(spark, [(i, "a", "n", date(2026, 1, 1 + i % 3)) for i in range(30)]), path, **args)
@@ -91,14 +91,42 @@ def test_empty_batch(spark):
     assert upsert_table(none, path, update=["v"], **args) == 0
 
 
-def test_many_partitions_fall_back_to_a_range(spark, monkeypatch):
-    from footfall.sinks import keyed
-    monkeypatch.setattr(keyed, "MAX_LISTED_PARTITIONS", 2)
+def test_only_partitions_that_occur_are_rewritten(spark):
+    """Two rows at the ends of a range leave all partitions between them alone."""
     path = work_dir(spark, "t")
     args = dict(schema=SCHEMA, key=["k"], partition="d")
     rows = _df(spark, [(i, "a", None, date(2026, 1, 1 + i % 9)) for i in range(27)])
     assert insert_ignore_table(rows, path, **args) == 27
     assert insert_ignore_table(rows, path, **args) == 0
+    files = lambda: {d: sorted(glob.glob(f"{path}/d=2026-01-0{d}/*.parquet"))
+                     for d in range(1, 10)}
+    before = files()
+    ends = _df(spark, [(0, "b", None, date(2026, 1, 1)), (8, "b", None, date(2026, 1, 9))])
+    upsert_table(ends, path, update=["v"], **args)
+    assert [d for d, names in files().items() if names != before[d]] == [1, 9]
+    assert read_table(spark, path, SCHEMA).count() == 27
+
+
+@pytest.mark.parametrize("row", [(3, "x", None, None), (None, "x", None, DAY)])
+def test_rows_without_key_or_partition_are_refused(spark, row):
+    path = work_dir(spark, "t")
+    args = dict(schema=SCHEMA, key=["k"], partition="d")
+    insert_ignore_table(_df(spark, [(2, "a", None, DAY)]), path, **args)
+    before = _set(read_table(spark, path, SCHEMA))
+    with pytest.raises(Exception, match="NULL in"):
+        upsert_table(_df(spark, [row]), path, update=["v"], **args)
+    with pytest.raises(Exception, match="NULL in"):
+        insert_ignore_table(_df(spark, [row]), path, **args)
+    assert _set(read_table(spark, path, SCHEMA)) == before
+
+
+def test_a_key_with_another_partition_is_the_same_key(spark):
+    path = work_dir(spark, "t")
+    args = dict(schema=SCHEMA, key=["k"], partition="d", follows_key=False)
+    assert insert_ignore_table(_df(spark, [(1, "a", None, DAY)]), path, **args) == 1
+    again = _df(spark, [(1, "b", None, date(2026, 2, 2)), (2, "b", None, date(2026, 2, 2))])
+    assert insert_ignore_table(again, path, **args) == 1
+    assert sorted(r.v for r in read_table(spark, path, SCHEMA).collect()) == ["a", "b"]
 
 
 def test_known_partitions(spark):

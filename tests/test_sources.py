@@ -70,3 +70,19 @@ def test_query_errors_reach_the_caller(spark):
     assert got.first().n == 6
     with pytest.raises(Exception):
         tabular.query(spark, "SELECT nothing FROM {t}", t=df).collect()
+
+
+def test_forecast_files_of_several_layouts(spark, tmp_path):
+    from footfall.sources.tabular import read_forecast_csv
+
+    files = {"a": "datum,forecast\n2026-01-01,10\n", "b": "Forecast,Datum,high,low\n20,2026-01-02,25,15\n",
+             "c": 'datum,note,"forecast",low,high\n2026-01-03,"x, y",30,n/a,35\n2026-01-04,,-4,1,2\n'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r.date_local.day: (r.forecast, r.low, r.high)
+           for r in read_forecast_csv(spark, str(tmp_path)).collect()}
+    assert got[1][0] == 10 and got[2] == (20, 15, 25)
+    assert got[3][0] == 30 and got[3][2] == 35 and set(got) == {1, 2, 3, 4}
+    (tmp_path / "d.csv").write_text("no,header\n1,2\n")
+    with pytest.raises(Exception, match="no forecast header"):
+        read_forecast_csv(spark, str(tmp_path)).collect()

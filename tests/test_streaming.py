@@ -98,3 +98,27 @@ def test_totals_without_a_watermark(spark):
             .groupBy("site_id", local_date(F.col("ts")).alias("d")).agg(F.sum("n")))
     got = read_table(spark, days, DAYS).select("site_id", "date_local", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_events_of_one_file_or_of_many(spark, sf_dir):
+    """Streams read the table whole, be it a file or a folder of files."""
+    from footfall.plans import streams, views
+
+    folder = work_dir(spark, "many-files")
+    views.table(spark, sf_dir, "events").repartition(3).write.parquet(f"{folder}/events.parquet")
+    for name in ("stream_dedup", "stream_daily", "stream_upsert"):
+        one, many = (sorted(map(repr, getattr(streams, name)(spark, d).collect()))
+                     for d in (sf_dir, folder))
+        assert one == many and one
+
+
+def test_late_events_are_counted(spark):
+    source, events, days, checkpoint = (work_dir(spark, n) for n in ("src", "ev", "days", "cp"))
+    for id_, day, n in ((1, 1, 5), (2, 20, 7), (3, 1, 100)):
+        spark.createDataFrame([(id_, 1, datetime(2025, 3, day, 12), n)], EVENT).coalesce(
+            1).write.mode("append").parquet(source)
+        jobs.daily_totals_any_lateness(
+            spark.readStream.schema(EVENT).parquet(source), events, days, event_schema=TABLE,
+            key=["event_id"], measures={"n": F.col("n")}, checkpoint=checkpoint).awaitTermination()
+    got = {r.date_local.day: r.n for r in read_table(spark, days, DAYS).collect()}
+    assert got == {1: 105, 20: 7}
