@@ -111,6 +111,23 @@ def seasonal_profile(daily: DataFrame, *, by: Sequence[str] = ("weekday",),
                     F.col("q")[2].cast("double").alias("q3")))
 
 
+def clip_outliers(daily: DataFrame, *, by: Sequence[str] = ("weekday",),
+                  keys: Sequence[str] = ("site_id",), value: str = "visitors",
+                  reach: float = 1.5) -> DataFrame:
+    """``daily`` with ``clipped``: the value within ``reach`` quartile distances of its season.
+
+    Rows with a NULL season or value keep their value.
+    """
+    profile = seasonal_profile(daily, by=by, keys=keys, value=value)
+    margin = (F.col("q3") - F.col("q1")) * reach
+    clipped = F.least(F.greatest(F.col(value).cast("double"), F.col("q1") - margin),
+                      F.col("q3") + margin)
+    seen = F.col(value).isNotNull() & F.col("q1").isNotNull()
+    return (daily.join(profile, [*keys, *by], "left")
+            .withColumn("clipped", F.when(seen, clipped).otherwise(F.col(value).cast("double")))
+            .select(*daily.columns, "clipped"))
+
+
 def resample_daily(hourly: DataFrame, *, sums: Sequence[str] = (), means: Sequence[str] = (),
                    keys: Sequence[str] = ("site_id",), tz: str = "UTC") -> DataFrame:
     """Every day from first to last per key: missing days have sum 0 and mean NULL.

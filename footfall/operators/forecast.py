@@ -109,14 +109,15 @@ def normalize_forecast(df: DataFrame, *, keys: Sequence[str] = ("site_id",)) ->
     date_kind = dict(df.dtypes)[day]
     date_local = (F.to_date(F.col(day).cast("timestamp_ntz")) if date_kind == "string"
                   else F.to_date(F.col(day)))
+    low, high = (next((names[n] for n in limits if n in names), None) for limits in (
+        ("low", "lower_limit_value"), ("high", "upper_limit_value")))
     return (df.select(*keys, date_local.alias("date_local"), number(value).alias("forecast"),
-                      number(names.get("low")).alias("low"),
-                      number(names.get("high")).alias("high"))
+                      number(low).alias("low"), number(high).alias("high"))
             .dropna(subset=["forecast"])
             .withColumn("forecast", F.greatest(F.col("forecast"), F.lit(0.0))))
 
 
-def as_predictions(forecast: DataFrame, *, model_name: str, model_version: str,
+def as_predictions(forecast: DataFrame, *, model_name: str, model_version: str | Column,
                    predicted_at: Column, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """A normalised forecast as rows of the prediction table."""
     return forecast.select(
@@ -127,6 +128,22 @@ def as_predictions(forecast: DataFrame, *, model_name: str, model_version: str,
         F.col("high").cast("double").alias("confidence_upper"))
 
 
+def imported_predictions(results: DataFrame, *, model_name: str, predicted_at: Column,
+                         best_model: str = "best_model", report: str = "report_id",
+                         keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Results of an outside forecaster as rows of the prediction table.
+
+    Columns may have the forecaster's own names (see :func:`normalize_forecast`).  The
+    version is the name of its best model, else the number of its report.
+    """
+    version = F.coalesce(F.nullif(F.trim(F.col(best_model)), F.lit("")),
+                         F.col(report).cast("string"))
+    rows = normalize_forecast(results.withColumn("model_version", version),
+                              keys=(*keys, "model_version"))
+    return as_predictions(rows, model_name=model_name, model_version=F.col("model_version"),
+                          predicted_at=predicted_at, keys=keys)
+
+
 def hourly_split(daily: DataFrame, *, keys: Sequence[str] = ("site_id",),
                  shape: Sequence[float] = DAY_SHAPE, open_hour: int = OPEN_HOUR,
                  steps: Sequence[tuple[float, int]] = STAFF_STEPS,

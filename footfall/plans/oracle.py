@@ -287,13 +287,13 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
           CAST(o_orderdate AS DATE) AS o_orderdate
         FROM orders WHERE o_orderstatus IN ('F', 'O')"""),
     "sourced": ((), """
-        SELECT * FROM (
+        SELECT site_id, date_local, visitors, source FROM (
           SELECT o_custkey AS site_id, CAST(o_orderdate AS DATE) AS date_local, count(*) AS visitors,
-            CASE o_orderstatus WHEN 'P' THEN 'table' ELSE 'csv' END AS source
-          FROM orders WHERE o_orderstatus IN ('P', 'F') GROUP BY 1, 2, 4
-          UNION ALL SELECT c_custkey, DATE '2001-08-01', 0, 'demo' FROM customer)
-        QUALIFY CASE source WHEN 'table' THEN 0 WHEN 'csv' THEN 1 ELSE 2 END
-          = min(CASE source WHEN 'table' THEN 0 WHEN 'csv' THEN 1 ELSE 2 END) OVER (PARTITION BY site_id)"""),
+            CASE o_orderstatus WHEN 'P' THEN 'table' WHEN 'F' THEN 'csv' ELSE 'archive' END AS source,
+            CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS r
+          FROM orders GROUP BY 1, 2, 4, 5
+          UNION ALL SELECT c_custkey, DATE '2001-08-01', 0, 'demo', 3 FROM customer)
+        QUALIFY r = min(r) OVER (PARTITION BY site_id)"""),
 }
 
 
@@ -737,5 +737,14 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY user_id
           ORDER BY early AND NOT again, ts DESC, event_id DESC) = 1""",
 }
+ORACLE["import_forecast"] = _sql(f"""
+    SELECT site_id, 'external' AS model_name,
+      CASE WHEN site_id <> 'N' THEN 'best of ' || site_id ELSE '4711' END AS model_version,
+      date_local, forecast AS predicted_visitors, low AS confidence_lower, high AS confidence_upper
+    FROM ({_NORMALIZED})""", "messy")
+ORACLE["outlier_clip"] = _sql("""
+    SELECT site_id, date_local, visitors, weekday,
+      least(greatest(visitors::DOUBLE, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS clipped
+    FROM daily_series JOIN profile USING (site_id, weekday)""", "daily_series", "profile")
 ORACLE["insert_ignore_stored"] = ORACLE["insert_ignore"]
 ORACLE["upsert_stored"] = ORACLE["upsert_keyed"]

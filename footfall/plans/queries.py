@@ -185,6 +185,24 @@ def scan_forecast_csv(spark, sf):
     return tabular.read_forecast_csv(spark, [f"{path}/a", f"{path}/b"], keys=("site_id",))
 
 
+@query
+def import_forecast(spark, sf):
+    """Results with the forecaster's own column names, as rows of the prediction table."""
+    raw = _messy_forecast(spark, sf).select(
+        "site_id", F.col("Datum").alias("time_stamp_utc"),
+        F.col("FORECAST").alias("point_forecast_value"), F.col("Low").alias("lower_limit_value"),
+        F.col("High").alias("upper_limit_value"), F.lit(4711).alias("report_id"),
+        F.when(F.col("site_id") != "N", F.concat(F.lit("best of "), "site_id")).alias("best_model"))
+    rows = forecast.imported_predictions(raw, model_name="external",
+                                         predicted_at=F.lit("2001-11-05").cast("timestamp"))
+    return rows.drop("predicted_at")
+
+
+@query
+def outlier_clip(spark, sf):
+    return features.clip_outliers(views.daily_series(spark, sf))
+
+
 @query
 def export_daily_csv(spark, sf):
     target, covariates = features.daily_for_export(
@@ -469,18 +487,19 @@ def _stored_orders(spark, stored, newer, write):
 @query
 def source_fallback(spark, sf):
     """Stored, file and demonstration totals: each customer takes the best it has."""
-    orders = views.table(spark, sf, "orders")
-    day = F.to_date("o_orderdate").alias("date_local")
-
-    def totals(status: str) -> DataFrame:
-        return orders.filter(F.col("o_orderstatus") == status).groupBy(
-            F.col("o_custkey").alias("site_id"), day).agg(F.count(F.lit(1)).alias("visitors"))
-
+    orders, status = views.table(spark, sf, "orders"), F.col("o_orderstatus")
+    ranked = orders.select(
+        F.col("o_custkey").alias("site_id"), F.to_date("o_orderdate").alias("date_local"),
+        F.when(status == "P", 0).when(status == "F", 1).otherwise(2).alias("source_rank"))
+    totals = ranked.groupBy("site_id", "date_local", "source_rank").agg(
+        F.count(F.lit(1)).alias("visitors"))
     demo = views.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("site_id"), _date("2001-08-01").alias("date_local"),
-        F.lit(0).cast("bigint").alias("visitors"))
-    return fallback.first_available([("table", totals("P")), ("csv", totals("F")),
-                                     ("demo", demo)])
+        F.lit(3).alias("source_rank"), F.lit(0).cast("bigint").alias("visitors"))
+    names = F.array(*[F.lit(n) for n in ("table", "csv", "archive", "demo")])
+    rows = totals.unionByName(demo).withColumn("source", names[F.col("source_rank")])
+    keys = ["site_id", "source_rank"]
+    return fallback.first_ranked(rows, ranked.select(*keys).union(demo.select(*keys)))
 
 
 @query
