@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from footfall.functions.labels import hour_label
 from footfall.functions.literals import struct_array
 from footfall.functions.numbers import (
-    STAFF_STEPS, half_even, half_even_1, not_negative, staff_for, truncate)
+    STAFF_STEPS, half_even, half_even_1, not_negative, null_if_nan, staff_for, truncate)
 from footfall.functions.timeparts import hours_after_midnight
 from footfall.operators.features import QUARTILES, seasonal_profile
 from footfall.operators.ranking import first_rows
 from footfall.sources.calendar import horizon
+from footfall.sources.fallback import first_ranked
 
 # fixed values: share of a day's visitors per opening hour, from 08:00
 OPEN_HOUR = 8
@@ -103,8 +104,7 @@ def normalize_forecast(df: DataFrame, *, keys: Sequence[str] = ("site_id",)) ->
     def number(name: str | None) -> Column:
         if name is None:
             return F.lit(None).cast("double")
-        parsed = F.col(name).try_cast("double")
-        return F.when(~F.isnan(parsed), parsed)
+        return null_if_nan(F.col(name).try_cast("double"))
 
     date_kind = dict(df.dtypes)[day]
     date_local = (F.to_date(F.col(day).cast("timestamp_ntz")) if date_kind == "string"
@@ -267,3 +267,31 @@ def serve_forecast(predictions: DataFrame, *, as_of: Column, preferred: str | No
     """Hourly rows of the forecast to show now."""
     day = shown_days(predictions, as_of=as_of, preferred=preferred, keys=keys)
     return hourly_split(day, keys=keys, shape=shape, extra=("change_next_pct",))
+
+
+def get_forecast(predictions: DataFrame, files: DataFrame, demo: DataFrame, *, as_of: Column,
+                 preferred: str | None = None, keys: Sequence[str] = ("site_id",),
+                 shape: Sequence[float] = DAY_SHAPE) -> DataFrame:
+    """Hourly rows of the forecast to show now, with the ``source`` it comes from.
+
+    Per series: stored predictions if any are for ``as_of`` or later, else forecast files,
+    else the demonstration (both as from :func:`normalize_forecast`).  Which source has
+    anything is told by the keys of the rows alone.
+    """
+    daily = [*keys, "date_local", "forecast", "low", "high"]
+    stored = latest_forecast(predictions, as_of=as_of, preferred=preferred, keys=keys).select(
+        *keys, "date_local", F.col("predicted_visitors").alias("forecast"),
+        F.col("confidence_lower").alias("low"), F.col("confidence_upper").alias("high"))
+    due = F.col("date_local") >= as_of
+    sources = [("table", stored, predictions.filter(due)), ("csv", files.filter(due), files.filter(due)),
+               ("demo", demo.filter(due), demo.filter(due))]
+    rows = present = None
+    for rank, (name, source, keyed) in enumerate(sources):
+        tagged = source.select(*daily, F.lit(name).alias("source"), F.lit(rank).alias("source_rank"))
+        known = keyed.select(*keys, F.lit(rank).alias("source_rank"))
+        rows = tagged if rows is None else rows.unionByName(tagged)
+        present = known if present is None else present.unionByName(known)
+    best = first_ranked(rows, present, keys=keys)
+    two = first_rows(best, keys, [F.col("date_local")], 2, rank="position")
+    day = day_change(two, keys=keys, value="forecast").filter("position = 1").drop("position")
+    return hourly_split(day, keys=keys, shape=shape, extra=("source", "change_next_pct"))

@@ -27,6 +27,7 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+# fixed values: titles and texts of all cards below
 def demand_cards(days: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """``days``: one row per key of day totals with ``change_next_pct``."""
     change, short = F.col("change_next_pct"), F.col("understaffed_hours")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footfall.functions.labels import (
     WEEKDAYS_EN, absence_label, clock, status_label, time_span, weekday_label)
 from footfall.functions.numbers import half_even, half_even_1
-from footfall.functions.timeparts import iso_weekday, now_local, today
+from footfall.functions.timeparts import iso_weekday, minute_of_day, now_local, today
 
 # fixed value: length of the assumed break in minutes
 BREAK_MINUTES = 30
@@ -200,6 +200,12 @@ def team_summary(employees: DataFrame, shifts: DataFrame, *,
         .alias("mean_hours"))
 
 
+def shifts_from_text(rows: DataFrame, *, start: str = "start", end: str = "end") -> DataFrame:
+    """Shifts with times as 'HH:MM' text -> start_min and end_min, minutes after midnight."""
+    return rows.withColumns({"start_min": minute_of_day(F.col(start)),
+                             "end_min": minute_of_day(F.col(end))}).drop(start, end)
+
+
 def role_names(plan: DataFrame) -> DataFrame:
     """Distinct roles; sort for display."""
     return plan.select("role").distinct()

@@ -72,6 +72,7 @@ def staffing_actions(hours: DataFrame, *, keys: Sequence[str] = ("site_id",)) ->
 
     first, last = F.col("first_short.h"), F.col("last_short")
     peak_hour = -F.col("peak.h")
+    # fixed values: rule titles and texts, the peak limit 50 and the staff limit 4
     rules = F.array(
         F.when(first.isNotNull(), notice(
             1, text("Unterbesetzung: ", hour_label(first), "–", hour_label(last), " Uhr"),

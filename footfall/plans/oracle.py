@@ -186,6 +186,17 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
               / nullif(round_even(predicted_visitors, 0), 0) * 100 AS c,
             row_number() OVER s AS rn FROM latest
           WINDOW s AS (PARTITION BY site_id ORDER BY date_local)) WHERE rn = 1"""),
+    "got_day": (("latest", "baseline"), f"""
+        SELECT site_id, date_local, forecast, low, high, source, {_one('c')} AS change_next_pct FROM (
+          SELECT *, (lead(forecast) OVER s - round_even(forecast, 0))
+              / nullif(round_even(forecast, 0), 0) * 100 AS c, row_number() OVER s AS rn
+          FROM (SELECT site_id, date_local, predicted_visitors AS forecast, confidence_lower AS low,
+                  confidence_upper AS high, 'table' AS source FROM latest WHERE site_id = 'A'
+                UNION ALL SELECT site_id, date_local,
+                  CASE site_id WHEN 'N' THEN forecast + 7.0::DOUBLE ELSE 100.0::DOUBLE END, NULL, NULL,
+                  CASE site_id WHEN 'N' THEN 'csv' ELSE 'demo' END
+                FROM baseline WHERE site_id <> 'A' AND date_local >= DATE '2001-11-06')
+          WINDOW s AS (PARTITION BY site_id ORDER BY date_local)) WHERE rn = 1"""),
     "active_shifts": (("employees", "shifts"), """
         SELECT e.*, s.weekday, s.start_min, s.end_min FROM employees e
         LEFT JOIN shifts s ON s.employee_id = e.id WHERE e.active"""),
@@ -266,11 +277,12 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         LEFT JOIN active_shifts s ON s.site_id = e.site_id AND s.weekday = w.weekday
         GROUP BY 1, 2, 3"""),
     "team": (("plan", "weekday_counts"), """
-        SELECT p.site_id, headcount, total_hours, roles_text, label AS busiest_day,
+        SELECT p.site_id, headcount, total_hours, roles, roles_text, label AS busiest_day,
           planned AS busiest_count, total_hours / headcount AS mean_hours
         FROM (SELECT site_id, count(*) AS headcount, sum(total_hours) AS total_hours
               FROM plan GROUP BY 1) p
-        JOIN (SELECT site_id, string_agg(n || '× ' || role, ' · ' ORDER BY first_id) AS roles_text
+        JOIN (SELECT site_id, string_agg(n || '× ' || role, ' · ' ORDER BY first_id) AS roles_text,
+                '{' || string_agg('"' || role || '":' || n, ',' ORDER BY first_id) || '}' AS roles
               FROM (SELECT site_id, role, count(*) AS n, min(id) AS first_id FROM plan GROUP BY 1, 2)
               GROUP BY 1) r ON r.site_id = p.site_id
         JOIN (SELECT * FROM weekday_counts QUALIFY row_number() OVER (
@@ -746,5 +758,6 @@ ORACLE["outlier_clip"] = _sql("""
     SELECT site_id, date_local, visitors, weekday,
       least(greatest(visitors::DOUBLE, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS clipped
     FROM daily_series JOIN profile USING (site_id, weekday)""", "daily_series", "profile")
+ORACLE["get_forecast"] = _sql(_hours("got_day", "source, change_next_pct,"), "got_day", "shape")
 ORACLE["insert_ignore_stored"] = ORACLE["insert_ignore"]
 ORACLE["upsert_stored"] = ORACLE["upsert_keyed"]

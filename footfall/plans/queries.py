@@ -234,6 +234,18 @@ def serve_forecast(spark, sf):
                                    preferred="external")
 
 
+@query
+def get_forecast(spark, sf):
+    """Stored for site A, files for N (and A), the demonstration for the rest."""
+    base, site = _baseline(spark, sf), F.col("site_id")
+    band = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
+    files = base.filter(site.isin("A", "N")).select(
+        "site_id", "date_local", (F.col("forecast") + 7.0).alias("forecast"), *band)
+    demo = base.select("site_id", "date_local", F.lit(100.0).alias("forecast"), *band)
+    return forecast.get_forecast(views.predictions(spark, sf).filter(site == "A"), files, demo,
+                                 as_of=_date("2001-11-06"), preferred="external")
+
+
 @query
 def day_change_pct(spark, sf):
     return forecast.day_change(views.daily_series(spark, sf), value="visitors").drop("weekday")
@@ -337,7 +349,7 @@ def weekly_coverage(spark, sf):
 @query
 def team_summary(spark, sf):
     emp, sh, _ = _staff(spark, sf)
-    return shifts.team_summary(emp, sh).drop("roles")
+    return shifts.team_summary(emp, sh).withColumn("roles", F.to_json("roles"))
 
 
 @query

@@ -48,7 +48,6 @@ STAFFING_RECOMMENDATIONS = flat_schema(
 EMPLOYEES = flat_schema("id STRING, site_id BIGINT, name STRING, role STRING, active BOOLEAN")
 SHIFTS = flat_schema("employee_id STRING, weekday INT, start_min INT, end_min INT")
 ABSENCES = flat_schema("emp_id STRING, type STRING, start_date DATE, end_date DATE")
-FORECAST_CSV = flat_schema("datum STRING, forecast STRING, low STRING, high STRING")
 RUN_LOG = flat_schema(
     "run_id STRING, step STRING, rows BIGINT, seconds DOUBLE, finished_at TIMESTAMP")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.labels import hour_label, weekday_label
@@ -21,6 +21,7 @@ def synthetic_days(df: DataFrame, as_of: Column, day: str = "date_local") -> Dat
 
     The values depend only on the number of days before ``as_of`` and the weekday.
     """
+    # fixed values: the constants of the demonstration series
     n = F.datediff(as_of, F.col(day))
     workday = iso_weekday(F.col(day)) < 6
     temp = F.lit(14.0) + noise(n) * 8.0 + F.when(workday, 3.0).otherwise(0.0)
@@ -55,9 +56,3 @@ def demo_daily_forecast(sites: DataFrame, as_of, total: int) -> DataFrame:
     return sites.select(*sites.columns, today(as_of).alias("date_local"),
                         F.lit(float(total)).alias("forecast"), none.alias("low"),
                         none.alias("high"), F.lit(DEMO_CHANGE).alias("change_next_pct"))
-
-
-def numbered_days(spark: SparkSession, start: str, count: int) -> DataFrame:
-    """``count`` consecutive days, generated in parallel."""
-    return spark.range(count).select(
-        F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("date_local"))

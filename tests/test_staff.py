@@ -184,3 +184,12 @@ def test_sites_do_not_mix(spark):
     one = {(r.weekday, r.hour): r.scheduled for r in coverage.scheduled_by_hour(a[0], a[1]).collect()}
     two = {(r.weekday, r.hour): r.scheduled for r in hours.filter("site_id = 2").collect()}
     assert one == two
+
+
+def test_shift_times_from_text(spark):
+    from footfall.operators.shifts import shifts_from_text
+
+    rows = spark.createDataFrame([("AK", 1, "08:00", "14:30"), ("AK", 2, None, "bad")],
+                                 "employee_id STRING, weekday INT, start STRING, end STRING")
+    with_text = shifts_from_text(rows.filter("weekday = 1")).first()
+    assert (with_text.start_min, with_text.end_min) == (480, 870)
