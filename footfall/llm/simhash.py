@@ -4,7 +4,7 @@ Fingerprints are split by their Hamming distance from vantage points: within the
 to the inner branch, else to the outer one.  A query goes down both branches where its
 ball crosses the radius (triangle inequality), else one is pruned, so all pairs within
 the distance are found.  The upper tree, built from a bounded sample, assigns shards; a
-fingerprint lives in one shard and queries each shard that its ball touches.  A shard
+fingerprint lives in one shard and queries others that its ball touches.  A shard
 builds its own lower tree, and its queries stream through.
 
 Copies share a fingerprint and enter the tree once.  A shard reports no pairs but a
@@ -89,7 +89,12 @@ def upper_tree(sample: np.ndarray, depth: int):
 
 
 def route(node, fps: np.ndarray, home: np.ndarray, within: int):
-    """Yields (shard, fps, whether each lives there) for every shard a ball touches."""
+    """Yields (shard, fps, whether each lives there) for every shard to be asked.
+
+    A pair across a border is found from one side: what lives inside asks the outer branch
+    if its ball crosses the radius, what lives outside doesn't ask the inner one.  A
+    fingerprint that is only asking goes down every branch its ball touches.
+    """
     if not len(fps):
         return
     if not isinstance(node, tuple):
@@ -97,8 +102,9 @@ def route(node, fps: np.ndarray, home: np.ndarray, within: int):
         return
     vantage, radius, inner, outer = node
     away = _distance(fps, vantage).astype(np.int16)
-    near, far = away <= radius + within, away > radius - within
-    yield from route(inner, fps[near], home[near] & (away[near] <= radius), within)
+    near = away <= np.where(home, radius, radius + within)
+    far = away > radius - within
+    yield from route(inner, fps[near], home[near], within)
     yield from route(outer, fps[far], home[far] & (away[far] > radius), within)
 
 
@@ -201,7 +207,7 @@ def _searched(within: int):
     return run
 
 
-def links(distinct: DataFrame, within: int = 4, shard_rows: int = 16_384,
+def links(distinct: DataFrame, within: int = 4, shard_rows: int = 32_768,
           sample_rows: int = 16_384) -> DataFrame:
     """Links (u, v) that connect all fingerprints of ``distinct`` (fp) within the distance."""
     rows = distinct.count()
@@ -216,7 +222,7 @@ def links(distinct: DataFrame, within: int = 4, shard_rows: int = 16_384,
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, within: int = 4,
-                    shard_rows: int = 16_384) -> DataFrame:
+                    shard_rows: int = 32_768) -> DataFrame:
     """One row per document: doc_id, row_key, fp (long), fingerprint (hex), component_id
     and root, the component's least fingerprint.
 
