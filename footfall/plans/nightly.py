@@ -49,7 +49,7 @@ class NightlyConfig:
     horizon: int = 30
     school_breaks: Sequence[tuple[str, str]] = field(default=SCHOOL_BREAKS)
     model_version: str = BASELINE_HOLIDAY_VERSION
-    #: rebuild features from this local day on; earlier days keep their rows
+    #: load landed rows and rebuild features from this local day on; earlier days keep theirs
     since: str | None = None
     pretty_printed: bool = False
 
@@ -81,19 +81,26 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
     def dated(df: DataFrame) -> DataFrame:
         return df.withColumn(_DATED, local_date(F.col("ts"), cfg.tz))
 
+    # with ``since``, older landed rows are left out and older partitions not read
+    loaded = None if cfg.since is None else recent
+
+    def landed(df: DataFrame) -> DataFrame:
+        rows = dated(df).withColumn("fetched_at", stamp)
+        return rows if loaded is None else rows.filter(loaded)
+
     def load_counts() -> int:
         pages = read_count_pages(spark, cfg.counts, keys={"site_id": "BIGINT"},
                                  pretty_printed=cfg.pretty_printed)
         return insert_ignore_table(
-            dated(pages).withColumn("fetched_at", stamp), cfg.path("visits_hourly"),
-            schema=_with_date(schemas.VISITS_HOURLY), key=["site_id", "ts"], partition=_DATED)
+            landed(pages), cfg.path("visits_hourly"), schema=_with_date(schemas.VISITS_HOURLY),
+            key=["site_id", "ts"], partition=_DATED, within=loaded)
 
     def load_weather() -> int:
         arrays = read_weather_arrays(spark, cfg.weather, tz=cfg.tz,
                                      pretty_printed=cfg.pretty_printed)
         return insert_ignore_table(
-            dated(arrays).withColumn("fetched_at", stamp), cfg.path("weather_hourly"),
-            schema=_with_date(schemas.WEATHER_HOURLY), key=["ts"], partition=_DATED)
+            landed(arrays), cfg.path("weather_hourly"), schema=_with_date(schemas.WEATHER_HOURLY),
+            key=["ts"], partition=_DATED, within=loaded)
 
     def load_calendar() -> int:
         days = days_between(spark, cfg.first_day, as_of.date())
