@@ -57,9 +57,15 @@ class Shard:
         self.back = row[before]  # rows of whole texts lead to end signs, which are laid anew
 
 
+#: Rounds that sort the whole interleave; later ones look only at what the last one changed.
+WHOLE_ROUNDS = 6
+
+
 def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, block): the shards' rows, numbered on, in merged order, and the block of each:
-    rows share a block if their suffixes have ``rounds`` bytes in common before any end."""
+    """(rows, block): the shards' rows, numbered on, gathered by block.
+
+    Rows share a block if their suffixes have ``rounds`` bytes in common before any end.
+    """
     offsets = np.cumsum([0, *[len(s.transform) for s in shards]])
     transform = np.concatenate([s.transform for s in shards])
     back = np.concatenate([s.back + o for s, o in zip(shards, offsets[:-1], strict=True)]).astype(
@@ -70,7 +76,7 @@ def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.arange(len(transform), dtype=np.int32)
     block = np.zeros(len(transform), np.int32)
     fresh = np.empty(len(transform), bool)
-    for _ in range(rounds):
+    for _ in range(min(rounds, WHOLE_ROUNDS)):
         signs = transform[rows]
         turn = np.argsort(signs, kind="stable")
         signs, held = signs[turn], block[turn]
@@ -80,7 +86,57 @@ def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         block = np.cumsum(fresh, dtype=np.int32)
         rows = back[rows[turn]]
         rows[:len(dollars)] = dollars
-    return rows, block
+    label = np.empty(len(rows), np.int64)
+    label[rows] = block
+    _split_further(label, transform, back, rounds - WHOLE_ROUNDS)
+    rows = np.argsort(label, kind="stable")
+    return rows, label[rows]
+
+
+def _split_further(label: np.ndarray, transform: np.ndarray, back: np.ndarray,
+                   rounds: int) -> None:
+    """Refines the blocks in ``label`` (of each row) by ``rounds`` more bytes, in place.
+
+    A block can only split in a round if a block that its suffixes lead to split in the
+    round before, so a round follows the changed rows one sign back and no others.  The
+    part that leads to unchanged rows, or else the largest, keeps its label.
+    """
+    size = np.zeros(2 * len(label) + 2, np.int64)
+    counts = np.bincount(label)
+    size[:len(counts)] = counts
+    names = len(counts)
+    changed = np.arange(len(label))
+    for _ in range(rounds):
+        ahead = changed[transform[changed] > 0]
+        rows = back[ahead]
+        open_ = size[label[rows]] > 1
+        ahead, rows = ahead[open_], rows[open_]
+        if not len(rows):
+            return
+        key = label[rows] * len(size) + label[ahead]
+        turn = np.argsort(key)
+        rows, key = rows[turn], key[turn]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(rows)))
+        of = key[starts] // len(size)
+        # groups of one block follow each other; by size, the largest last
+        turn = np.lexsort((sizes, of))
+        last = np.empty(len(of), bool)
+        last[-1] = True
+        np.not_equal(of[turn][1:], of[turn][:-1], out=last[:-1])
+        total = np.bincount(of, sizes, names).astype(np.int64)
+        keeps = np.zeros(len(of), bool)
+        keeps[turn] = last & (total[of[turn]] == size[of[turn]])
+        fresh = np.flatnonzero(~keeps)
+        if not len(fresh):
+            return
+        np.subtract.at(size, of[fresh], sizes[fresh])
+        named = names + np.arange(len(fresh))
+        size[named] = sizes[fresh]
+        names += len(fresh)
+        moved = np.repeat(~keeps, sizes)
+        changed = rows[moved]
+        label[changed] = np.repeat(named, sizes[fresh])
 
 
 def repeated(texts: list[bytes], length: int, shards: int = 4) -> tuple[np.ndarray, ...]:

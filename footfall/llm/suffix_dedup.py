@@ -119,19 +119,23 @@ def _bitmap(anchors: DataFrame) -> np.ndarray:
     return out
 
 
-def _firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _firsts(rows: DataFrame, keys: list[str], heavy: str, name: str) -> DataFrame:
     """``rows`` with ``later``: whether an equal row by ``keys`` comes before.
 
-    Two steps, the first by a share of each group, so that no task meets a large group.
+    Two steps, the first by a share of each group, so that no task meets a large group;
+    in the second only the first rows of the shares meet.  Later rows lose the ``heavy``
+    column at once.  Rows at one place of one document are equally early.
     """
     order = [F.asc_nulls_first("doc_id"), F.asc("row_key"), F.asc("first")]
-    salt = F.pmod(F.xxhash64("doc_id", "row_key", "first"), F.lit(SALTS))
-    salted = Window.partitionBy(*keys, salt).orderBy(*order)
-    rows = settled(rows.withColumn("later", F.row_number().over(salted) > 1), f"{name}-salted")
-    heads = rows.where(~F.col("later"))
-    last = heads.withColumn("later", F.row_number().over(
-        Window.partitionBy(*keys).orderBy(*order)) > 1)
-    return settled(rows.where("later").unionByName(last), name)
+    place = F.xxhash64("doc_id", "row_key", "first")
+    share = Window.partitionBy(*keys, F.pmod(place, F.lit(SALTS))).orderBy(*order)
+    rows = (rows.withColumn("later", F.rank().over(share) > 1)
+            .withColumn(heavy, F.when(~F.col("later"), F.col(heavy)))
+            .withColumn("spread", F.when(F.col("later"), place)))
+    last = Window.partitionBy(*keys, "spread").orderBy(*order)
+    rows = rows.withColumn("later", F.col("later") | (F.rank().over(last) > 1))
+    return settled(rows.withColumn(heavy, F.when(~F.col("later"), F.col(heavy))).drop("spread"),
+                   name)
 
 
 SPANS = "doc_id long, row_key long, start long, end long"
@@ -140,20 +144,24 @@ SPANS = "doc_id long, row_key long, start long, end long"
 def _merged_repeats(length: int):
     """Spans of repeated strings among the stretches of whole anchors, chunk by chunk."""
     def spans(held: pd.DataFrame) -> pa.RecordBatch:
-        held = held.reset_index(drop=True)
+        held = held.drop_duplicates(["doc_id", "row_key", "first", "anchor"]).reset_index(drop=True)
         text, start, block = repeated(list(held["bytes"]), length)
-        rows = pd.DataFrame({"at": text, "start": start, "block": block})
-        rows["place"] = rows["start"] + held["first"].to_numpy()[text]
-        key = held.assign(id=held["doc_id"].astype("Float64").fillna(-np.inf).astype(float))
-        rank = key.sort_values(["id", "row_key"]).groupby(["id", "row_key"], sort=True).ngroup()
-        rows["doc"] = rank.reindex(held.index).to_numpy()[text]
-        rows = rows.sort_values(["block", "doc", "place"])
-        rows = rows[rows["block"].duplicated()]
-        at = rows["at"].to_numpy()
+        ids = held["doc_id"].astype("Float64").fillna(-np.inf).astype(float)
+        doc = held.assign(id=ids).groupby(["id", "row_key"], sort=True).ngroup().to_numpy()
+        place = start + held["first"].to_numpy()[text]
+        order = np.lexsort((place, doc[text], block))
+        block = block[order]
+        again = order[1:][block[1:] == block[:-1]]
+        # places that overlap make one span
+        order = again[np.lexsort((place[again], doc[text[again]]))]
+        at, place = text[order], place[order]
+        cut = (doc[at][1:] != doc[at][:-1]) | (place[1:] > place[:-1] + length)
+        begins = np.flatnonzero(np.concatenate(([len(at) > 0], cut)))
+        ends = np.append(begins[1:] - 1, len(at) - 1)[:len(begins)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(held["doc_id"].to_numpy()[at], pa.int64(), from_pandas=True),
-             pa.array(held["row_key"].to_numpy()[at]), pa.array(rows["place"].to_numpy()),
-             pa.array(rows["place"].to_numpy() + length)],
+            [pa.array(held["doc_id"].to_numpy()[at[begins]], pa.int64(), from_pandas=True),
+             pa.array(held["row_key"].to_numpy()[at[begins]], pa.int64()),
+             pa.array(place[begins], pa.int64()), pa.array(place[ends] + length, pa.int64())],
             ["doc_id", "row_key", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +221,9 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
     placed = rows.mapInArrow(thinned, "doc_id long, row_key long, anchor long, ahead long, "
                                       "first long, bytes binary")
     placed = placed.join(counted, "anchor")
-    # rows alike in id and text are one document
-    known = _firsts(placed.dropDuplicates(["doc_id", "row_key", "first", "anchor"]),
-                    ["anchor", "ahead", "bytes"], "stretches")
-    whole = known.where("later").select("doc_id", "row_key", F.col("first").alias("start"), (
-        F.col("first") + F.length("bytes")).alias("end"))
+    known = _firsts(placed.withColumn("end", F.col("first") + F.length("bytes")),
+                    ["anchor", "ahead", "bytes"], "bytes", "stretches")
+    whole = known.where("later").select("doc_id", "row_key", F.col("first").alias("start"), "end")
     firsts = known.where(~F.col("later"))
     sizes = settled(firsts.groupBy("anchor").count().where("count > 1"), "shared-anchors")
     shared = firsts.join(sizes, "anchor")
@@ -241,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
     large = _firsts(
         shared.where(F.col("count") > group_texts).select("doc_id", "row_key", "first", "bytes")
         .mapInArrow(strings, "doc_id long, row_key long, first long, digest binary"),
-        ["digest"], "strings")
+        ["digest"], "digest", "strings")
     return (whole.unionByName(small.mapInArrow(_merged_repeats(length), SPANS))
             .unionByName(large.where("later").select(
                 "doc_id", "row_key", F.col("first").alias("start"),
@@ -256,19 +262,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, group_texts: int = 4096)
     in id and text count as one document and get the same result.  ``kept`` is what
     remains, in bytes.  Only doc_id and text are read.  An empty table gives none.
     """
+    both = F.shiftleft("start", 32).bitwiseOR(F.col("end"))  # one long for each span
     spans = (repeated_spans(docs, length, group_texts).groupBy("doc_id", "row_key")
-             .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+             .agg(F.collect_list(both).alias("spans"))
              .withColumnsRenamed({"doc_id": "__id", "row_key": "__key"}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             out = []
-            for name, text, found in zip(batch.column(0).to_pylist(), texts,
-                                         batch.column(2).to_pylist(), strict=True):
+            for name, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2),
+                                         strict=True):
                 cover = np.zeros(len(text) + 1, np.int64)
-                for span in found or ():
-                    cover[span["start"]] += 1
-                    cover[span["end"]] -= 1
+                if found.is_valid:
+                    packed = found.values.to_numpy()
+                    np.add.at(cover, packed >> 32, 1)
+                    np.subtract.at(cover, packed & 0xFFFFFFFF, 1)
                 gone = np.cumsum(cover)[:-1] > 0
                 begins = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
