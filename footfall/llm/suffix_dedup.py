@@ -7,8 +7,9 @@ are brought together first, without losing any:
 1. Of the 24-byte grams in each string of ``length`` bytes, the one with the least hash
    is its anchor; equal strings have equal anchors at equal places.  The strings of a
    document that share an anchor form one stretch.
-2. Anchors are counted over the corpus.  Those that occur once are dropped; a bitmap of
-   fixed size thins out the rest before an exact join.
+2. Anchors are counted over the corpus.  A bitmap of fixed size, with those that occur
+   more than once, drops the rest where they are found; what it lets through by chance
+   costs time but changes nothing.
 3. Of stretches with equal bytes around one anchor, all but the first go as a whole.
 4. First stretches that share an anchor but differ elsewhere are the only places where
    a repeated string is not known yet.  They form shards; the shards' transforms are
@@ -220,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
 
     placed = rows.mapInArrow(thinned, "doc_id long, row_key long, anchor long, ahead long, "
                                       "first long, bytes binary")
-    placed = placed.join(counted, "anchor")
+    # anchors that the bitmap lets through though they occur once drop out below
     known = _firsts(placed.withColumn("end", F.col("first") + F.length("bytes")),
                     ["anchor", "ahead", "bytes"], "bytes", "stretches")
     whole = known.where("later").select("doc_id", "row_key", F.col("first").alias("start"), "end")
