@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 from footfall.llm.common import held_out
 
 
+def _known(labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+            .where(~held_out(modulus, remainder))
+            .groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label")))
+
+
+def class_rows(labels: DataFrame, label: str, modulus: int, remainder: int) -> tuple[int, int]:
+    """How many documents that may be learnt from have label 0 and 1."""
+    return _known(labels, label, modulus, remainder).agg(
+        F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()[:]
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int,
            remainder: int) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled rows of each class, never held out.
@@ -17,9 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: i
     labels counts as 1; null labels and ids are left out.  The chosen ids, at most
     2 * ``most``, are the only thing broadcast.
     """
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-             .where(~held_out(modulus, remainder))
-             .groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label")))
+    known = _known(labels, label, modulus, remainder)
     order = F.xxhash64("doc_id", F.lit("sample"))
     chosen = [known.where(F.col("label") == kind).orderBy(order, "doc_id").limit(most)
               for kind in (0, 1)]
