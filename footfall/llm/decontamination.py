@@ -73,7 +73,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
         "turn", F.spark_partition_id() % 64)
     parts = parts.groupBy("slice", "turn").applyInPandas(added, schema)
     seen = np.zeros(TERMS + 1, np.int64)
-    for row in parts.groupBy("slice").applyInPandas(added, schema).collect():  # at most 2 MB
+    for row in parts.groupBy("slice").applyInPandas(added, schema).toLocalIterator():
         part = np.frombuffer(zlib.decompress(row.n), np.int64)
         seen[row.slice * SLICE:row.slice * SLICE + len(part)] = part
     return np.maximum(0, np.log((seen[TERMS] + 1) / (seen[:TERMS] + 1)) - 1)
@@ -101,7 +101,7 @@ def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray,
     have ``size`` by ``rank`` numbers, both bounded by the block of passages.
     """
     def product(block: np.ndarray, square: bool) -> np.ndarray:
-        shipped = passages.sparkSession.sparkContext.broadcast(block)
+        shipped = passages.sparkSession.sparkContext.broadcast(block.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = shipped.value
@@ -115,9 +115,11 @@ def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray,
                         total += np.outer(row, row)
                     else:
                         np.add.at(total, rows, by[:, None] * row)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sum"])
+            packed = zlib.compress(total.astype(np.float32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["sum"])
 
-        out = sum(np.frombuffer(r[0]) for r in passages.mapInArrow(run, "sum binary").collect())
+        out = sum(np.frombuffer(zlib.decompress(r[0]), np.float32).astype(float)
+                  for r in passages.mapInArrow(run, "sum binary").toLocalIterator())
         shipped.unpersist()
         return np.reshape(out, (-1, block.shape[1]))
 
@@ -137,7 +139,7 @@ def _space(spark: SparkSession, items: list, weights: np.ndarray, rank: int) ->
     place[own] = np.arange(len(own))
     if len(own):
         rows = spark.createDataFrame([((r.text or ""),) for r in items], "text string")
-        vectors = randomised_svd(rows.repartition(4), np.minimum(place, len(own) - 1),
+        vectors = randomised_svd(rows.repartition(2), np.minimum(place, len(own) - 1),
                                  np.where(place < len(own), weights, 0.0), len(own),
                                  min(rank, len(items), len(own)))
     else:
