@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import table, text_batches
+from footfall.llm.common import settled, table, text_batches
 from footfall.session import work_dir
 
 MAGIC = b"FFPACK01"
@@ -183,14 +183,14 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(path), TaskContext.get().partitionId()
         bits = bits_for(max(encoder.vocabulary, end_id + 1))
-        number, size, held, names = 0, 0, [], []
+        number, inside, size, held, names = 0, 0, 0, [], []
 
         def closed():
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                 pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())),
+                 pa.array([inside], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64())),
                  pa.array([segment(held, bits)], pa.binary())],
-                ["part", "number", "n_ids", "doc_ids", "packed"])
+                ["part", "number", "inside", "n_ids", "doc_ids", "packed"])
 
         for batch, texts in text_batches(batches):
             for name, text in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -199,7 +199,7 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | N
                 size += len(held[-1])
                 if size >= SEGMENT_IDS:
                     yield closed()
-                    number, size, held, names = number + 1, 0, [], []
+                    number, inside, size, held, names = number + 1, inside + size, 0, [], []
         if held:
             yield closed()
 
@@ -207,24 +207,25 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | N
                        F.xxhash64("text").alias("tie"))
     (rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
      .select("doc_id", "text")
-     .mapInArrow(run, "part int, number int, n_ids long, doc_ids array<long>, packed binary")
+     .mapInArrow(run, "part int, number int, inside long, n_ids long, doc_ids array<long>, "
+                      "packed binary")
      .write.option("compression", "none").parquet(folder))
     return folder
 
 
 def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The segments in order: start (ids before), n_ids, doc_ids and packed."""
+    """The segments in order: start (ids before), n_ids, doc_ids and packed.
+
+    A segment knows the ids before it in its partition; what the partitions before hold is
+    a running sum over one row for each, small enough to be broadcast by its size on disk,
+    so the segments themselves are not shuffled.
+    """
     rows = spark.read.parquet(folder)
-    parts = rows.groupBy("part").agg(F.sum("n_ids").alias("ids")).select(
-        F.col("part").alias("__part"),
-        (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("number")
-    starts = rows.select("part", "number", "n_ids").withColumn(
-        "inside", F.sum("n_ids").over(inside) - F.col("n_ids")).join(
-        parts, F.col("part") == F.col("__part")).select(
-        "part", "number", (F.col("before") + F.col("inside")).alias("start"))
-    return rows.join(starts, ["part", "number"]).select("part", "number", "start", "n_ids",
-                                                        "doc_ids", "packed")
+    parts = settled(rows.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", (
+        F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before")), "id-parts")
+    return rows.join(parts, "part").select(
+        "part", "number", (F.col("before") + F.col("inside")).alias("start"), "n_ids", "doc_ids",
+        "packed")
 
 
 def documents_of(segments: DataFrame) -> DataFrame:
