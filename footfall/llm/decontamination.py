@@ -204,14 +204,15 @@ def found_in(text: bytes, space: Space, cosine: float, same: float, similar: flo
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, same: float = 0.65,
                  similar: float = 0.5, answered: float = 0.5, rank: int = 256,
-                 block_items: int = 1024) -> DataFrame:
+                 block_items: int = 256) -> DataFrame:
     """Rows (doc_id, row_key, item_id, cosine, common, answer), one per document and passage.
 
     A document is hit by a passage if the common subsequence has ``same`` of the passage's
     weight, or ``similar`` with ``answered`` of its last sentence's words.  Null and empty
     texts are never hit, null or blank passages hit nothing; repeated rows and passages
     repeat.  Empty tables give an empty result.  Only doc_id, text and item_id, text are
-    read.
+    read.  A block never has more passages than its space has dimensions, so the space
+    loses nothing and results don't depend on ``block_items`` or on the benchmark's size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
@@ -223,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, sam
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
              .where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
              .orderBy("item_id", "text").toLocalIterator())
-    for block in batched(items, block_items):
+    for block in batched(items, min(block_items, rank)):
         shipped = spark.sparkContext.broadcast(_space(spark, list(block), weights, rank))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

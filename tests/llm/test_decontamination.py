@@ -53,3 +53,16 @@ def test_awkward_rows(spark):
     assert contaminated(docs, items.limit(0)).count() == 0
     assert contaminated(docs.limit(0), items).count() == 0
     assert clean_rows(docs, items).count() == docs.count()
+
+
+def test_large_benchmarks_are_searched_in_whole_spaces(spark):
+    """Every one of 640 passages is planted; the settings of blocks must not matter."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(4000)]
+    items = [" ".join(rng.choices(words, k=rng.randint(12, 40))) for _ in range(640)]
+    docs = spark.createDataFrame([(i, " ".join([*rng.choices(words, k=40), p, *rng.choices(
+        words, k=40)])) for i, p in enumerate(items)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for options in ({}, {"block_items": 1024, "rank": 200}):
+        got = [(r.doc_id, r.item_id) for r in contaminated(docs, benchmark, **options).collect()]
+        assert sorted(got) == [(i, i) for i in range(640)]
