@@ -1,26 +1,28 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF vectors over hashed words, weighted by the document
-frequencies of the whole corpus.  A distributed randomised SVD gives their latent space:
-tasks multiply their passages with a random block and its transpose, twice refined, and
-only the small factors meet on the driver.  Windows of every document are folded into
-the space.  A window whose words cannot reach the wanted cosine (a bound from the
-lengths of its words' vectors) is passed over; the others are compared with all
-passages, and pairs above the cosine are checked word by word: the longest common
-subsequence, weighted like the words, and how much of the passage's last sentence (its
-answer) occurs.
+Benchmark passages are cut into pieces of at most 72 words.  Pieces become vectors over
+hashed words, each entry the root of the word's inverse document frequency in the whole
+corpus, so products of vectors add weights.  A distributed randomised SVD gives their
+latent space: tasks multiply their pieces with a random block and its transpose, twice
+refined, and only the small factors meet on the driver.  Windows of every document are
+folded into the space and compared with all pieces by a cosine in which a window is no
+longer than the piece, so foreign words around a copy count nothing.  Passages with a
+piece above the cosine are checked word by word: the longest common subsequence, weighted
+like the words, and how much of the passage's last sentence (its answer) occurs.
 
 The benchmark is the query set: it is taken in blocks of ``block_items`` passages, each
-against all documents.
+against all documents.  A window holds every run of as many words as its pieces have, and
+what a subsequence takes of a passage it takes of some piece at least; so with ``cosine``
+up to ``similar`` no passage without words put in between is passed over.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,11 @@ from footfall.llm.common import row_key, settled, table, text_batches
 
 TERMS = 1 << 18
 SLICE = 1 << 15
-#: Words of a window, and words from one window's start to the next.
-WINDOW, STRIDE = 32, 8
+#: Words of a piece at most, and words of the windows for such pieces; the next window
+#: starts a quarter further.
+SIZES = ((24, 32), (72, 96))
+#: Words summed at once, and words of a text taken at once; both divide as strides need.
+STEP, CHUNK = 8, 4080
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _PLAIN = bytes.maketrans(_SIGNS + bytes(range(65, 91)), b" " * len(_SIGNS) + bytes(range(97, 123)))
 
@@ -79,23 +84,42 @@ def term_weights(docs: DataFrame) -> np.ndarray:
     return np.maximum(0, np.log((seen[TERMS] + 1) / (seen[:TERMS] + 1)) - 1)
 
 
+@dataclass
+class Passage:
+    name: int
+    words: np.ndarray         # hashed terms
+    answer: set[int]
+    pieces: list[tuple[int, bytes]]  # size (its place in SIZES) and text of each
+
+    @classmethod
+    def of(cls, name: int, text: bytes) -> Passage:
+        last = re.split(rb"[.?!]+\s+", text.strip(b" .?!\n\t"))[-1]
+        words = text.translate(_PLAIN).split()
+        size = 0 if len(words) <= SIZES[0][0] else 1
+        parts = -(-len(words) // SIZES[size][0])
+        cuts = [len(words) * i // parts for i in range(parts + 1)] if parts else []
+        return cls(name, terms(text), set(terms(last).tolist()),
+                   [(size, b" ".join(words[a:b])) for a, b in itertools.pairwise(cuts)])
+
+
 @dataclass
 class Space:
     """The latent space of one block of passages."""
 
     weights: np.ndarray       # (terms,) inverse document frequencies
-    place: np.ndarray         # (terms,) row of the term in ``vectors``, the last if it has none
-    vectors: np.ndarray       # (block terms + 1, rank), the last row zero
-    reach: np.ndarray         # (terms,) weight times length of the term's vector
-    items: np.ndarray         # (passages, rank), folded in and of length cos to themselves
-    names: list
-    words: list[list[int]]    # hashed terms of each passage
-    answers: list[set[int]]
+    place: np.ndarray         # (terms,) row of the term in ``folded``, the last if it has none
+    folded: np.ndarray        # (block terms + 1, pieces) root of the weight times the term's
+    #                           vector times that of each piece, the last row zero
+    lengths: np.ndarray       # (pieces,) root of the weight of its words
+    sizes: list[slice]        # pieces of each of SIZES
+    owners: np.ndarray        # (pieces,) passage of each
+    passages: list[Passage]
 
 
 def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray, size: int,
                    rank: int, refine: int = 2) -> np.ndarray:
-    """(size, rank) right singular vectors of the TF-IDF matrix of ``passages`` (text).
+    """(size, rank) right singular vectors of the matrix of ``passages`` (text), which has
+    the weights of the different terms of each.
 
     Each pass multiplies the matrix and its transpose with a thin block; partial products
     have ``size`` by ``rank`` numbers, both bounded by the block of passages.
@@ -108,7 +132,7 @@ def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray,
             total = np.zeros((held.shape[1] if square else len(held), held.shape[1]))
             for _, texts in text_batches(batches):
                 for text in texts:
-                    at = terms(text)
+                    at = np.unique(terms(text))
                     rows, by = place[at], weights[at]
                     row = by @ held[rows]
                     if square:
@@ -130,29 +154,25 @@ def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray,
     return block @ turn[:, np.argsort(-values)[:rank]]
 
 
-def _space(spark: SparkSession, items: list, weights: np.ndarray, rank: int) -> Space:
-    texts = [(r.text or "").encode() for r in items]
-    words = [terms(t) for t in texts]
+def _space(spark: SparkSession, passages: list[Passage], weights: np.ndarray) -> Space:
+    pieces = sorted(((size, n, text) for n, p in enumerate(passages) for size, text in p.pieces),
+                    key=lambda piece: piece[:2])
+    words = [terms(text) for _, _, text in pieces]
     own = np.unique(np.concatenate(words))
-    own = own[weights[own] > 0]
     place = np.full(TERMS, len(own), np.int64)
     place[own] = np.arange(len(own))
-    if len(own):
-        rows = spark.createDataFrame([((r.text or ""),) for r in items], "text string")
-        vectors = randomised_svd(rows.repartition(2), np.minimum(place, len(own) - 1),
-                                 np.where(place < len(own), weights, 0.0), len(own),
-                                 min(rank, len(items), len(own)))
-    else:
-        vectors = np.zeros((0, 1))
-    vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
-    folded = np.stack([weights[w] @ vectors[place[w]] for w in words])
-    length = np.sqrt([np.square(weights[w]).sum() for w in words])
-    last = [re.split(rb"[.?!]+\s+", t.strip(b" .?!\n\t"))[-1] for t in texts]
-    return Space(weights.astype(np.float32), place, vectors,
-                 (weights * np.linalg.norm(vectors, axis=1)[place]).astype(np.float32),
-                 (folded / np.maximum(length, 1e-9)[:, None]).astype(np.float32),
-                 [r.item_id for r in items], [w.tolist() for w in words],
-                 [set(terms(t).tolist()) for t in last])
+    roots = np.sqrt(weights)
+    rows = spark.createDataFrame([(text.decode(),) for _, _, text in pieces], "text string")
+    vectors = randomised_svd(rows.repartition(2), place, roots, len(own),
+                             min(len(pieces), len(own)))
+    items = np.stack([roots[w] @ vectors[place[w]] for w in map(np.unique, words)])
+    folded = roots[own, None] * (vectors @ items.T)
+    cuts = np.searchsorted([size for size, _, _ in pieces], range(len(SIZES) + 1))
+    return Space(weights.astype(np.float32), place,
+                 np.vstack([folded, np.zeros((1, len(pieces)))]).astype(np.float32),
+                 np.sqrt([weights[w].sum() for w in words]).astype(np.float32),
+                 [slice(a, b) for a, b in itertools.pairwise(cuts.tolist())],
+                 np.array([n for _, n, _ in pieces]), passages)
 
 
 def common_share(item: list[int], text: np.ndarray, weights: np.ndarray) -> float:
@@ -167,41 +187,74 @@ def common_share(item: list[int], text: np.ndarray, weights: np.ndarray) -> floa
     return float(best[-1]) / total
 
 
+def candidates(at: np.ndarray, space: Space, cosine: float) -> Iterator[tuple]:
+    """(start, end, piece, cosine) of the windows of the terms ``at`` close to a piece.
+
+    Sums over steps of a text, folded in, give those of its windows.
+    """
+    rows = space.place[at]
+    square = np.concatenate(([0], np.cumsum(space.weights[at], dtype=np.float64)))
+    none = len(space.folded) - 1
+    widest = max(window for _, window in SIZES)
+    for c in range(0, len(at), CHUNK):
+        part = rows[c:c + CHUNK + widest]
+        if (part == none).all():
+            continue
+        part = np.pad(part, (0, -len(part) % STEP), constant_values=none)
+        steps = space.folded[part].reshape(-1, STEP, len(space.owners)).sum(axis=1)
+        upto = np.concatenate((np.zeros_like(steps[:1]), np.cumsum(steps, axis=0)))
+        for (_, window), pieces in zip(SIZES, space.sizes, strict=True):
+            stride = window // 4
+            starts = np.arange(c, min(c + CHUNK, max(1, len(at) - window + stride)), stride)
+            if pieces.start == pieces.stop or not len(starts):
+                continue
+            ends = np.minimum(starts + window, len(at))
+            dots = (upto[-((c - ends) // STEP), pieces] - upto[(starts - c) // STEP, pieces])
+            own = space.lengths[pieces]
+            length = np.sqrt(square[ends] - square[starts]).astype(np.float32)
+            close = dots / (own * np.minimum(length[:, None], own))
+            for n, piece in np.argwhere(close >= cosine - 1e-3):
+                yield (int(starts[n]), int(ends[n]), int(piece) + pieces.start,
+                       min(1.0, float(close[n, piece])))
+
+
 def found_in(text: bytes, space: Space, cosine: float, same: float, similar: float,
              answered: float) -> list[tuple]:
     """(item number, cosine, common share, answer share) of each passage found in a text."""
     at = terms(text)
-    if not len(at) or not (reach := space.reach[at]).any():
-        return []
-    starts = np.arange(0, max(1, len(at) - WINDOW + STRIDE), STRIDE)
-    ends = np.minimum(starts + WINDOW, len(at))
-    by = space.weights[at]
-    upto = np.concatenate(([0], np.cumsum(reach, dtype=np.float64)))
-    square = np.concatenate(([0], np.cumsum(np.square(by, dtype=np.float64))))
-    length = np.sqrt(np.maximum(square[ends] - square[starts], 1e-9))
-    able = np.flatnonzero((upto[ends] - upto[starts]) >= cosine * length)
     found: dict[int, tuple] = {}
-    for i in range(0, len(able), 256):
-        some = able[i:i + 256]
-        spots = np.minimum(starts[some, None] + np.arange(WINDOW), len(at) - 1)
-        inside = starts[some, None] + np.arange(WINDOW) < ends[some, None]
-        weight = np.where(inside, by[spots], 0).astype(np.float32)
-        folded = np.einsum("nw,nwk->nk", weight, space.vectors[space.place[at[spots]]])
-        close = folded @ space.items.T / length[some, None]
-        for n, item in np.argwhere(close >= cosine):
-            words = space.words[item]
-            if item in found:
-                continue
-            a, b = starts[some[n]], ends[some[n]]
-            near = at[max(0, a - len(words)):b + len(words)]
-            share = common_share(words, near, space.weights)
-            answer = space.answers[item]
-            has = len(answer & set(near.tolist())) / len(answer) if answer else 0.0
-            if share >= same or share >= similar and has >= answered:
-                found[item] = (int(item), float(close[n, item]), share, has)
+    for a, b, piece, close in candidates(at, space, cosine):
+        item = int(space.owners[piece])
+        if item in found:
+            continue
+        passage = space.passages[item]
+        words, answer = passage.words, passage.answer
+        near = at[max(0, a - len(words)):b + len(words)]
+        by = space.weights[words]
+        if by[np.isin(words, near)].sum() < min(same, similar) * by.sum() * 0.999:
+            continue  # more than any subsequence has
+        share = common_share(words.tolist(), near, space.weights)
+        has = len(answer & set(near.tolist())) / len(answer) if answer else 0.0
+        if share >= same or share >= similar and has >= answered:
+            found[item] = (item, close, share, has)
     return list(found.values())
 
 
+def _blocks(items: Iterator, most: int) -> Iterator[list[Passage]]:
+    """Passages with ``most`` pieces together, or one that has more."""
+    block: list[Passage] = []
+    for row in items:
+        passage = Passage.of(row.item_id, row.text.encode())
+        if not passage.pieces:
+            continue
+        if block and sum(len(p.pieces) for p in block) + len(passage.pieces) > most:
+            yield block
+            block = []
+        block.append(passage)
+    if block:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, same: float = 0.65,
                  similar: float = 0.5, answered: float = 0.5, rank: int = 256,
                  block_items: int = 256) -> DataFrame:
@@ -211,8 +264,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, sam
     weight, or ``similar`` with ``answered`` of its last sentence's words.  Null and empty
     texts are never hit, null or blank passages hit nothing; repeated rows and passages
     repeat.  Empty tables give an empty result.  Only doc_id, text and item_id, text are
-    read.  A block never has more passages than its space has dimensions, so the space
-    loses nothing and results don't depend on ``block_items`` or on the benchmark's size.
+    read.  A block has at most ``rank`` pieces of passages, or one passage, and its
+    space as many dimensions as pieces, so it loses nothing and results don't depend on ``block_items`` or on the benchmark's size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
@@ -224,14 +277,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, sam
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
              .where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
              .orderBy("item_id", "text").toLocalIterator())
-    for block in batched(items, min(block_items, rank)):
-        shipped = spark.sparkContext.broadcast(_space(spark, list(block), weights, rank))
+    for block in _blocks(items, min(block_items, rank)):
+        shipped = spark.sparkContext.broadcast(_space(spark, block, weights))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             space = shipped.value
             for batch, texts in text_batches(batches):
                 ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                hits = [(ids[i], keys[i], space.names[h[0]], *h[1:])
+                hits = [(ids[i], keys[i], space.passages[h[0]].name, *h[1:])
                         for i, text in enumerate(texts)
                         for h in found_in(text, space, cosine, same, similar, answered)]
                 yield pa.RecordBatch.from_arrays(

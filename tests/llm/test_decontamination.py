@@ -66,3 +66,30 @@ def test_large_benchmarks_are_searched_in_whole_spaces(spark):
     for options in ({}, {"block_items": 1024, "rank": 200}):
         got = [(r.doc_id, r.item_id) for r in contaminated(docs, benchmark, **options).collect()]
         assert sorted(got) == [(i, i) for i in range(640)]
+
+
+def random_words(rng, count):
+    return ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(count)]
+
+
+def test_passages_of_all_lengths_are_found(spark):
+    """Verbatim and with 30 % of the words replaced; short common ones beside rare words."""
+    rng = random.Random(6)
+    words, common = random_words(rng, 4000), random_words(rng, 40)
+    items = [rng.choices(words, k=n) for n in (24, 25, 73, 150, 400, 1200)]
+    items.append(rng.sample(common, 12))
+    texts = []
+    for k, item in enumerate(items):
+        for changed in (0, 0.3 * (k < 6)):
+            swapped = set(rng.sample(range(len(item)), int(changed * len(item))))
+            texts.append(rng.choices(words, k=70 + 3 * k) + [
+                f"new{rng.random()}" if i in swapped else w for i, w in enumerate(item)]
+                + [f"rare{rng.random()}" for _ in range(50)])
+    hit = len(texts)
+    texts += [rng.choices(words, k=30) + rng.choices(common, k=3) for _ in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)],
+                                      "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs, benchmark).collect()}
+    assert got == {(i, i // 2) for i in range(hit)}
