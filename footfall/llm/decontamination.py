@@ -50,7 +50,7 @@ def terms(text: bytes) -> np.ndarray:
 
 
 def term_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each term over all documents; common terms have 0.
+    """Inverse document frequency of each term over all documents, never below log 2.
 
     Each task sends its counts in slices of a fixed size; slices are added in two rounds.
     """
@@ -81,7 +81,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
     for row in parts.groupBy("slice").applyInPandas(added, schema).toLocalIterator():
         part = np.frombuffer(zlib.decompress(row.n), np.int64)
         seen[row.slice * SLICE:row.slice * SLICE + len(part)] = part
-    return np.maximum(0, np.log((seen[TERMS] + 1) / (seen[:TERMS] + 1)) - 1)
+    return np.log1p((seen[TERMS] + 1) / (seen[:TERMS] + 1))
 
 
 @dataclass

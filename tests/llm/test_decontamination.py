@@ -72,6 +72,21 @@ def random_words(rng, count):
     return ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(count)]
 
 
+def test_common_passages_are_found(spark):
+    """A passage in a third of all rows, and one in the only row there is."""
+    rng = random.Random(5)
+    words = random_words(rng, 4000)
+    item = " ".join(rng.choices(words, k=16))
+    texts = [rng.choices(words, k=60) for _ in range(300)]
+    for text in texts[::3]:
+        text[24:24] = [item]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in contaminated(docs, benchmark).collect()) == [*range(0, 300, 3)]
+    assert contaminated(docs.where("doc_id = 0"), benchmark).count() == 1
+
+
 def test_passages_of_all_lengths_are_found(spark):
     """Verbatim and with 30 % of the words replaced; short common ones beside rare words."""
     rng = random.Random(6)
