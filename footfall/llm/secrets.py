@@ -5,8 +5,8 @@ matches, so a row is read in place and never shuffled): assigned secrets, access
 identifiers and long hexadecimal strings count at once.  Weak candidates count only in
 company: a random-looking string, a short assigned value, a login name or an endpoint
 says little alone.  The parts of all documents form one table of intervals, cut into
-scopes of ``reach`` code points; parts meet by an equi-join on document and scope, the
-next scope included, and a weak part is reported where the parts near it complete it.
+scopes of ``reach`` code points; parts meet by an equi-join on document and scope, each
+in all its scopes and partners in the next ones too, and a weak part is reported where the parts near it complete it.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def linked(rows: DataFrame, reach: int) -> DataFrame:
     """The weak parts of each row that others complete, within ``reach`` code points.
 
     A secret is completed by an identifier; an identifier by a secret; an endpoint by an
-    identifier and a secret.
+    identifier and a secret, which may lie in it.  An identifier and a secret that overlap
+    are one value and don't complete each other.
     """
     role = F.array(*[F.lit(ROLES[k]) for k in KINDS])
     parts = settled(
@@ -110,15 +111,17 @@ def linked(rows: DataFrame, reach: int) -> DataFrame:
                 F.col("span.end").alias("end"),
                 F.element_at(role, F.col("span.kind") + 1).alias("role"))
         .withColumn("doc", F.coalesce("doc_id", F.lit(-1))), "secret-parts")
-    first = F.floor(F.col("start") / reach)
-    scopes = F.sequence(first - 1, F.floor(F.col("end") / reach) + 1)
+    first, last = F.floor(F.col("start") / reach), F.floor(F.col("end") / reach)
+    scopes = F.sequence(first - 1, last + 1)
     near = (parts.where(F.col("role").isin("id", "secret"))
             .select("doc", "row_key", F.col("role").alias("by"), F.col("start").alias("from"),
                     F.col("end").alias("upto"), F.explode(scopes).alias("scope")))
-    weak = parts.where(F.col("span.kind") >= KINDS.index("short")).withColumn("scope", first)
+    weak = parts.where(F.col("span.kind") >= KINDS.index("short")).withColumn(
+        "scope", F.explode(F.sequence(first, last)))
     apart = F.greatest(F.col("from") - F.col("end"), F.col("start") - F.col("upto"))
     met = (weak.join(near, ["doc", "row_key", "scope"])
-           .where((F.col("by") != F.col("role")) & apart.between(0, reach))
+           .where((F.col("by") != F.col("role")) & (apart <= reach)
+                  & ((apart >= 0) | (F.col("role") == "endpoint")))
            .groupBy("doc_id", "row_key", "span", "role")
            .agg(F.count_distinct("by").alias("kinds")))
     complete = F.col("kinds") >= F.when(F.col("role") == "endpoint", 2).otherwise(1)

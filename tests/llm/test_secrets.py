@@ -59,3 +59,12 @@ def test_weak_parts_need_company(spark):
         "user: bob " + "far " * 100 + " AbCdEfGhIjKlMnOpQrSt1234"])
     spans = {r.doc_id: r.spans for r in secret_scan(docs).collect()}
     assert spans == {0: "login:2:11,mixed:16:40,endpoint:44:57", 1: "", 2: ""}
+
+
+def test_long_and_overlapping_parts_meet(spark):
+    long = "AbCd1" * 200
+    docs = documents(spark, [f"{long}          user: bob", f"user: bob {long}",
+                             "https://a.b/c?user=bob&token=abc123", long])
+    spans = {r.doc_id: r.spans for r in secret_scan(docs).collect()}
+    assert spans == {0: "mixed:0:1000,login:1010:1019", 1: "login:0:9,mixed:10:1010",
+                     2: "endpoint:0:35,login:14:22,short:23:35", 3: ""}
