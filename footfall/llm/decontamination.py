@@ -38,7 +38,7 @@ SLICE = 1 << 15
 #: starts a quarter further.
 SIZES = ((24, 32), (72, 96))
 #: Words summed at once, and words of a text taken at once; both divide as strides need.
-STEP, CHUNK = 8, 4080
+STEP, CHUNK = 8, 960
 _SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 _PLAIN = bytes.maketrans(_SIGNS + bytes(range(65, 91)), b" " * len(_SIGNS) + bytes(range(97, 123)))
 
@@ -114,6 +114,17 @@ class Space:
     sizes: list[slice]        # pieces of each of SIZES
     owners: np.ndarray        # (pieces,) passage of each
     passages: list[Passage]
+    words: np.ndarray         # terms of all passages, one after the other
+    cuts: np.ndarray          # where each passage starts there
+    longest: int              # words of a passage
+
+    def possible(self, near: np.ndarray, share: float) -> np.ndarray:
+        """Of each passage, whether its words among ``near`` have that share of its weight."""
+        present = np.zeros(TERMS, bool)
+        present[near] = True
+        by = self.weights[self.words]
+        return (np.add.reduceat(by * present[self.words], self.cuts)
+                >= share * np.add.reduceat(by, self.cuts) * 0.999)
 
 
 def randomised_svd(passages: DataFrame, place: np.ndarray, weights: np.ndarray, size: int,
@@ -172,7 +183,10 @@ def _space(spark: SparkSession, passages: list[Passage], weights: np.ndarray) ->
                  np.vstack([folded, np.zeros((1, len(pieces)))]).astype(np.float32),
                  np.sqrt([weights[w].sum() for w in words]).astype(np.float32),
                  [slice(a, b) for a, b in itertools.pairwise(cuts.tolist())],
-                 np.array([n for _, n, _ in pieces]), passages)
+                 np.array([n for _, n, _ in pieces]), passages,
+                 np.concatenate([p.words for p in passages]),
+                 np.cumsum([0, *(len(p.words) for p in passages[:-1])]),
+                 max(len(p.words) for p in passages))
 
 
 def common_share(item: list[int], text: np.ndarray, weights: np.ndarray) -> float:
@@ -187,10 +201,12 @@ def common_share(item: list[int], text: np.ndarray, weights: np.ndarray) -> floa
     return float(best[-1]) / total
 
 
-def candidates(at: np.ndarray, space: Space, cosine: float) -> Iterator[tuple]:
+def candidates(at: np.ndarray, space: Space, cosine: float,
+               share: float) -> Iterator[tuple]:
     """(start, end, piece, cosine) of the windows of the terms ``at`` close to a piece.
 
-    Sums over steps of a text, folded in, give those of its windows.
+    Sums over steps of a text, folded in, give those of its windows.  Passages whose words
+    near the windows cannot have ``share`` of their weight are left out, which loses none.
     """
     rows = space.place[at]
     square = np.concatenate(([0], np.cumsum(space.weights[at], dtype=np.float64)))
@@ -200,21 +216,28 @@ def candidates(at: np.ndarray, space: Space, cosine: float) -> Iterator[tuple]:
         part = rows[c:c + CHUNK + widest]
         if (part == none).all():
             continue
+        able = space.possible(at[max(0, c - space.longest):c + CHUNK + widest + space.longest],
+                              share)[space.owners]
+        if not able.any():
+            continue
         part = np.pad(part, (0, -len(part) % STEP), constant_values=none)
-        steps = space.folded[part].reshape(-1, STEP, len(space.owners)).sum(axis=1)
+        steps = space.folded[np.ix_(part, able)].reshape(-1, STEP, able.sum()).sum(axis=1)
         upto = np.concatenate((np.zeros_like(steps[:1]), np.cumsum(steps, axis=0)))
         for (_, window), pieces in zip(SIZES, space.sizes, strict=True):
             stride = window // 4
             starts = np.arange(c, min(c + CHUNK, max(1, len(at) - window + stride)), stride)
-            if pieces.start == pieces.stop or not len(starts):
+            which = np.flatnonzero(able[pieces]) + pieces.start
+            if not len(which) or not len(starts):
                 continue
             ends = np.minimum(starts + window, len(at))
-            dots = (upto[-((c - ends) // STEP), pieces] - upto[(starts - c) // STEP, pieces])
-            own = space.lengths[pieces]
+            some = slice(np.count_nonzero(able[:pieces.start]),
+                         np.count_nonzero(able[:pieces.stop]))
+            dots = upto[-((c - ends) // STEP), some] - upto[(starts - c) // STEP, some]
+            own = space.lengths[which]
             length = np.sqrt(square[ends] - square[starts]).astype(np.float32)
             close = dots / (own * np.minimum(length[:, None], own))
             for n, piece in np.argwhere(close >= cosine - 1e-3):
-                yield (int(starts[n]), int(ends[n]), int(piece) + pieces.start,
+                yield (int(starts[n]), int(ends[n]), int(which[piece]),
                        min(1.0, float(close[n, piece])))
 
 
@@ -223,7 +246,7 @@ def found_in(text: bytes, space: Space, cosine: float, same: float, similar: flo
     """(item number, cosine, common share, answer share) of each passage found in a text."""
     at = terms(text)
     found: dict[int, tuple] = {}
-    for a, b, piece, close in candidates(at, space, cosine):
+    for a, b, piece, close in candidates(at, space, cosine, min(same, similar)):
         item = int(space.owners[piece])
         if item in found:
             continue

@@ -6,7 +6,8 @@ identifiers and long hexadecimal strings count at once.  Weak candidates count o
 company: a random-looking string, a short assigned value, a login name or an endpoint
 says little alone.  The parts of all documents form one table of intervals, cut into
 scopes of ``reach`` code points; parts meet by an equi-join on document and scope, each
-in all its scopes and partners in the next ones too, and a weak part is reported where the parts near it complete it.
+in all its scopes and partners in the next ones too, and a weak part is reported where
+the parts near it complete it.
 """
 
 from __future__ import annotations
