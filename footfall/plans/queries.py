@@ -517,7 +517,8 @@ def source_fallback(spark, sf):
 @query
 def source_states(spark, sf):
     """Live or demonstration state per customer of the chosen rows."""
-    return fallback.source_state(source_fallback(spark, sf), "visitors")
+    return fallback.source_state(source_fallback(spark, sf), "visitors",
+                                 live=("table", "csv", "archive"))
 
 
 @query
