@@ -15,7 +15,7 @@ def plain(text, n=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def reachable(ids, fps, within=4):
+def roots(ids, fps, within=4):
     parent = list(range(len(ids)))
 
     def root(i):
@@ -27,11 +27,14 @@ def reachable(ids, fps, within=4):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= within:
                 parent[root(i)] = root(j)
-    groups = {}
-    for i in range(len(ids)):
-        groups.setdefault(root(i), []).append(ids[i])
-    return [min((x for x in groups[root(i)] if x is not None), default=None)
-            for i in range(len(ids))]
+    return [root(i) for i in range(len(ids))]
+
+
+def reachable(ids, fps, within=4):
+    of, groups = roots(ids, fps, within), {}
+    for i, root in zip(ids, of, strict=True):
+        groups.setdefault(root, []).append(i)
+    return [min((x for x in groups[root] if x is not None), default=None) for root in of]
 
 
 def test_fingerprints():
@@ -50,7 +53,8 @@ def test_awkward_rows(spark):
     assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in rows) == want
     kept = kept_rows(awkward(spark))
     assert kept.columns == awkward(spark).columns
-    assert kept.count() == len({repr(c) for c in reachable(ids, fps)})
+    # two components may share a component_id, since two texts share id 9
+    assert kept.count() == len(set(roots(ids, fps)))
     assert near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
