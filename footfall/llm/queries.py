@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footfall.llm import (decontamination, exact_dedup, mixing, quality, secrets, simhash,
+from footfall.llm import (decontamination, exact_dedup, merkle, mixing, quality, secrets, simhash,
                           suffix_dedup, token_counts, token_ids, toxicity)
 
 QUERIES = {
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
