@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from footfall.llm import (decontamination, exact_dedup, merkle, mixing, quality, secrets, simhash,
-                          suffix_dedup, token_counts, token_ids, toxicity)
+from footfall.llm import (decontamination, exact_dedup, merkle, mixing, prefix_join, quality,
+                          secrets, simhash, suffix_dedup, token_counts, token_ids, toxicity)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_ngram_jaccard": prefix_join.op13_ngram_jaccard,
 }
 
 ORACLE = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op13_ngram_jaccard": prefix_join.SQL,
 }
