@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from footfall.llm import (decontamination, exact_dedup, merkle, mixing, prefix_join, quality,
-                          secrets, simhash, suffix_dedup, token_counts, token_ids, toxicity)
+                          secrets, simhash, suffix_dedup, token_counts, token_ids, toxicity, whitening)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_whitening": whitening.op12_whitening,
     "op13_ngram_jaccard": prefix_join.op13_ngram_jaccard,
 }
 
