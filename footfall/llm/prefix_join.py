@@ -4,6 +4,8 @@ The distinct shingles of a text, as 64-bit hashes, are put in one global order,
 first, by counts over all documents.  Two sets that are alike enough share a shingle among
 the first of each (the prefix), so the sets are dealt by their prefixes' shared shingles
 and every pair to be found meets in some shard.  Equal sets are one class and enter once.
+Of twice as many first shingles such sets share more than half, so a class that has fewer in
+common with any others is left out before.
 
 A shard stores its sets in a trie.  A set goes down the tree with the overlap that it has
 with the path so far, which all sets below share; a subtree is left out as soon as the
@@ -64,6 +66,22 @@ def ordered(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[np.argsort(counts[found & np.uint64(COUNTS - 1)], kind="stable")]
 
 
+def prefix(n: int, percent: int) -> int:
+    """How many first shingles a set of ``n`` needs, so that a set alike enough has one."""
+    return n + 1 - -(-percent * n // 100)
+
+
+def _in_common(percent: int) -> tuple[Column, Column]:
+    """Of a set of ``n``: the length of its prefix, and how many of twice that length it has
+    in common with the smallest set alike enough, at least."""
+    def length(n: str) -> str:
+        return f"({n} + 1 - ({percent} * {n} + 99) div 100)"
+
+    least = f"(({percent} * n + 99) div 100)"
+    return F.expr(length("n")), F.expr(
+        f"least(2 * {length(least)}, {least}) - {length(least)} + 1")
+
+
 def least_overlap(a: int, b: int, percent: int) -> int:
     """The least intersection of sets of these sizes that are alike enough."""
     return -(-percent * (a + b) // (100 + percent))
@@ -282,8 +300,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(cid)
-                first = len(found) + 1 - -(-percent * len(found) // 100)
-                prefixes.append(ordered(found, counts.value)[:first].view(np.int64))
+                first = ordered(found, counts.value)[:2 * prefix(len(found), percent)]
+                prefixes.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()),
                  pa.array(cids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -297,14 +315,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
         given.where("n > 0").groupBy("cid").agg(
             F.min(order).alias("least"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
         .select("cid", "n", "prefix", "least.doc_id", "least.row_key"), "classes")
-    tokens = classes.select("cid", "n", F.explode("prefix").alias("token"))
+    tokens = classes.select("cid", "n", F.posexplode("prefix").alias("at", "token"))
+    several = settled(tokens.groupBy("token").count().where("count > 1").select("token"), "several")
+    length, least = _in_common(percent)
+    having = settled(tokens.join(several, "token"), "in-common")
+    enough = (having.groupBy("cid", "n").agg(F.count("*").alias("common"))
+              .where(F.col("common") >= least).select("cid"))
+    having = having.where(F.col("at") < length).join(enough, "cid").select("cid", "n", "token")
     # shingles that the same classes share make the same shard: one of them is enough
-    shared = (tokens.groupBy("token").agg(
+    shared = (having.groupBy("token").agg(
         F.count("*").alias("sharing"), F.sum("n").alias("weight"),
         F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b"))
         .where("sharing > 1").groupBy("sharing", "weight", "a", "b")
         .agg(F.min("token").alias("token")))
-    members = settled(tokens.select("cid", "token").join(
+    members = settled(having.select("cid", "token").join(
         shared.select("token", "sharing",
                       F.ceil(F.col("weight") / shard).cast("int").alias("blocks")), "token"),
         "members")
