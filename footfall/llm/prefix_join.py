@@ -12,10 +12,10 @@ with the path so far, which all sets below share; a subtree is left out as soon
 sizes in it, the shingles already missed or those that remain cannot reach the threshold,
 and where all of it is known to be connected with the set already.
 
-Only connections are wanted, so shards run in two rounds.  First each class is dealt to
-one shingle, that which most classes share; then all shards of sets that aren't known to
-be connected.  A shingle shared by very many is dealt in blocks: block by block in the
-first round, each two blocks in the second.
+Only connections are wanted, so shards run in two rounds.  First those of the shingle that
+most others share with a class, for each class; then the shards of sets that aren't known
+to be connected and haven't all met in one shard before.  A shingle shared by very many is
+dealt in blocks: block by block in the first round, each two blocks in the second.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.llm.bitmap import bitmap, marked
 from footfall.llm.common import row_key, settled, table, text_batches
 from footfall.llm.components import components
 
@@ -71,15 +72,11 @@ def prefix(n: int, percent: int) -> int:
     return n + 1 - -(-percent * n // 100)
 
 
-def _in_common(percent: int) -> tuple[Column, Column]:
-    """Of a set of ``n``: the length of its prefix, and how many of twice that length it has
-    in common with the smallest set alike enough, at least."""
-    def length(n: str) -> str:
-        return f"({n} + 1 - ({percent} * {n} + 99) div 100)"
-
-    least = f"(({percent} * n + 99) div 100)"
-    return F.expr(length("n")), F.expr(
-        f"least(2 * {length(least)}, {least}) - {length(least)} + 1")
+def in_common(n: int, percent: int) -> int:
+    """Of the first shingles of a set of ``n``, twice its prefix: how many it has in common
+    with any set alike enough, at least (which is by the smallest such set)."""
+    least = -(-percent * n // 100)
+    return min(2 * prefix(least, percent), least) - prefix(least, percent) + 1
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -312,16 +309,45 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     # classes of equal sets; a large one is merged map-side
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     classes = settled(
-        given.where("n > 0").groupBy("cid").agg(
-            F.min(order).alias("least"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-        .select("cid", "n", "prefix", "least.doc_id", "least.row_key"), "classes")
-    tokens = classes.select("cid", "n", F.posexplode("prefix").alias("at", "token"))
-    several = settled(tokens.groupBy("token").count().where("count > 1").select("token"), "several")
-    length, least = _in_common(percent)
-    having = settled(tokens.join(several, "token"), "in-common")
-    enough = (having.groupBy("cid", "n").agg(F.count("*").alias("common"))
-              .where(F.col("common") >= least).select("cid"))
-    having = having.where(F.col("at") < length).join(enough, "cid").select("cid", "n", "token")
+        given.where("n > 0").groupBy("cid").agg(F.min(order).alias("least"), F.max("n").alias("n"))
+        .select("cid", "n", "least.doc_id", "least.row_key"), "classes")
+    prefixes = given.where("prefix IS NOT NULL").select("cid", "n", "prefix")
+    several = settled(
+        prefixes.select("cid", F.explode("prefix").alias("token")).groupBy("token")
+        .agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token"),
+        "several")
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(several))
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefixes, shingle by shingle, of classes that may have enough in common."""
+        bits = shipped.value
+        for batch in batches:
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy()
+            found = lists.values.to_numpy()
+            may = marked(bits, found)
+            upto = np.concatenate(([0], np.cumsum(may)))
+            n = batch.column(1).to_numpy()
+            least = np.fromiter((in_common(x, percent) for x in n.tolist()), np.int64, len(n))
+            good = upto[ends[1:]] - upto[ends[:-1]] >= least
+            row = np.repeat(np.arange(len(n)), np.diff(ends))
+            places = np.arange(ends[0], ends[-1])
+            take = may[places] & good[row]
+            row, places = row[take], places[take]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
+                 pa.array((places - ends[row]).astype(np.int32)), pa.array(found[places])],
+                ["cid", "n", "at", "token"])
+
+    having = settled(
+        prefixes.mapInArrow(enough, "cid long, n int, at int, token long")
+        .join(several, "token").dropDuplicates(["cid", "token"]), "in-common")
+    length = F.expr(f"n + 1 - ({percent} * n + 99) div 100")  # as in prefix, in_common
+    kept = (having.groupBy("cid", "n").agg(F.count("*").alias("common"))
+            .withColumn("small", F.expr(f"({percent} * n + 99) div 100"))
+            .withColumn("length", F.expr(f"small + 1 - ({percent} * small + 99) div 100"))
+            .where("common > least(2 * length, small) - length").select("cid"))
+    having = having.where(F.col("at") < length).join(kept, "cid").select("cid", "n", "token")
     # shingles that the same classes share make the same shard: one of them is enough
     shared = (having.groupBy("token").agg(
         F.count("*").alias("sharing"), F.sum("n").alias("weight"),
@@ -348,21 +374,26 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
         .select("cid", "text").mapInArrow(whole, "cid long, n int, tokens binary"), "sets")
 
     best = members.groupBy("cid").agg(F.max(F.struct("sharing", "blocks", "token")).alias("best"))
+    first = settled(members.join(best.select("best.token").distinct(), "token", "left_semi"),
+                    "members-first")
     places = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.array(_block(1), F.col("blocks") + _block(2)))
-    dealt = (best.select("cid", "best.token", "best.blocks")
-             .select("cid", "token", F.explode(places).alias("i"))
+    dealt = (first.select("cid", "token", F.explode(places).alias("i"))
              .select("cid", "token", "i", F.col("i").alias("j"), F.col("i").alias("block"),
                      F.col("cid").alias("root")))
     near = _shards(dealt, sets, percent, "links-first")
     known = settled(components(near), "components-first")
-    grouped = members.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
-        "root", F.coalesce("root", "cid"))
-    open_ = grouped.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(
-        "a <> b").select("token")
+    grouped = settled(members.join(known.withColumnRenamed("node", "cid"), "cid", "left")
+                      .withColumn("root", F.coalesce("root", "cid")), "members-known")
+    open_ = grouped.join(grouped.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+                         .where("a <> b").select("token"), "token", "left_semi")
+    # a shingle whose classes all met in one shard of the first round has nothing to add
+    met = first.where("blocks = 1").select("cid", F.col("token").alias("shard"))
+    covered = (open_.join(met, "cid").groupBy("token", "sharing", "shard").count()
+               .where("count = sharing").select("token").distinct())
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = (grouped.join(open_, "token", "left_semi").withColumn("block", _block(3))
+    dealt = (open_.join(covered, "token", "left_anti").withColumn("block", _block(3))
              .select("cid", "token", "root", "block", F.inline(pairs)))
     found = components(near.union(_shards(dealt, sets, percent, "links")))
 

@@ -21,7 +21,6 @@ are brought together first, without losing any:
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from footfall.llm.bitmap import bitmap, marked
 from footfall.llm.bwt import repeated
 from footfall.llm.common import row_key, settled, table, text_batches
 
 GRAM = 24
 #: String starts of a long text that are looked at together, with their places in 20 bits.
 SEGMENT = 1 << 19
-MARKS = 1 << 27
-SLICE = 1 << 20  # bytes of the bitmap
 #: Bytes of stretches whose transforms are merged at once.
 CHUNK = 1 << 18
 SALTS = 64
@@ -83,43 +81,6 @@ def stretches(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the bitmap for each hash."""
-    h = hashes.view(np.uint64)
-    return ((h & np.uint64(MARKS - 1)).astype(np.int64),
-            (h >> np.uint64(32) & np.uint64(MARKS - 1)).astype(np.int64))
-
-
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bitmap of MARKS bits of all anchors (anchor); of fixed size, so it may be sent around."""
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MARKS >> 3, np.uint8)
-        for batch in batches:
-            for at in _marks(batch.column(0).to_numpy()):
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for i in range(0, len(bits), SLICE):
-            if (part := bits[i:i + SLICE]).any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i // SLICE], pa.int32()),
-                     pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "bits"])
-
-    def joined(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLICE, np.uint8)
-        for frame in rows:
-            for bits in frame["bits"]:
-                total |= np.frombuffer(zlib.decompress(bits), np.uint8)
-        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
-
-    schema = "slice int, bits binary"
-    parts = anchors.mapInArrow(marked, schema).withColumn("turn", F.spark_partition_id() % 64)
-    parts = parts.groupBy("slice", "turn").applyInPandas(joined, schema)
-    out = np.zeros(MARKS >> 3, np.uint8)
-    for row in parts.groupBy("slice").applyInPandas(joined, schema).toLocalIterator():
-        out[row.slice * SLICE:(row.slice + 1) * SLICE] = np.frombuffer(
-            zlib.decompress(row.bits), np.uint8)
-    return out
-
-
 def _firsts(rows: DataFrame, keys: list[str], heavy: str, name: str) -> DataFrame:
     """``rows`` with ``later``: whether an equal row by ``keys`` comes before.
 
@@ -199,7 +160,7 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
 
     counted = settled(rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor")
                       .count().where("count > 1").select("anchor"), "anchors")
-    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(counted))
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(counted))
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shipped.value
@@ -207,8 +168,7 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
             out, data = [], []
             for i, text in enumerate(texts):
                 anchor, place, first, last = stretches(text, length)
-                a, b = _marks(anchor)
-                may = (bits[a >> 3] >> (a & 7) & 1 & (bits[b >> 3] >> (b & 7))).astype(bool)
+                may = marked(bits, anchor)
                 first, last = first[may], last[may]
                 out.append((np.full(len(first), i), anchor[may], place[may] - first, first))
                 data += [text[s:e + length] for s, e in zip(first.tolist(), last.tolist(),
