@@ -26,7 +26,7 @@ BASELINE_VERSION = "seasonal-naive-v1"
 BASELINE_HOLIDAY_VERSION = "seasonal-naive-holiday-v1"
 
 
-def _band(q1: Column, median: Column, q3: Column) -> list[Column]:
+def band(q1: Column, median: Column, q3: Column) -> list[Column]:
     return [half_even(median).alias("forecast"), half_even(not_negative(q1)).alias("low"),
             half_even(q3).alias("high")]
 
@@ -43,7 +43,7 @@ def baseline_by_weekday(daily: DataFrame, *, as_of: Column, days: int = 30,
     own_days = F.filter(F.sequence(start, end), lambda d: F.weekday(d) + 1 == F.col("weekday"))
     return (profile.withColumn("date_local", F.explode(own_days))
             .select(*keys, "date_local", "weekday",
-                    *_band(F.col("q1"), F.col("median"), F.col("q3"))))
+                    *band(F.col("q1"), F.col("median"), F.col("q3"))))
 
 
 def baseline_by_weekday_and_holiday(daily: DataFrame, *, as_of: Column, days: int = 30,
@@ -84,7 +84,7 @@ def baseline_by_weekday_and_holiday(daily: DataFrame, *, as_of: Column, days: in
     q = F.coalesce(F.element_at("profiles", position), F.col("overall"))
     return (ahead.withColumn("q", q)
             .select(*keys, "date_local", "weekday", "is_public_holiday",
-                    *_band(F.col("q")[0], F.col("q")[1], F.col("q")[2])))
+                    *band(F.col("q")[0], F.col("q")[1], F.col("q")[2])))
 
 
 def normalize_forecast(df: DataFrame, *, keys: Sequence[str] = ("site_id",)) -> DataFrame:

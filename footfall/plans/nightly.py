@@ -1,7 +1,9 @@
 """The nightly run: land, build features, forecast, recommend staff, log.
 
 Each step reads the tables of the step before and writes by natural key, so a run
-that stopped half-way is simply started again.
+that stopped half-way is simply started again.  With ``incremental`` the landed files are
+streams whose checkpoints know what has been read, and only days that gained rows are
+built again.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +26,11 @@ from footfall.operators.forecast import (
     BASELINE_HOLIDAY_VERSION, BASELINE_MODEL, as_predictions, baseline_by_weekday_and_holiday)
 from footfall.operators.staffing import staffing_recommendations
 from footfall.sinks.keyed import (
-    insert_ignore_table, read_table, upsert_table, write_partitions)
+    insert_ignore_table, read_table, touched_partitions, upsert_table, write_partitions)
 from footfall.sources.calendar import SCHOOL_BREAKS, calendar, days_between
-from footfall.sources.landed_json import read_count_pages, read_weather_arrays
+from footfall.sources.landed_json import (
+    read_count_pages, read_weather_arrays, stream_count_pages, stream_weather_arrays)
+from footfall.streaming.jobs import land_once, rebuild_changed
 
 _DATED = "date_local"
 
@@ -52,6 +56,10 @@ class NightlyConfig:
     #: load landed rows and rebuild features from this local day on; earlier days keep theirs
     since: str | None = None
     pretty_printed: bool = False
+    #: open each landed file once and rebuild the days that gained rows, however old
+    incremental: bool = False
+    #: landed files of a batch
+    files: int = 1000
 
     def path(self, table: str) -> str:
         return f"{self.tables.rstrip('/')}/{table}"
@@ -61,6 +69,97 @@ def stored(spark: SparkSession, cfg: NightlyConfig, table: str, schema: T.Struct
     return read_table(spark, cfg.path(table), _with_date(schema))
 
 
+def _dated(df: DataFrame, tz: str) -> DataFrame:
+    return df.withColumn(_DATED, local_date(F.col("ts"), tz))
+
+
+def load_calendar(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> int:
+    days = days_between(spark, cfg.first_day, as_of.date())
+    rows = calendar(days, breaks=cfg.school_breaks).withColumn("year", F.year(_DATED))
+    return insert_ignore_table(
+        rows, cfg.path("calendar"), key=[_DATED], partition="year",
+        schema=T.StructType([*schemas.CALENDAR.fields, T.StructField("year", T.IntegerType())]))
+
+
+def _features(spark: SparkSession, cfg: NightlyConfig, visits: DataFrame, weather: DataFrame,
+              stamp: Column, within: Column | None) -> int:
+    """Features of the given hours, upserted."""
+    days = read_table(spark, cfg.path("calendar"), schemas.CALENDAR)
+    rows = feature_store(visits.drop(_DATED), weather, days, tz=cfg.tz).withColumn(
+        "created_at", stamp)
+    # reserved columns and the time of first insertion are left alone
+    update = [c for c in schemas.FEATURE_STORE.names if c not in (
+        "site_id", "ts", _DATED, "created_at", "pedestrian_count", "event_count_nearby",
+        "event_max_visitors")]
+    return upsert_table(rows, cfg.path("feature_store"), key=["site_id", "ts"],
+                        schema=_with_date(schemas.FEATURE_STORE), partition=_DATED,
+                        update=update, within=within)
+
+
+def _days(cfg: NightlyConfig, features: DataFrame) -> int:
+    # whole days are summed again, so their partitions are simply replaced
+    return write_partitions(daily_history(features).select(*schemas.DAILY_HISTORY.names),
+                            cfg.path("daily_history"), _DATED)
+
+
+def land_files(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> dict[str, int]:
+    """Rows added from landed files that no earlier call has read.
+
+    Each of the two sources is a stream with its own checkpoint; the days that gain rows
+    are noted for :func:`rebuild_days`.
+    """
+    added = {"visits": 0, "weather": 0}
+    sources = {
+        "visits": (stream_count_pages(spark, cfg.counts, keys={"site_id": "BIGINT"},
+                                      pretty_printed=cfg.pretty_printed, files=cfg.files),
+                   schemas.VISITS_HOURLY, ["site_id", "ts"]),
+        "weather": (stream_weather_arrays(spark, cfg.weather, tz=cfg.tz,
+                                          pretty_printed=cfg.pretty_printed, files=cfg.files),
+                    schemas.WEATHER_HOURLY, ["ts"])}
+    for name, (rows, schema, key) in sources.items():
+        def count(n: int, name: str = name) -> None:
+            added[name] += n
+
+        land_once(_dated(rows, cfg.tz).withColumn("fetched_at", stamp), cfg.path(f"{name}_hourly"),
+                  cfg.path("changed_days"), schema=_with_date(schema), key=key, partition=_DATED,
+                  checkpoint=cfg.path(f"checkpoints/{name}"), counted=count).awaitTermination()
+    return added
+
+
+def rebuild_days(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> tuple[int, int]:
+    """Features and totals of the days noted since the last call; rows written of each.
+
+    Partitions of other days are neither read nor written.  A run that failed before it came
+    here leaves its notes to the next one.
+    """
+    written = [0, 0]
+    dates = T.StructType([T.StructField(_DATED, T.DateType())])
+    if read_table(spark, cfg.path("changed_days"), dates).isEmpty():
+        return 0, 0
+
+    def rebuild(changed: DataFrame) -> None:
+        def hours(table: str, schema: T.StructType) -> DataFrame:
+            return touched_partitions(stored(spark, cfg, table, schema), changed, _DATED)
+
+        written[0] += _features(spark, cfg, hours("visits_hourly", schemas.VISITS_HOURLY),
+                                hours("weather_hourly", schemas.WEATHER_HOURLY), stamp, None)
+        written[1] += _days(cfg, hours("feature_store", schemas.FEATURE_STORE))
+
+    rebuild_changed(spark, cfg.path("changed_days"), dates, rebuild,
+                    checkpoint=cfg.path("checkpoints/features")).awaitTermination()
+    return written[0], written[1]
+
+
+def load_and_rebuild(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> dict[str, int]:
+    """The part of an incremental run that comes before the forecast: rows by step."""
+    stamp = instant_from_local(now_local(as_of), cfg.tz)
+    added = land_files(spark, cfg, stamp)
+    days = load_calendar(spark, cfg, as_of)
+    features, totals = rebuild_days(spark, cfg, stamp)
+    return {"load visits": added["visits"], "load weather": added["weather"],
+            "load calendar": days, "build features": features, "sum days": totals}
+
+
 def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
     """Run all steps for the wall-clock time ``as_of``; returns the run id."""
     run_id = uuid.uuid4().hex
@@ -78,14 +177,11 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
         log.append((run_id, name, rows, time.monotonic() - start))
         return rows
 
-    def dated(df: DataFrame) -> DataFrame:
-        return df.withColumn(_DATED, local_date(F.col("ts"), cfg.tz))
-
     # with ``since``, older landed rows are left out and older partitions not read
     loaded = None if cfg.since is None else recent
 
     def landed(df: DataFrame) -> DataFrame:
-        rows = dated(df).withColumn("fetched_at", stamp)
+        rows = _dated(df, cfg.tz).withColumn("fetched_at", stamp)
         return rows if loaded is None else rows.filter(loaded)
 
     def load_counts() -> int:
@@ -102,33 +198,14 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
             landed(arrays), cfg.path("weather_hourly"), schema=_with_date(schemas.WEATHER_HOURLY),
             key=["ts"], partition=_DATED, within=loaded)
 
-    def load_calendar() -> int:
-        days = days_between(spark, cfg.first_day, as_of.date())
-        rows = calendar(days, breaks=cfg.school_breaks).withColumn("year", F.year(_DATED))
-        return insert_ignore_table(
-            rows, cfg.path("calendar"), key=[_DATED], partition="year",
-            schema=T.StructType([*schemas.CALENDAR.fields, T.StructField("year", T.IntegerType())]))
-
     def build_features() -> int:
         visits = stored(spark, cfg, "visits_hourly", schemas.VISITS_HOURLY)
         weather = stored(spark, cfg, "weather_hourly", schemas.WEATHER_HOURLY)
-        visits, weather = visits.filter(recent), weather.filter(recent)
-        days = read_table(spark, cfg.path("calendar"), schemas.CALENDAR)
-        rows = feature_store(visits.drop(_DATED), weather, days, tz=cfg.tz).withColumn(
-            "created_at", stamp)
-        # reserved columns and the time of first insertion are left alone
-        update = [c for c in schemas.FEATURE_STORE.names if c not in (
-            "site_id", "ts", _DATED, "created_at", "pedestrian_count", "event_count_nearby",
-            "event_max_visitors")]
-        return upsert_table(rows, cfg.path("feature_store"), key=["site_id", "ts"],
-                            schema=_with_date(schemas.FEATURE_STORE), partition=_DATED,
-                            update=update, within=recent)
+        return _features(spark, cfg, visits.filter(recent), weather.filter(recent), stamp, recent)
 
     def write_days() -> int:
         features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
-        # whole days are summed again, so their partitions are simply replaced
-        return write_partitions(daily_history(features.filter(recent)).select(*schemas.DAILY_HISTORY.names),
-                                cfg.path("daily_history"), _DATED)
+        return _days(cfg, features.filter(recent))
 
     def forecast() -> DataFrame:
         # the small daily table, not the hourly one, is read over its whole length
@@ -158,12 +235,19 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
             update=["start_min", "end_min", "predicted_visitors", "recommended_staff",
                     "demand_level", "model_version", "created_at"])
 
-    step("load visits", load_counts)
-    step("load weather", load_weather)
-    step("load calendar", load_calendar)
-    if step("build features", build_features) == 0 and cfg.since is None:
-        raise ValueError("the feature store is empty: no history to forecast from")
-    step("sum days", write_days)
+    if cfg.incremental:
+        start = time.monotonic()
+        rows = load_and_rebuild(spark, cfg, as_of)
+        log += [(run_id, name, n, time.monotonic() - start) for name, n in rows.items()]
+        if stored(spark, cfg, "daily_history", schemas.DAILY_HISTORY).isEmpty():
+            raise ValueError("the feature store is empty: no history to forecast from")
+    else:
+        step("load visits", load_counts)
+        step("load weather", load_weather)
+        step("load calendar", lambda: load_calendar(spark, cfg, as_of))
+        if step("build features", build_features) == 0 and cfg.since is None:
+            raise ValueError("the feature store is empty: no history to forecast from")
+        step("sum days", write_days)
     step("write predictions", write_predictions)
     step("write staffing", write_staffing)
 

@@ -418,6 +418,36 @@ ORACLE: dict[str, str] = {
         LEFT JOIN holidays h ON h.day = d
         LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS o, count(*) AS n FROM orders GROUP BY 1) ON o = d""",
                          "holidays"),
+    "calendar_by_region": _sql(f"""
+        , days AS (SELECT CAST(unnest(range(a, z + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (
+          SELECT min(CAST({_local('ts')} AS DATE)) AS a, max(CAST({_local('ts')} AS DATE)) AS z FROM events)),
+        off AS (SELECT DISTINCT region, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day
+          FROM (VALUES (0, DATE '2024-01-01', DATE '2024-01-06'), (0, DATE '2024-01-05', DATE '2024-01-09'),
+            (1, DATE '2024-01-03', DATE '2024-01-05'), (1, DATE '2024-01-06', DATE '2024-01-07'),
+            (1, DATE '2024-01-20', DATE '2024-01-20'), (2, DATE '2024-01-10', DATE '2024-01-28'),
+            (2, DATE '2024-01-12', DATE '2024-01-14'), (2, DATE '2024-01-16', DATE '2024-02-02'),
+            (4, DATE '2023-12-20', DATE '2024-01-02'), (4, DATE '2024-01-29', DATE '2024-01-25')) AS t(region, a, b)),
+        breaks AS (SELECT region, day, min(day) OVER run AS a, max(day) OVER run AS z FROM (
+          SELECT *, day - CAST(row_number() OVER (PARTITION BY region ORDER BY day) AS INT) AS run_id FROM off)
+          WINDOW run AS (PARTITION BY region, run_id))
+        SELECT s_suppkey AS site_id, d.day AS date_local, n_regionkey AS region,
+          h.day IS NOT NULL AS is_public_holiday, holiday_name, b.day IS NOT NULL AS is_school_holiday,
+          b.a AS break_first_day, b.z AS break_last_day
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey CROSS JOIN days d
+          LEFT JOIN holidays h ON h.day = d.day
+          LEFT JOIN breaks b ON b.region = n_regionkey AND b.day = d.day""", "holidays"),
+    "event_features": _sql(f"""
+        , sites AS (SELECT g AS site_id, radians(g * 0.0131::DOUBLE + 48.13::DOUBLE) AS lat,
+            radians(g * 0.0207::DOUBLE + 11.55::DOUBLE) AS lon FROM range(5) AS r(g)),
+        happenings AS (SELECT CAST({_local('ts')} AS DATE) AS day, CAST(floor(value * 10) AS INT) AS expected,
+            radians(event_id * 7919 % 3001 * 0.0001::DOUBLE + 48.0::DOUBLE) AS lat,
+            radians(event_id * 104729 % 4001 * 0.0001::DOUBLE + 11.4::DOUBLE) AS lon
+          FROM events WHERE event_type = 'purchase'),
+        near AS (SELECT site_id, day, count(*) AS n, max(expected) AS largest FROM sites s JOIN happenings e
+          ON 2 * 6371 * asin(sqrt(sin((e.lat - s.lat) / 2) ** 2
+            + cos(s.lat) * cos(e.lat) * sin((e.lon - s.lon) / 2) ** 2)) <= 2.0 GROUP BY 1, 2)
+        SELECT f.site_id, ts, date_local, n AS event_count_nearby, largest AS event_max_visitors
+        FROM features f LEFT JOIN near ON near.site_id = f.site_id AND day = date_local""", "features"),
     "daily_history": _sql("SELECT * FROM feature_days", "feature_days"),
     "weekday_profile_sql": _sql("SELECT * FROM profile", "profile"),
     "weekday_holiday_profile": _sql("SELECT * FROM holiday_profile", "holiday_profile"),
@@ -491,6 +521,28 @@ ORACLE: dict[str, str] = {
           ON p.site_id = d.site_id AND p.weekday = d.weekday AND d.date_local > p.origin
             AND d.date_local <= p.origin + 30)
         GROUP BY 1, 2""", "daily_series"),
+    "backtest_all_origins": _sql(f"""
+        , span AS (SELECT site_id, min(date_local) AS a, max(date_local) AS z FROM daily_series GROUP BY 1),
+        profiles AS (
+          SELECT s.site_id, o.origin, d.weekday, quantile_cont(visitors, 0.5) AS median
+          FROM span s JOIN (SELECT CAST(unnest(range(DATE '1990-01-01', DATE '2010-01-01', INTERVAL 1 DAY)) AS DATE) AS origin) o
+            ON o.origin BETWEEN s.a AND s.z
+          JOIN daily_series d ON d.site_id = s.site_id AND d.date_local <= o.origin
+          GROUP BY 1, 2, 3),
+        errors AS (
+          SELECT t.site_id, CAST(t.date_local - p.origin AS INT) AS lead, t.visitors AS actual,
+            CAST({_int('median')} AS DOUBLE) - t.visitors AS e
+          FROM profiles p JOIN daily_series t ON t.site_id = p.site_id AND t.weekday = p.weekday
+            AND t.date_local > p.origin AND t.date_local <= p.origin + 30)
+        SELECT site_id, lead, count(*) AS n_days, round_even({_sum('abs(e)')} / count(*), 6) AS mae,
+          round_even(sqrt({_sum('e * e')} / count(*)), 6) AS rmse,
+          round_even({_sum('CASE WHEN actual > 0 THEN abs(e) / actual END')}
+            / count(CASE WHEN actual > 0 THEN 1 END) * 100, 6) AS mape
+        FROM errors GROUP BY 1, 2""", "daily_series"),
+    "weekday_profile_sketch": _sql("""
+        SELECT site_id, weekday, count(*) AS n_days, quantile_disc(visitors, 0.25) AS q1,
+          quantile_disc(visitors, 0.5) AS median, quantile_disc(visitors, 0.75) AS q3
+        FROM daily_series GROUP BY 1, 2""", "daily_series"),
     "synthetic_series": _synthetic("daily_series", "daily_series"),
     "demo_history": _synthetic("""(
         SELECT s_suppkey AS site_id, d AS date_local, CAST(isodow(d) AS INT) AS weekday
@@ -610,6 +662,24 @@ ORACLE: dict[str, str] = {
               WHERE ts_local >= TIMESTAMP '2024-01-15 12:20:00' AND ts_local < TIMESTAMP '2024-01-18'
               QUALIFY position <= 8)
         LEFT JOIN {_ICONS} ON code = weather_code""", "weather"),
+    "weather_at_visits": _sql("""
+        , placed AS (SELECT e.event_id, e.ts,
+            CASE WHEN b.ts IS NULL OR a.ts - e.ts < e.ts - b.ts THEN a.ts ELSE b.ts END AS seen
+          FROM events e ASOF LEFT JOIN weather b ON e.ts >= b.ts ASOF LEFT JOIN weather a ON e.ts <= a.ts)
+        SELECT p.event_id, p.ts, w.temperature_c, w.precipitation_mm, w.weather_code,
+          w.ts AS observed_at, (epoch_us(w.ts) - epoch_us(p.ts)) / 1e6 AS seconds_off
+        FROM placed p LEFT JOIN weather w ON w.ts = p.seen
+          AND abs(epoch_us(p.seen) - epoch_us(p.ts)) <= 43200 * 1000000::BIGINT""", "weather"),
+    "weather_relation": _sql(f"""
+        SELECT site_id, factor, count(*) AS n_days, round_even(corr(v, x), 6) AS correlation,
+          round_even(regr_slope(v, x), 6) AS slope, round_even(regr_intercept(v, x), 6) AS level
+        FROM (SELECT site_id, CAST({_local('ts')} AS DATE) AS d, CAST(sum(count_enter) AS DOUBLE) AS v
+              FROM visits GROUP BY 1, 2 HAVING v IS NOT NULL)
+        JOIN (SELECT d, unnest(['avg_temp', 'rain']) AS factor,
+                round_even(unnest([t, r]), 6) AS x FROM (
+                SELECT CAST({_local('ts')} AS DATE) AS d, {_sum('temperature_c')} / count(temperature_c) AS t,
+                  {_sum('precipitation_mm')} AS r FROM weather GROUP BY 1)) USING (d)
+        GROUP BY 1, 2""", "visits", "weather"),
     "weather_code_lookup": _sql(f"""
         SELECT weather_code, event_id, {_TEXT}, coalesce(description, 'Unbekannt') AS description
         FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS weather_code FROM events)
@@ -739,6 +809,7 @@ ORACLE: dict[str, str] = {
           CAST(sum(count_enter) AS BIGINT) AS count_enter, CAST(sum(count_exit) AS BIGINT) AS count_exit
         FROM visits GROUP BY 1, 2""", "visits"),
     "stream_enrich": _sql("SELECT * FROM features", "features"),
+    "nightly_incremental": _sql("SELECT * FROM features", "features"),
     "stream_upsert": """
         SELECT user_id, ts, event_type, value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions import labels
+from footfall.functions.literals import constant_table
 from footfall.functions.numbers import demand_level, staff_for
 from footfall.functions.timeparts import iso_weekday, local_date, today
 from footfall.operators import (
-    audit, coverage, evaluation, features, forecast, history, reports, shifts, staffing, weather)
+    audit, coverage, evaluation, features, forecast, history, nearest, places, relation, reports,
+    shifts, sketches, staffing, weather)
 from footfall.plans import streams, views
 from footfall.session import work_dir
 from footfall.sinks.exports import write_csv
@@ -23,6 +26,13 @@ from footfall.sources import calendar, fallback, landed_json, synthetic, tabular
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: region, first and last day; some overlap, touch or hold others
+REGION_BREAKS = (
+    (0, "2024-01-01", "2024-01-06"), (0, "2024-01-05", "2024-01-09"),
+    (1, "2024-01-03", "2024-01-05"), (1, "2024-01-06", "2024-01-07"),
+    (1, "2024-01-20", "2024-01-20"), (2, "2024-01-10", "2024-01-28"),
+    (2, "2024-01-12", "2024-01-14"), (2, "2024-01-16", "2024-02-02"),
+    (4, "2023-12-20", "2024-01-02"), (4, "2024-01-29", "2024-01-25"))
 SEARCH_BREAKS = (("1996-07-25", "1996-09-09"), ("1998-12-23", "1999-01-08"))
 
 
@@ -55,6 +65,33 @@ def calendar_dim(spark, sf):
             .withColumn("n_orders", F.coalesce("n_orders", F.lit(0))))
 
 
+@query
+def calendar_by_region(spark, sf):
+    """Every day of the events for every supplier, with the breaks of its region."""
+    days = calendar.days_spanned(views.events(spark, sf), local_date(F.col("ts")))
+    sites = views.table(spark, sf, "supplier").join(
+        views.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("site_id"), F.col("n_regionkey").alias("region"))
+    breaks = constant_table(spark, ("region", "first_day", "last_day"), [
+        (r, date.fromisoformat(a), date.fromisoformat(b)) for r, a, b in REGION_BREAKS])
+    # all days of all sites, by a constant key
+    each = sites.select("site_id", F.lit(0).alias("one")).join(
+        days.select(F.lit(0).alias("one"), "date_local"), "one").drop("one")
+    return calendar.calendar_by_region(each, sites, breaks)
+
+
+@query
+def event_features(spark, sf):
+    """Hourly features with the events near each of the five sites."""
+    days = places.events_near(views.site_places(spark), views.places_of_events(spark, sf),
+                              radius_km=2.0)
+    rows = features.feature_store(
+        views.visits_hourly(spark, sf), views.weather_hourly(spark, sf),
+        views.event_calendar(spark, sf), event_days=days)
+    return views.as_naive_utc(rows, "ts").select(
+        "site_id", "ts", "date_local", "event_count_nearby", "event_max_visitors")
+
+
 @query
 def daily_history(spark, sf):
     return views.feature_days(spark, sf)
@@ -260,6 +297,27 @@ def forecast_metrics(spark, sf):
         *[F.bround(c, 6).alias(c) for c in ("mae", "rmse", "mape")])
 
 
+@query
+def backtest_all_origins(spark, sf):
+    """Errors by days ahead, over a forecast made on every day of each series."""
+    daily = views.daily_series(spark, sf)
+    made = evaluation.backtest_every_day(daily)
+    return evaluation.forecast_metrics(made, daily, by=("lead",)).select(
+        "site_id", "lead", "n_days", *[F.bround(c, 6).alias(c) for c in ("mae", "rmse", "mape")])
+
+
+@query
+def weekday_profile_sketch(spark, sf):
+    """weekday_profile_sql from stored sketches; one month comes in a second write."""
+    daily, path = views.daily_series(spark, sf), work_dir(spark, "profile-sketches")
+    month = F.trunc("date_local", "month")
+    late = month == F.lit("1996-03-01").cast("date")
+    early = daily.filter(~late)
+    sketches.refresh_sketches(early, early, path)
+    sketches.refresh_sketches(daily, daily.filter(late), path)
+    return sketches.sketched_profile(spark.read.parquet(path))
+
+
 @query
 def synthetic_series(spark, sf):
     """Demonstration values for every series and day of the daily series."""
@@ -432,6 +490,26 @@ def weather_forecast_strip(spark, sf):
     return weather.weather_strip(views.weather_hourly(spark, sf), as_of=views.WEATHER_NOW)
 
 
+@query
+def weather_at_visits(spark, sf):
+    """Every event with the weather hour nearest to it."""
+    events = views.events(spark, sf).select("event_id", "ts")
+    near = nearest.nearest_rows(events, views.weather_hourly(spark, sf), within=12 * 3600)
+    return views.as_naive_utc(near, "ts", "observed_at")
+
+
+@query
+def weather_relation(spark, sf):
+    """Correlation and line of visitors by temperature and by rain, per site."""
+    daily = features.daily_visitors(views.visits_hourly(spark, sf)).join(
+        features.daily_weather(views.weather_hourly(spark, sf)), "date_local")
+    both = [relation.merged_relation(relation.day_moments(daily, x, "visitors")).withColumn(
+        "factor", F.lit(x)) for x in ("avg_temp", "rain")]
+    return both[0].unionByName(both[1]).select(
+        "site_id", "factor", "n_days",
+        *[F.bround(c, 6).alias(c) for c in ("correlation", "slope", "level")])
+
+
 @query
 def weather_code_lookup(spark, sf):
     """Every event's code with its text."""
@@ -533,20 +611,10 @@ def scan_paged_json(spark, sf):
 def scan_array_json(spark, sf):
     """Hourly weather packed as arrays per local day, written, and read back."""
     path = work_dir(spark, "weather-arrays")
-    hourly = views.weather_hourly(spark, sf).withColumn(
-        "local", F.convert_timezone(F.current_timezone(), F.lit("Europe/Berlin"),
-                                    F.col("ts").cast("timestamp_ntz")))
-    record = F.struct("local", "temperature_c", "precipitation_mm", "weather_code")
-    packed = hourly.groupBy(F.to_date("local").alias("d")).agg(
-        F.sort_array(F.collect_list(record)).alias("r"))
-    payload = packed.select(F.struct(
-        F.transform("r", lambda x: F.date_format(x["local"], "yyyy-MM-dd'T'HH:mm")).alias("time"),
-        F.col("r.temperature_c").alias("temperature_2m"),
-        F.col("r.precipitation_mm").alias("precipitation"),
-        F.col("r.weather_code").alias("weather_code"),
-        F.transform("r", lambda x: x["precipitation_mm"] * 2).alias("wind_speed_10m"),
-        F.transform("r", lambda x: x["weather_code"] % 101).alias("cloud_cover")).alias("hourly"))
-    payload.write.json(path)
+    hourly = views.weather_hourly(spark, sf).select(
+        "*", (F.col("precipitation_mm") * 2).alias("wind_speed_kmh"),
+        (F.col("weather_code") % 101).alias("cloud_cover_pct"))
+    landed_json.weather_per_day_arrays(hourly).write.json(path)
     return views.as_naive_utc(landed_json.read_weather_arrays(spark, path), "ts")
 
 
@@ -630,4 +698,5 @@ def display_labels(spark, sf):
 QUERIES.update(
     stream_dedup=streams.stream_dedup, stream_daily=streams.stream_daily,
     stream_enrich=streams.stream_enrich, stream_upsert=streams.stream_upsert,
-    stream_upsert_batches=streams.stream_upsert_batches)
+    stream_upsert_batches=streams.stream_upsert_batches,
+    nightly_incremental=streams.nightly_incremental)

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.timeparts import instant_from_utc, local_date
 from footfall.operators.features import feature_store
-from footfall.plans import views
-from footfall.schemas import flat_schema
+from footfall.plans import nightly, views
+from footfall.schemas import FEATURE_STORE, flat_schema
 from footfall.session import work_dir
-from footfall.sinks.keyed import read_table
+from footfall.sinks.keyed import key_bucket, read_table, write_partitions
+from footfall.sources import landed_json
 from footfall.streaming import jobs
 
 _COPIES = flat_schema(
     "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, "
-    "part BIGINT")
+    "date_local DATE")
 _STORED = flat_schema(
     "event_id BIGINT, site_id BIGINT, ts TIMESTAMP, event_type STRING, value DOUBLE, "
     "date_local DATE")
-#: Partitions of tables that are kept by a key without a date.
-PARTS = 8
 _DAYS = flat_schema(
     "site_id BIGINT, count_enter BIGINT, count_exit BIGINT, date_local DATE")
 _LAST_SEEN = flat_schema(
@@ -31,31 +32,49 @@ _FEATURES = flat_schema(
     "precipitation_mm DOUBLE, weather_code INT, visitor_count BIGINT, date_local DATE")
 
 
-def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """One status call to the path's own file system; nothing below it is listed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return place.getFileSystem(conf).getFileStatus(place).isDirectory()
+
+
+def _events_stream(spark: SparkSession, sf_dir: str, files: int = 1000) -> DataFrame:
     """The events table as a file stream, be it one file or a folder of files."""
     path = f"{sf_dir}/events.parquet"
-    files = spark.read.schema(views.TABLES["events"]).parquet(path).inputFiles()
-    reader = spark.readStream.schema(views.TABLES["events"])
-    if len(files) == 1 and files[0].endswith("/events.parquet"):  # a stream reads folders only
+    reader = spark.readStream.schema(views.TABLES["events"]).option("maxFilesPerTrigger", files)
+    if not _is_folder(spark, path):  # a stream reads folders only
         reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
     return reader.parquet(path).withColumn("ts", instant_from_utc(F.col("ts")))
 
 
-def _part(key: str) -> Column:
-    """A partition that follows from the key alone."""
-    return F.pmod(F.col(key), F.lit(PARTS))
-
-
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event delivered twice, stored once."""
-    path, checkpoint = work_dir(spark, "events"), work_dir(spark, "events-checkpoint")
-    stream = _events_stream(spark, sf_dir)
-    twice = stream.union(stream).withColumn("part", _part("event_id"))
-    jobs.ingest_once(twice.drop("props"), path, schema=_COPIES, key=["event_id"],
-                     partition="part", follows_key=True,
-                     checkpoint=checkpoint).awaitTermination()
-    stored = read_table(spark, path, _COPIES).withColumn("date_local", local_date(F.col("ts")))
-    return views.as_naive_utc(stored, "ts").drop("part")
+    """Events in four deliveries, one batch each, stored once.
+
+    A delivery holds a third of the time, each second event twice.  The next one brings
+    every third event of it again and, for the first time, each tenth: both are beyond the
+    watermark by then, but for the last days.
+    """
+    landed, path = work_dir(spark, "landed-events"), work_dir(spark, "events")
+    events = views.table(spark, sf_dir, "events").drop("props")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    turn = F.least(F.floor(F.unix_micros(instant_from_utc(F.col("ts"))) / 1e6 - F.unix_timestamp(
+        F.lit(first)).cast("double")) / F.lit(max((last - first).total_seconds(), 1.0) / 3), F.lit(2.0))
+    turned = events.withColumn("turn", F.floor(turn).cast("int"))
+    held = F.col("event_id") % 10 == 0
+    for number in range(4):
+        now, before = F.col("turn") == number, F.col("turn") == number - 1
+        copies = F.when(now & ~held, F.when(F.col("event_id") % 2 == 0, 2).otherwise(1)).when(
+            before & (held | (F.col("event_id") % 3 == 0)), 1).otherwise(0)
+        (turned.withColumn("copy", F.explode(F.sequence(F.lit(0), copies)))
+         .filter("copy > 0").select(*events.columns).coalesce(1)
+         .write.mode("append").parquet(landed))
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+              .withColumn("ts", instant_from_utc(F.col("ts"))))
+    jobs.ingest_watermarked(
+        stream.withColumn("date_local", local_date(F.col("ts"))), path, schema=_COPIES,
+        key=["event_id"], partition="date_local", checkpoint=work_dir(spark, "events-checkpoint"))
+    return views.as_naive_utc(jobs.read_ingested(spark, path, _COPIES), "ts")
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,25 +88,56 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, days, _DAYS)
 
 
+def nightly_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features after three nights of landed files.
+
+    The second night brings new hours and, with other counts, hours that are known; the
+    third old hours for the first time, visits and weather.
+    """
+    root = work_dir(spark, "nightly")
+    visits, weather = views.visits_hourly(spark, sf_dir), views.weather_hourly(spark, sf_dir)
+    day, morning = F.dayofmonth("ts"), F.hour("ts") < 12
+    again = visits.filter(day % 3 == 1).withColumn("count_enter", F.col("count_enter") + 1000)
+    nights = (
+        (visits.filter(day % 3 > 0), weather.filter(day % 2 == 0)),
+        (visits.filter((day % 3 == 0) & morning).unionByName(again), None),
+        (visits.filter((day % 3 == 0) & ~morning), weather.filter(day % 2 == 1)))
+    cfg = nightly.NightlyConfig(f"{root}/counts", f"{root}/weather", f"{root}/tables", "2023-12-31",
+                                school_breaks=views.SCHOOL_BREAKS_2024, incremental=True)
+    for number, (counts, hours) in enumerate(nights):
+        landed_json.visits_per_day_pages(counts).write.mode("append").json(cfg.counts)
+        if hours is not None:
+            landed_json.weather_per_day_arrays(hours).write.mode("append").json(cfg.weather)
+        nightly.load_and_rebuild(spark, cfg, datetime(2024, 2, 1, 3) + timedelta(days=number))
+    rows = nightly.stored(spark, cfg, "feature_store", FEATURE_STORE).select(*_FEATURES.names)
+    return views.as_naive_utc(rows, "ts")
+
+
 def stream_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of hourly counts joined with calendar and weather, upserted."""
     landed, path = work_dir(spark, "landed-hours"), work_dir(spark, "features")
     views.visits_hourly(spark, sf_dir).write.parquet(landed)
+    stored = work_dir(spark, "weather")
+    day = local_date(F.col("ts"))
+    weather = views.weather_hourly(spark, sf_dir).withColumn("date_local", day)
+    write_partitions(weather, stored, "date_local")
     stream = spark.readStream.schema(
         "site_id BIGINT, ts TIMESTAMP, count_enter BIGINT, count_exit BIGINT").parquet(landed)
-    rows = feature_store(stream, views.weather_hourly(spark, sf_dir), views.event_calendar(spark, sf_dir))
-    jobs.upsert_stream(rows.select(*_FEATURES.names), path, schema=_FEATURES,
-                       key=["site_id", "ts"], partition="date_local",
-                       update=[c for c in _FEATURES.names
-                               if c not in ("site_id", "ts", "date_local")],
-                       checkpoint=work_dir(spark, "features-checkpoint")).awaitTermination()
+    days = views.event_calendar(spark, sf_dir)
+    jobs.enrich_stream(
+        stream.withColumn("date_local", day), path,
+        lambda visits, near: feature_store(visits.drop("date_local"), near, days),
+        read_table(spark, stored, weather.schema), schema=_FEATURES, key=["site_id", "ts"],
+        partition="date_local", update=[c for c in _FEATURES.names
+                                        if c not in ("site_id", "ts", "date_local")],
+        checkpoint=work_dir(spark, "features-checkpoint")).awaitTermination()
     return views.as_naive_utc(read_table(spark, path, _FEATURES), "ts")
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of every user, kept by upsert."""
     path = work_dir(spark, "last-seen")
-    stream = _events_stream(spark, sf_dir).withColumn("part", _part("user_id"))
+    stream = _events_stream(spark, sf_dir).withColumn("part", key_bucket("user_id"))
     jobs.upsert_stream(stream.select("event_id", *_LAST_SEEN.names), path, schema=_LAST_SEEN,
                        key=["user_id"], partition="part",
                        update=["ts", "event_type", "value"],
@@ -112,7 +162,7 @@ def stream_upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for delivery in (events.filter(even), events.filter(~even).unionByName(again)):
         delivery.write.mode("append").parquet(landed)
         stream = spark.readStream.schema(delivery.schema).parquet(landed)
-        jobs.upsert_stream(stream.withColumn("part", _part("user_id")).select(
+        jobs.upsert_stream(stream.withColumn("part", key_bucket("user_id")).select(
             "event_id", *_LAST_SEEN.names), path, schema=_LAST_SEEN, key=["user_id"],
             partition="part", update=["ts", "event_type", "value"],
             arrival=[F.col("ts"), F.col("event_id")], checkpoint=checkpoint).awaitTermination()

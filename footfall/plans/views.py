@@ -31,6 +31,7 @@ TABLES = {
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
                 "l_quantity DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
                 "c_mktsegment STRING",
 }
@@ -144,6 +145,23 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(own_band, F.col("high").cast("double")).alias("confidence_upper")))
 
 
+def site_places(spark: SparkSession) -> DataFrame:
+    """Five sites a few kilometres apart."""
+    return spark.range(5).select(
+        F.col("id").alias("site_id"), (F.col("id") * 0.0131 + 48.13).alias("lat"),
+        (F.col("id") * 0.0207 + 11.55).alias("lon"))
+
+
+def places_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases as public events, strewn over some thirty kilometres by their number."""
+    n = F.col("event_id")
+    return events(spark, sf_dir).filter(F.col("event_type") == "purchase").select(
+        local_date(F.col("ts")).alias("date_local"),
+        (n * 7919 % 3001 * 0.0001 + 48.0).alias("lat"),
+        (n * 104729 % 4001 * 0.0001 + 11.4).alias("lon"),
+        F.floor(F.col("value") * 10).cast("int").alias("expected_visitors"))
+
+
 def as_naive_utc(df: DataFrame, *columns: str) -> DataFrame:
     """Instants shown as zone-less UTC times, for output."""
     return df.withColumns({c: local_time(F.col(c), "UTC") for c in columns})

@@ -75,9 +75,16 @@ def touched_partitions(target: DataFrame, new: DataFrame, partition: str) -> Dat
     """Target rows of the partitions that ``new`` falls into, and of no others.
 
     A semi-join on the partition values: Spark prunes the target's partitions by them at
-    run time, and nothing is collected, however many there are.
+    run time, and nothing but their first and last is collected, however many there are.
+    That range, asked of both sides, is what makes Spark consider pruning by the join.
     """
-    return target.join(new.select(partition).distinct(), partition, "left_semi")
+    first, last = new.agg(F.min(partition), F.max(partition)).first()
+    if first is None:
+        return target.filter(F.lit(False))
+    kind = target.schema[partition].dataType
+    within = F.col(partition).between(F.lit(first).cast(kind), F.lit(last).cast(kind))
+    return target.filter(within).join(
+        new.filter(within).select(partition).distinct(), partition, "left_semi")
 
 
 def without_nulls(new: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,19 +154,37 @@ def _with_partition(key: Sequence[str], partition: str) -> list[str]:
     return [*key] if partition in key else [*key, partition]
 
 
+def key_bucket(*key: str, buckets: int = 64) -> Column:
+    """A partition that follows from the key alone, for tables whose key has no date.
+
+    A write replaces the buckets its keys fall into, so take as many as keep one bucket of
+    the full table near the size of a file.
+    """
+    return F.pmod(F.xxhash64(*key), F.lit(buckets))
+
+
 def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                         partition: str, arrival: Sequence[Column] | None = None,
-                        within: Column | None = None, follows_key: bool = True) -> int:
+                        within: Column | None = None, follows_key: bool = True,
+                        changes: str | None = None) -> int:
     """Append the rows whose key is not in the table; running it again adds nothing.
 
     ``follows_key``: the partition is a function of the key, so only the partitions of the
     new rows are read.  Without it the keys of the whole table are read, and a key that
     comes again with another partition value is still the same key.
+
+    ``changes``: a folder to which the partitions that gain rows are appended before the
+    rows themselves.  A write that fails in between notes them again when it is repeated, so
+    a change is never lost and may be noted twice.
     """
     with _sides(new, path, schema, key, partition, within, follows_key) as (rows, target):
         match = _with_partition(key, partition) if follows_key else [*key]
-        added = absent_rows(rows, target, match, arrival=arrival)
-        return write_partitions(added.select(*schema.names), path, partition, "append")
+        added = absent_rows(rows, target, match, arrival=arrival).select(*schema.names)
+        if changes is None:
+            return write_partitions(added, path, partition, "append")
+        with _kept(added) as kept:
+            kept.select(partition).distinct().write.mode("append").parquet(changes)
+            return write_partitions(kept, path, partition, "append")
 
 
 def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],

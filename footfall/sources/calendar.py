@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.literals import constant_table, literal
@@ -101,6 +101,45 @@ def calendar(days: DataFrame, *, breaks: Sequence[tuple[str, str]] | DataFrame =
             .drop("found", "after_easter", "in_break"))
 
 
+def merged_ranges(ranges: DataFrame, *, keys: Sequence[str] = ("region",)) -> DataFrame:
+    """(keys, first_day, last_day): ranges of days that overlap or touch made one.
+
+    A range starts an island if it begins later than the day after all before it have
+    ended.  Both ends belong to a range; one that ends before it begins, or lacks an end,
+    has no days.
+    """
+    place = Window.partitionBy(*keys).orderBy("first_day", "last_day")
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("last_day").over(before)
+    starts = F.when(F.col("first_day") > F.date_add(reached, 1), 1).otherwise(0)
+    return (ranges.filter("first_day <= last_day").withColumn("__starts", starts)
+            .withColumn("__island", F.sum("__starts").over(
+                place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .groupBy(*keys, "__island")
+            .agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"))
+            .drop("__island"))
+
+
+def calendar_by_region(days: DataFrame, sites: DataFrame, breaks: DataFrame, *,
+                       keys: Sequence[str] = ("site_id",), **rules) -> DataFrame:
+    """:func:`calendar` per series, with the school breaks of the region each lies in.
+
+    ``sites`` is (keys, region) and ``breaks`` (region, first_day, last_day); ranges may
+    overlap.  Added are ``region`` and the first and last day of the break a day lies in.
+    Rules are worked out once per date.  Ranges are opened to their days, a few for each
+    region and year, so membership is an equality join whatever their length; series
+    without region have no breaks.
+    """
+    open_days = merged_ranges(breaks).select(
+        "region", F.explode(F.sequence("first_day", "last_day")).alias("date_local"),
+        F.col("first_day").alias("break_first_day"), F.col("last_day").alias("break_last_day"))
+    ruled = calendar(days.select("date_local").distinct(), breaks=(), **rules).drop(
+        "is_school_holiday")
+    return (days.join(sites.select(*keys, "region"), list(keys), "left")
+            .join(ruled, "date_local").join(open_days, ["region", "date_local"], "left")
+            .withColumn("is_school_holiday", F.col("break_first_day").isNotNull()))
+
+
 def horizon(df: DataFrame, as_of: Column, days: int = 30, first_offset: int = 1) -> DataFrame:
     """The next ``days`` dates after ``as_of`` for every row of ``df``.
 

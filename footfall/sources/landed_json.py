@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamReader
 
-from footfall.functions.timeparts import DEFAULT_TZ, instant_from_local, local_date, now_local
+from footfall.functions.timeparts import (
+    DEFAULT_TZ, instant_from_local, local_date, local_time, now_local)
 
 _RECORDS = "ARRAY<STRUCT<timestamp: STRING, count_enter: BIGINT, count_exit: BIGINT>>"
 # fixed values: payload field -> column
@@ -29,6 +31,32 @@ def _with_keys(keys: dict[str, str], column: str, kind: str) -> str:
     return ", ".join([*fields, f"`{column}` {kind}"])
 
 
+def _landed(reader: DataFrameReader | DataStreamReader, schema: str, path,
+            pretty_printed: bool) -> DataFrame:
+    return (reader.schema(schema).option("multiLine", pretty_printed)
+            .option("mode", "FAILFAST").json(path))
+
+
+def _new_files(spark: SparkSession, files: int) -> DataStreamReader:
+    """A reader of files not yet read by its query, ``files`` at most in a batch.
+
+    A file is new because its name is, however old it says it is: a delivery that was
+    copied late counts, too.
+    """
+    return (spark.readStream.option("maxFilesPerTrigger", files)
+            .option("maxFileAge", "36500d"))
+
+
+def _pages_schema(keys: dict[str, str]) -> str:
+    return _with_keys(keys, "results", _RECORDS)
+
+
+def _page_rows(pages: DataFrame, keys: dict[str, str]) -> DataFrame:
+    return (pages.select(*keys, F.explode("results").alias("r"))
+            .select(*keys, F.to_timestamp("r.timestamp").alias("ts"),
+                    "r.count_enter", "r.count_exit"))
+
+
 def read_count_pages(spark: SparkSession, path: str | Sequence[str], *,
                      keys: dict[str, str] | None = None,
                      pretty_printed: bool = False) -> DataFrame:
@@ -39,11 +67,32 @@ def read_count_pages(spark: SparkSession, path: str | Sequence[str], *,
     lets Spark split large files.
     """
     keys = keys or {}
-    pages = (spark.read.schema(_with_keys(keys, "results", _RECORDS))
-             .option("multiLine", pretty_printed).option("mode", "FAILFAST").json(path))
-    return (pages.select(*keys, F.explode("results").alias("r"))
-            .select(*keys, F.to_timestamp("r.timestamp").alias("ts"),
-                    "r.count_enter", "r.count_exit"))
+    return _page_rows(_landed(spark.read, _pages_schema(keys), path, pretty_printed), keys)
+
+
+def stream_count_pages(spark: SparkSession, path: str, *, keys: dict[str, str] | None = None,
+                       pretty_printed: bool = False, files: int = 1000) -> DataFrame:
+    """:func:`read_count_pages` of a folder as a stream: each landed file is parsed once."""
+    keys = keys or {}
+    return _page_rows(_landed(_new_files(spark, files), _pages_schema(keys), path,
+                              pretty_printed), keys)
+
+
+def _arrays_schema(keys: dict[str, str]) -> str:
+    inner = ", ".join(["time: ARRAY<STRING>",
+                       *(f"{f}: ARRAY<{t}>" for f, (_, t) in _WEATHER_FIELDS.items())])
+    return _with_keys(keys, "hourly", f"STRUCT<{inner}>")
+
+
+def _array_rows(payload: DataFrame, keys: dict[str, str], tz: str) -> DataFrame:
+    # a field that a payload lacks is NULL in its rows
+    zipped = F.arrays_zip(F.col("hourly.time").alias("time"), *[
+        F.coalesce(f"hourly.{f}", F.array().cast(f"array<{kind}>")).alias(f)
+        for f, (_, kind) in _WEATHER_FIELDS.items()])
+    rows = payload.select(*keys, F.explode(zipped).alias("r"))
+    ts = instant_from_local(F.to_timestamp_ntz("r.time"), tz)
+    return rows.select(*keys, ts.alias("ts"),
+                       *[F.col(f"r.{f}").alias(name) for f, (name, _) in _WEATHER_FIELDS.items()])
 
 
 def read_weather_arrays(spark: SparkSession, path: str | Sequence[str], *,
@@ -54,16 +103,27 @@ def read_weather_arrays(spark: SparkSession, path: str | Sequence[str], *,
     Times are naive wall-clock texts of ``tz`` and become instants.
     """
     keys = keys or {}
-    inner = ", ".join(["time: ARRAY<STRING>",
-                       *(f"{f}: ARRAY<{t}>" for f, (_, t) in _WEATHER_FIELDS.items())])
-    payload = (spark.read.schema(_with_keys(keys, "hourly", f"STRUCT<{inner}>"))
-               .option("multiLine", pretty_printed).option("mode", "FAILFAST").json(path))
-    zipped = F.arrays_zip(F.col("hourly.time").alias("time"),
-                          *[F.col(f"hourly.{f}").alias(f) for f in _WEATHER_FIELDS])
-    rows = payload.select(*keys, F.explode(zipped).alias("r"))
-    ts = instant_from_local(F.to_timestamp_ntz("r.time"), tz)
-    return rows.select(*keys, ts.alias("ts"),
-                       *[F.col(f"r.{f}").alias(name) for f, (name, _) in _WEATHER_FIELDS.items()])
+    return _array_rows(_landed(spark.read, _arrays_schema(keys), path, pretty_printed), keys, tz)
+
+
+def stream_weather_arrays(spark: SparkSession, path: str, *, keys: dict[str, str] | None = None,
+                          tz: str = DEFAULT_TZ, pretty_printed: bool = False,
+                          files: int = 1000) -> DataFrame:
+    """:func:`read_weather_arrays` of a folder as a stream: each landed file is parsed once."""
+    keys = keys or {}
+    return _array_rows(_landed(_new_files(spark, files), _arrays_schema(keys), path,
+                               pretty_printed), keys, tz)
+
+
+def weather_per_day_arrays(weather: DataFrame, *, tz: str = DEFAULT_TZ) -> DataFrame:
+    """Hourly weather packed as one payload of arrays for each local day."""
+    fields = {f: name for f, (name, _) in _WEATHER_FIELDS.items() if name in weather.columns}
+    hourly = weather.withColumn("local", local_time(F.col("ts"), tz))
+    packed = hourly.groupBy(F.to_date("local").alias("d")).agg(
+        F.sort_array(F.collect_list(F.struct("local", *fields.values()))).alias("r"))
+    return packed.select(F.struct(
+        F.transform("r", lambda x: F.date_format(x["local"], "yyyy-MM-dd'T'HH:mm")).alias("time"),
+        *[F.col(f"r.{name}").alias(f) for f, name in fields.items()]).alias("hourly"))
 
 
 def days_ahead(weather: DataFrame, as_of, days: int, tz: str = DEFAULT_TZ) -> DataFrame:

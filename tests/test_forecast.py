@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import evaluation, features, forecast, staffing
+from footfall.operators import evaluation, features, forecast, sketches, staffing
 from footfall.sources.calendar import calendar, days_between
 
 HOURS = {
@@ -254,3 +254,46 @@ def test_metrics(spark):
     row = evaluation.forecast_metrics(made, real).first()
     assert row.n_days == 3 and row.mae == 4.0
     assert row.rmse == pytest.approx(18 ** 0.5) and row.mape == pytest.approx(22.5)
+
+
+def test_every_day_as_origin_equals_single_origins(spark):
+    """Gaps, a weekday that is seen late, and a series of one day."""
+    rows = [("a", date(2024, 1, 1) + timedelta(days=i), (i * 37) % 101)
+            for i in range(90) if i % 11 != 3 and not 20 < i < 40 and not (i < 30 and i % 7 == 2)]
+    rows += [("b", date(2024, 2, 1), 5), ("c", date(2024, 2, 1), None)]
+    daily = spark.createDataFrame(rows, "site_id STRING, date_local DATE, visitors BIGINT").withColumn(
+        "weekday", F.weekday("date_local") + 1)
+    got = {(r.site_id, r.origin, r.date_local): (r.lead, r.forecast, r.low, r.high)
+           for r in evaluation.backtest_every_day(daily).collect()}
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(90)]
+    single = evaluation.backtest(daily.filter("visitors IS NOT NULL"), origins=days).join(
+        daily.filter("visitors IS NOT NULL").select("site_id", "date_local"),
+        ["site_id", "date_local"], "left_semi")
+    want = {(r.site_id, r.origin, r.date_local): (
+        (r.date_local - r.origin).days, r.forecast, r.low, r.high) for r in single.collect()}
+    last = max(d for s, d, _ in rows if s == "a")
+    assert got == {k: v for k, v in want.items() if k[1] <= last}
+    assert len(got) > 1000
+    whole = evaluation.backtest_every_day(daily.filter("site_id = 'a'").drop("site_id"), keys=())
+    assert whole.count() == len(got)
+
+
+def test_sketched_profile(spark, tmp_path):
+    """Ranks within the stated error on large groups; a rewrite touches its month only."""
+    rows = spark.range(200_000).select(
+        F.lit(1).alias("site_id"), F.date_add(F.lit("2024-01-01").cast("date"),
+                                              (F.col("id") % 90).cast("int")).alias("date_local"),
+        F.lit(1).alias("weekday"), (F.xxhash64("id") % 1_000_000).alias("visitors"))
+    path = str(tmp_path / "sketches")
+    sketches.refresh_sketches(rows, rows, path)
+    got = sketches.sketched_profile(spark.read.parquet(path)).first()
+    assert got.n_days == 200_000
+    for share, value in ((.25, got.q1), (.5, got.median), (.75, got.q3)):
+        rank = rows.filter(F.col("visitors") <= value).count() / 200_000
+        assert abs(rank - share) < 1.65 / sketches.K * 2
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "sketches").rglob("*.parquet")}
+    more = rows.withColumn("visitors", F.col("visitors") + 1)
+    sketches.refresh_sketches(more, rows.filter("date_local = '2024-02-03'"), path)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "sketches").rglob("*.parquet")}
+    assert {f.parent.name for f, _ in set(before.items()) ^ set(after.items())} == {
+        "month_local=2024-02-01"}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall import schemas
 from footfall.operators.audit import stored_audit
 from footfall.operators.features import daily_history
+from footfall.plans import nightly
 from footfall.plans.nightly import NightlyConfig, run, stored
 
 START = datetime(2025, 4, 24, tzinfo=timezone.utc)
@@ -86,6 +87,60 @@ def test_rebuild_from_a_day_on(spark, tmp_path):
     assert len(got) == 56 and got == sorted(map(tuple, full.select(columns).collect()))
 
 
+def _features(spark, cfg):
+    columns = [c for c in schemas.FEATURE_STORE.names if c != "created_at"]
+    return sorted(map(tuple, stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
+                      .select(columns).collect()), key=repr)
+
+
+def test_incremental_run_opens_no_file_twice(spark, tmp_path):
+    cfg = replace(_land(tmp_path, 26), incremental=True)
+    run(spark, cfg, AS_OF - timedelta(days=2))
+    old = {f: f.stat().st_mtime_ns for f in (tmp_path / "tables" / "feature_store").rglob("*.parquet")}
+    landed = [*(tmp_path / "counts").iterdir(), *(tmp_path / "weather").iterdir()]
+    for file in landed:
+        file.write_text('{"results": [{')  # an error for whoever opens it again
+    # all days again with other counts, and two new days
+    _land(tmp_path, 28, enter=lambda s, d, h: 999)
+    run(spark, cfg, AS_OF)
+    features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
+    changed = features.filter("visitor_count = 999").select("date_local").distinct().collect()
+    assert sorted(str(r[0]) for r in changed) == ["2025-05-20", "2025-05-21"]
+    new = {f: f.stat().st_mtime_ns for f in (tmp_path / "tables" / "feature_store").rglob("*.parquet")}
+    assert {f.parent.name for f, _ in set(old.items()) ^ set(new.items())} == {
+        # the weather up to midnight UTC reaches into the next local day
+        "date_local=2025-05-20", "date_local=2025-05-21"}
+    assert stored(spark, cfg, "predictions", schemas.PREDICTIONS).count() > 0
+    run(spark, cfg, AS_OF)
+    log = spark.read.parquet(cfg.path("run_log"))
+    steps = {r.step: r.n for r in log.groupBy("step").agg(F.min("rows").alias("n")).collect()}
+    assert [steps[s] for s in ("load visits", "load weather", "build features", "sum days")] == [0] * 4
+
+
+def test_late_old_days_and_a_run_that_failed(spark, tmp_path, monkeypatch):
+    """Old days come late; a run that stops before it rebuilds leaves them to the next."""
+    whole = tmp_path / "whole"
+    whole.mkdir()
+    want = _land(whole, 10)
+    run(spark, want, datetime(2025, 5, 4, 3))
+
+    part = tmp_path / "part"
+    part.mkdir()
+    cfg = replace(_land(part, 10), incremental=True)
+    lines = (part / "counts" / "p10.json").read_text().splitlines()
+    (part / "counts" / "p10.json").write_text("\n".join(lines[4:]))
+    nightly.load_and_rebuild(spark, cfg, datetime(2025, 5, 4, 3))
+    assert len(_features(spark, cfg)) == 14 * 16
+    (part / "counts" / "late.json").write_text("\n".join(lines[:6]))
+    with monkeypatch.context() as broken:
+        broken.setattr(nightly, "feature_store", lambda *a, **k: 1 / 0)
+        with pytest.raises(Exception):
+            nightly.load_and_rebuild(spark, cfg, datetime(2025, 5, 5, 3))
+    assert len(_features(spark, cfg)) == 14 * 16
+    nightly.load_and_rebuild(spark, cfg, datetime(2025, 5, 5, 3))
+    assert _features(spark, cfg) == _features(spark, want)
+
+
 def test_audit_of_stored_tables(spark, tmp_path):
     cfg = _land(tmp_path, 2)
     run(spark, cfg, datetime(2025, 4, 26, 3))

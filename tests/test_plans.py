@@ -12,7 +12,7 @@ from footfall.plans.queries import QUERIES
 from footfall.session import work_dir
 from footfall.sources.landed_json import days_ahead
 
-BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
+BATCH = sorted(n for n in QUERIES if not n.startswith(("stream_", "nightly_")))
 
 
 def plan(df):
