@@ -10,7 +10,8 @@ are brought together first, without losing any:
 2. Anchors are counted over the corpus.  A bitmap of fixed size, with those that occur
    more than once, drops the rest where they are found; what it lets through by chance
    costs time but changes nothing.
-3. Of stretches with equal bytes around one anchor, all but the first go as a whole.
+3. Of stretches with equal bytes (told by a 128-bit digest) around one anchor, all but the
+   first go as a whole.
 4. First stretches that share an anchor but differ elsewhere are the only places where
    a repeated string is not known yet.  They form shards; the shards' transforms are
    merged by interleave refinement, and blocks with ``length`` common bytes are repeats.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,23 +83,31 @@ def stretches(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _firsts(rows: DataFrame, keys: list[str], heavy: str, name: str) -> DataFrame:
-    """``rows`` with ``later``: whether an equal row by ``keys`` comes before.
+def _firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` without ``keys`` but with ``later``: whether an equal row comes before.
 
     Two steps, the first by a share of each group, so that no task meets a large group;
-    in the second only the first rows of the shares meet.  Later rows lose the ``heavy``
-    column at once.  Rows at one place of one document are equally early.
+    in the second only the first rows of the shares meet.  Rows at one ``place`` of one
+    document are equally early.
     """
     order = [F.asc_nulls_first("doc_id"), F.asc("row_key"), F.asc("first")]
-    place = F.xxhash64("doc_id", "row_key", "first")
-    share = Window.partitionBy(*keys, F.pmod(place, F.lit(SALTS))).orderBy(*order)
+    share = Window.partitionBy(*keys, F.pmod("place", F.lit(SALTS))).orderBy(*order)
     rows = (rows.withColumn("later", F.rank().over(share) > 1)
-            .withColumn(heavy, F.when(~F.col("later"), F.col(heavy)))
-            .withColumn("spread", F.when(F.col("later"), place)))
+            .withColumn("spread", F.when(F.col("later"), F.col("place"))))
     last = Window.partitionBy(*keys, "spread").orderBy(*order)
     rows = rows.withColumn("later", F.col("later") | (F.rank().over(last) > 1))
-    return settled(rows.withColumn(heavy, F.when(~F.col("later"), F.col(heavy))).drop("spread"),
-                   name)
+    return settled(rows.drop("spread", *(k for k in keys if k != "anchor")), name)
+
+
+def _places(doc_id: pa.Array, row_key: pa.Array, first: np.ndarray) -> np.ndarray:
+    """64 bits of the place of a stretch."""
+    out = doc_id.fill_null(-1).to_numpy().view(np.uint64) * _MIX[0]
+    out ^= row_key.to_numpy().view(np.uint64)
+    out ^= out >> np.uint64(31)
+    out = (out + first.astype(np.uint64)) * _MIX[1]
+    out ^= out >> np.uint64(29)
+    out *= _MIX[2]
+    return (out ^ out >> np.uint64(32)).view(np.int64)
 
 
 SPANS = "doc_id long, row_key long, start long, end long"
@@ -162,7 +172,9 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
                       .count().where("count > 1").select("anchor"), "anchors")
     shipped = docs.sparkSession.sparkContext.broadcast(bitmap(counted))
 
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thinned(batches: Iterator[pa.RecordBatch], chosen=None) -> Iterator[pa.RecordBatch]:
+        """Stretches whose anchors may be shared, by digest; with ``chosen``, a bitmap of
+        places, those at such places, with their bytes."""
         bits = shipped.value
         for batch, texts in text_batches(batches):
             out, data = [], []
@@ -170,24 +182,43 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
                 anchor, place, first, last = stretches(text, length)
                 may = marked(bits, anchor)
                 first, last = first[may], last[may]
-                out.append((np.full(len(first), i), anchor[may], place[may] - first, first))
-                data += [text[s:e + length] for s, e in zip(first.tolist(), last.tolist(),
-                                                            strict=True)]
-            at, anchor, ahead, first = (np.concatenate(c) for c in zip(*out, strict=True))
+                out.append((np.full(len(first), i), anchor[may], place[may] - first, first, last + length))
+                if chosen is None:
+                    data += [xxhash.xxh3_128_digest(text[s:e]) for s, e in zip(
+                        first.tolist(), (last + length).tolist(), strict=True)]
+            at, anchor, ahead, first, end = (np.concatenate(c) for c in zip(*out, strict=True))
+            names = [batch.column(c).take(pa.array(at)) for c in (0, 1)]
+            place = _places(*names, first)
+            if chosen is None:
+                digest = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [*names, pa.array(anchor), pa.array(ahead, pa.int32()), pa.array(first, pa.int32()),
+                     pa.array(end, pa.int32()), pa.array(place), pa.array(digest[:, 0]),
+                     pa.array(digest[:, 1])],
+                    ["doc_id", "row_key", "anchor", "ahead", "first", "end", "place", "d1", "d2"])
+                continue
+            take = np.flatnonzero(marked(chosen.value, place))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                 pa.array(anchor), pa.array(ahead), pa.array(first), pa.array(data, pa.binary())],
-                ["doc_id", "row_key", "anchor", "ahead", "first", "bytes"])
-
-    placed = rows.mapInArrow(thinned, "doc_id long, row_key long, anchor long, ahead long, "
-                                      "first long, bytes binary")
+                [*(n.take(pa.array(take)) for n in names), pa.array(anchor[take]),
+                 pa.array(first[take], pa.int32()),
+                 pa.array([texts[i][s:e] for i, s, e in zip(
+                     at[take].tolist(), first[take].tolist(), end[take].tolist(), strict=True)],
+                     pa.binary())], ["doc_id", "row_key", "anchor", "first", "bytes"])
+
+    placed = rows.mapInArrow(thinned, "doc_id long, row_key long, anchor long, ahead int, "
+                                      "first int, end int, place long, d1 long, d2 long")
     # anchors that the bitmap lets through though they occur once drop out below
-    known = _firsts(placed.withColumn("end", F.col("first") + F.length("bytes")),
-                    ["anchor", "ahead", "bytes"], "bytes", "stretches")
+    known = _firsts(placed, ["anchor", "ahead", "d1", "d2"], "stretches")
     whole = known.where("later").select("doc_id", "row_key", F.col("first").alias("start"), "end")
     firsts = known.where(~F.col("later"))
     sizes = settled(firsts.groupBy("anchor").count().where("count > 1"), "shared-anchors")
-    shared = firsts.join(sizes, "anchor")
+    # the bytes are taken from the texts again, of these stretches only; a place that the
+    # bitmap lets through by chance is one more true stretch and changes nothing
+    chosen = docs.sparkSession.sparkContext.broadcast(
+        bitmap(firsts.join(sizes, "anchor").select("place")))
+    shared = rows.mapInArrow(
+        lambda batches: thinned(batches, chosen),
+        "doc_id long, row_key long, anchor long, first int, bytes binary").join(sizes, "anchor")
     small = (shared.where(F.col("count") <= group_texts)
              .select("doc_id", "row_key", "anchor", "first", "bytes")
              .repartition("anchor").sortWithinPartitions("anchor"))
@@ -207,8 +238,8 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
 
     large = _firsts(
         shared.where(F.col("count") > group_texts).select("doc_id", "row_key", "first", "bytes")
-        .mapInArrow(strings, "doc_id long, row_key long, first long, digest binary"),
-        ["digest"], "digest", "strings")
+        .mapInArrow(strings, "doc_id long, row_key long, first long, digest binary")
+        .withColumn("place", F.xxhash64("doc_id", "row_key", "first")), ["digest"], "strings")
     return (whole.unionByName(small.mapInArrow(_merged_repeats(length), SPANS))
             .unionByName(large.where("later").select(
                 "doc_id", "row_key", F.col("first").alias("start"),
