@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,13 @@ from footfall.session import work_dir
 MAGIC = b"FFPACK01"
 BLOCK = 4096
 #: A segment is closed when it has this many ids; a document is never divided.
-SEGMENT_IDS = 1 << 20
-#: Distinct words remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+SEGMENT_IDS = 1 << 18
+#: Bytes of distinct words, and of their parts, remembered by a task before it starts afresh.
+REMEMBERED = 12 << 20
+#: Bytes that an entry takes beside its word and its ids.
+ENTRY = 180
+#: Documents, and segments, that Spark hands to Python at once.
+DOCUMENTS, SEGMENTS = 500, 8
 #: Latin-1 letters, then ASCII signs other than the apostrophe: split alike by any case.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -119,6 +124,7 @@ class Encoder(dict):
         probe = ["Ab,", "c1's", "dé", "́x"]
         self.by_word = self._whole(" \n ".join(probe) + "\t") == sum(map(self._whole, probe), [])
         self.parts: dict[str, bytes] = {}
+        self.held = self.parts_held = 0
         signs = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
         signs += [b for b in range(256) if b not in signs]  # bytes in the order of their signs
         self.signs = {b: chr(b if i < 188 else 256 + i - 188) for i, b in enumerate(signs)}
@@ -135,10 +141,12 @@ class Encoder(dict):
 
     def _part(self, text: str) -> bytes:
         if (ids := self.parts.get(text)) is None:
-            if len(self.parts) >= REMEMBERED:
+            if self.parts_held >= REMEMBERED:
                 self.parts.clear()
+                self.parts_held = 0
             found = self._model(text) if self.direct else self._whole(text)
             ids = self.parts[text] = np.array(found, self.dtype).tobytes()
+            self.parts_held += ENTRY + len(text) + len(ids)
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
@@ -150,9 +158,11 @@ class Encoder(dict):
         else:
             ids = np.array(self._whole(text), self.dtype).tobytes()
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+            if self.held >= REMEMBERED:
                 self.clear()
+                self.held = 0
             self[word] = ids
+            self.held += ENTRY + len(word) + len(ids)
         return ids
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -171,6 +181,19 @@ def _encoder(path: str) -> Encoder:
     return _READY[path]
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in what runs inside, so that long rows don't
+    add up to a batch of many megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None) -> str:
     """Writes the ids of every text, ``end_id`` after each, and returns the folder.
 
@@ -205,11 +228,12 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | N
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("tie"))
-    (rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-     .select("doc_id", "text")
-     .mapInArrow(run, "part int, number int, inside long, n_ids long, doc_ids array<long>, "
-                      "packed binary")
-     .write.option("compression", "none").parquet(folder))
+    with _batches_of(docs.sparkSession, DOCUMENTS):
+        (rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+         .select("doc_id", "text")
+         .mapInArrow(run, "part int, number int, inside long, n_ids long, doc_ids array<long>, "
+                          "packed binary")
+         .write.option("compression", "none").parquet(folder))
     return folder
 
 
@@ -254,8 +278,10 @@ def vocabulary_path() -> str:
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the ids of ``docs`` and reads the digest of each document back from the files."""
+    spark = docs.sparkSession
     folder = write_token_ids(docs, path or vocabulary_path())
-    return documents_of(read_token_ids(docs.sparkSession, folder))
+    with _batches_of(spark, SEGMENTS):
+        return settled(documents_of(read_token_ids(spark, folder)), "token-digests")
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
