@@ -62,6 +62,11 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def class_of(found: np.ndarray) -> int:
+    """64 bits of a set, as a signed long."""
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+
+
 def ordered(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``found`` in the global order: the rarer shingle first, then by hash."""
     return found[np.argsort(counts[found & np.uint64(COUNTS - 1)], kind="stable")]
@@ -288,7 +293,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
             n, cids, prefixes = [], [], []
             for text in texts:
                 found = shingles(text, words)
-                cid = xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+                cid = class_of(found)
                 n.append(len(found))
                 cids.append(cid)
                 if not len(found) or cid in seen:
@@ -359,19 +364,24 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                       F.ceil(F.col("weight") / shard).cast("int").alias("blocks")), "token"),
         "members")
 
+    # whole sets, from the texts again, of one row of each class that shares something; a row
+    # that the bitmap lets through by chance finds no shard
+    wanted = members.select("cid").distinct().join(classes, "cid").select("row_key")
+    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            found = [ordered(shingles(t, words), counts.value) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, found)), pa.int32()),
-                 pa.array([f.tobytes() for f in found], pa.binary())], ["cid", "n", "tokens"])
-
-    # whole sets, from the texts again, of those classes only that share something
-    wanted = members.select("cid").distinct().join(classes, "cid").select(
-        "cid", F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
-    sets = settled(
-        rows.join(wanted, (F.col("row_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("cid", "text").mapInArrow(whole, "cid long, n int, tokens binary"), "sets")
+        for batch in batches:
+            take = np.flatnonzero(marked(chosen.value, batch.column(0).to_numpy()))
+            for _, texts in text_batches(batch.take(pa.array(take)) for _ in (0,)):
+                found = [shingles(t, words) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(map(class_of, found)), pa.int64()),
+                     pa.array(list(map(len, found)), pa.int32()),
+                     pa.array([ordered(f, counts.value).tobytes() for f in found], pa.binary())],
+                    ["cid", "n", "tokens"])
+
+    sets = settled(rows.select("row_key", "text").mapInArrow(
+        whole, "cid long, n int, tokens binary"), "sets")
 
     best = members.groupBy("cid").agg(F.max(F.struct("sharing", "blocks", "token")).alias("best"))
     first = settled(members.join(best.select("best.token").distinct(), "token", "left_semi"),
