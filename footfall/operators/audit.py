@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from footfall.functions.literals import constant_table
 from footfall.schemas import NATURAL_KEYS, NOT_NULL
 
 
@@ -107,3 +109,65 @@ def staff_constraints(employees: DataFrame, shifts: DataFrame) -> DataFrame:
             "end not after start": F.col("end_min") <= F.col("start_min")}),
         orphans(shifts, "shifts", "employee_id", employees, "id"),
     ])
+
+
+@dataclass(frozen=True)
+class Checked:
+    """A table and what is declared of it: keys that name one row, conditions that are true
+    for a bad row, and columns that name a row of another table."""
+
+    df: DataFrame
+    keys: Sequence[Sequence[str]] = ()
+    rules: Mapping[str, str] = field(default_factory=dict)
+    parents: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def constraint_findings(tables: Mapping[str, Checked]) -> DataFrame:
+    """(table_name, check_name, violations) of every declared constraint of all tables.
+
+    Counted are keys that occur more than once (not those with a NULL part), child rows
+    whose parent is missing, and rows that break a rule.  Each table is read once: a row
+    gives one tagged entry per key and reference and one per rule that it breaks, parents
+    give one for those who refer to them, and all entries meet in one shuffle by check and
+    value, merged map-side; a second adds them up per check.
+    """
+    def value(columns: Sequence[str]) -> Column:
+        parts = [F.col(c).cast("string") for c in columns]
+        filled = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+        return F.when(filled, F.concat_ws("\x1f", *parts))
+
+    def entry(table: str, check: str, kind: str, of: Column, n: int, parent: int) -> Column:
+        return F.struct(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
+                        F.lit(kind).alias("kind"), of.alias("value"),
+                        F.lit(n).cast("bigint").alias("n"), F.lit(parent).alias("parent"))
+
+    none = F.lit(None).cast("string")
+    names, frames = [], []
+    for table, declared in tables.items():
+        entries = []
+        for key in declared.keys:
+            names.append((table, f"duplicate key {','.join(key)}"))
+            entries.append(F.when(value(key).isNotNull(), entry(*names[-1], "key", value(key), 1, 0)))
+        for column in declared.parents:
+            names.append((table, f"orphan {column}"))
+            entries.append(F.when(F.col(column).isNotNull(),
+                                  entry(*names[-1], "child", value([column]), 1, 0)))
+        for rule, bad in declared.rules.items():
+            names.append((table, rule))
+            entries.append(F.when(F.expr(bad), entry(*names[-1], "rule", none, 1, 0)))
+        for child, other in tables.items():
+            entries += [entry(child, f"orphan {column}", "child", value([mine]), 0, 1)
+                        for column, (parent, mine) in other.parents.items() if parent == table]
+        frames.append(declared.df.select(F.inline(F.array_compact(F.array(*entries)))))
+    # checks that find nothing are listed, too
+    listed = constant_table(next(iter(tables.values())).df.sparkSession,
+                            ("table_name", "check_name"), names).select(
+        F.inline(F.array(F.struct(
+            "table_name", "check_name", F.lit("rule").alias("kind"), none.alias("value"),
+            F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("parent")))))
+    met = _union([*frames, listed]).groupBy("table_name", "check_name", "kind", "value").agg(
+        F.sum("n").alias("n"), F.max("parent").alias("parent"))
+    found = (F.when(F.col("kind") == "key", (F.col("n") > 1).cast("bigint"))
+             .when(F.col("kind") == "child", F.when(F.col("parent") == 0, F.col("n")).otherwise(0))
+             .otherwise(F.col("n")))
+    return met.groupBy("table_name", "check_name").agg(F.sum(found).alias("violations"))

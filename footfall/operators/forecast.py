@@ -15,7 +15,6 @@ from footfall.functions.timeparts import hours_after_midnight
 from footfall.operators.features import QUARTILES, seasonal_profile
 from footfall.operators.ranking import first_rows
 from footfall.sources.calendar import horizon
-from footfall.sources.fallback import first_ranked
 
 # fixed values: share of a day's visitors per opening hour, from 08:00
 OPEN_HOUR = 8
@@ -275,23 +274,41 @@ def get_forecast(predictions: DataFrame, files: DataFrame, demo: DataFrame, *, a
     """Hourly rows of the forecast to show now, with the ``source`` it comes from.
 
     Per series: stored predictions if any are for ``as_of`` or later, else forecast files,
-    else the demonstration (both as from :func:`normalize_forecast`).  Which source has
-    anything is told by the keys of the rows alone.
+    else the demonstration (both as from :func:`normalize_forecast`).  Of equal days of a
+    file the smaller forecast counts.
+
+    All rows of a series from ``as_of`` on (its horizon times the runs stored of it) meet
+    once; the source, the model, the newest row of a day and the day after are then chosen
+    by windows over the same partitions, so each source is read once.
     """
-    daily = [*keys, "date_local", "forecast", "low", "high"]
-    stored = latest_forecast(predictions, as_of=as_of, preferred=preferred, keys=keys).select(
-        *keys, "date_local", F.col("predicted_visitors").alias("forecast"),
-        F.col("confidence_lower").alias("low"), F.col("confidence_upper").alias("high"))
     due = F.col("date_local") >= as_of
-    sources = [("table", stored, predictions.filter(due)), ("csv", files.filter(due), files.filter(due)),
-               ("demo", demo.filter(due), demo.filter(due))]
-    rows = present = None
-    for rank, (name, source, keyed) in enumerate(sources):
-        tagged = source.select(*daily, F.lit(name).alias("source"), F.lit(rank).alias("source_rank"))
-        known = keyed.select(*keys, F.lit(rank).alias("source_rank"))
-        rows = tagged if rows is None else rows.unionByName(tagged)
-        present = known if present is None else present.unionByName(known)
-    best = first_ranked(rows, present, keys=keys)
-    two = first_rows(best, keys, [F.col("date_local")], 2, rank="position")
-    day = day_change(two, keys=keys, value="forecast").filter("position = 1").drop("position")
-    return hourly_split(day, keys=keys, shape=shape, extra=("source", "change_next_pct"))
+    none = F.lit(None)
+    run = ["model_name", "model_version", "predicted_at"]
+    stored = predictions.filter(due).select(
+        *keys, "date_local", F.col("predicted_visitors").cast("double").alias("forecast"),
+        F.col("confidence_lower").cast("double").alias("low"),
+        F.col("confidence_upper").cast("double").alias("high"), *run,
+        F.lit("table").alias("source"), F.lit(0).alias("source_rank"))
+    rows = stored
+    for rank, (name, df) in enumerate((("csv", files), ("demo", demo)), 1):
+        rows = rows.unionByName(df.filter(due).select(
+            *keys, "date_local", *[F.col(c).cast("double").alias(c) for c in ("forecast", "low", "high")],
+            *[none.cast(stored.schema[c].dataType).alias(c) for c in run],
+            F.lit(name).alias("source"), F.lit(rank).alias("source_rank")))
+    series = Window.partitionBy(*(keys or [F.lit(0)]))
+    order = [F.col("source_rank"), F.col("predicted_at").desc(), "model_name", "model_version"]
+    if preferred is not None:
+        order.insert(1, F.coalesce(F.col("model_name") == preferred, F.lit(False)).desc())
+    # source and model of the first row decide
+    first = F.first(F.struct("source_rank", "model_name", "model_version")).over(series.orderBy(*order))
+    chosen = rows.withColumn("__first", first).filter(
+        (F.col("source_rank") == F.col("__first.source_rank"))
+        & F.col("model_name").eqNullSafe(F.col("__first.model_name"))
+        & F.col("model_version").eqNullSafe(F.col("__first.model_version")))
+    day = Window.partitionBy(*(keys or [F.lit(0)]), "date_local")
+    newest = chosen.withColumn("__turn", F.row_number().over(
+        day.orderBy(F.col("predicted_at").desc(), "forecast"))).filter("__turn = 1")
+    two = newest.withColumn("__position", F.row_number().over(series.orderBy("date_local"))).filter(
+        "__position <= 2").select(*keys, "date_local", "forecast", "low", "high", "source", "__position")
+    shown = day_change(two, keys=keys, value="forecast").filter("__position = 1").drop("__position")
+    return hourly_split(shown, keys=keys, shape=shape, extra=("source", "change_next_pct"))

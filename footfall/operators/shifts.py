@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.labels import (
     WEEKDAYS_EN, absence_label, clock, status_label, time_span, weekday_label)
-from footfall.functions.numbers import half_even, half_even_1
+from footfall.functions.numbers import exact_sum, half_even, half_even_1
 from footfall.functions.timeparts import iso_weekday, minute_of_day, now_local, today
 
 # fixed value: length of the assumed break in minutes
@@ -157,9 +157,12 @@ def search_plan(plan: DataFrame, *, search: str | None = None, role: str | None
     return plan
 
 
-def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
+def weekly_coverage(employees: DataFrame, shifts: DataFrame, *, as_of=None,
                     keys: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Planned employees per weekday, all seven, with the share of the busiest day."""
+    """Planned employees per weekday, all seven, with the share of the busiest day.
+
+    ``is_today`` marks the weekday of ``as_of`` (a local time or date), none without it.
+    """
     joined = active_employees(employees).join(
         shifts, F.col("id") == F.col("employee_id"), "left")
     counts = ", ".join(f"count_if(weekday = {d})" for d in range(1, 8))
@@ -168,7 +171,9 @@ def weekly_coverage(employees: DataFrame, shifts: DataFrame, *,
     return (week.select(*keys, top.alias("top"), F.posexplode("counts").alias("pos", "planned"))
             .withColumn("weekday", F.col("pos") + 1)
             .select(*keys, "weekday", weekday_label(F.col("weekday")).alias("label"), "planned",
-                    (F.col("planned") / F.col("top") * 100).cast("bigint").alias("height_pct")))
+                    (F.col("planned") / F.col("top") * 100).cast("bigint").alias("height_pct"),
+                    (F.lit(False) if as_of is None else
+                     F.col("weekday") == iso_weekday(today(as_of))).alias("is_today")))
 
 
 def team_summary(employees: DataFrame, shifts: DataFrame, *,
@@ -181,11 +186,11 @@ def team_summary(employees: DataFrame, shifts: DataFrame, *,
     plan = weekly_plan(employees, shifts, keys=keys)
     roles = plan.groupBy(*keys, "role").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"),
-        F.sum(F.col("total_hours").cast("decimal(18,1)")).alias("hours"),
+        exact_sum(F.col("total_hours")).alias("hours"),
         *[F.count(d).alias(d) for d in WEEKDAYS_EN])
     counts = ", ".join(f"sum({d})" for d in WEEKDAYS_EN)
     team = roles.groupBy(*keys).agg(
-        F.sum("n").alias("headcount"), F.sum("hours").cast("double").alias("total_hours"),
+        F.sum("n").alias("headcount"), exact_sum(F.col("hours")).alias("total_hours"),
         F.array_sort(F.collect_list(F.struct("first_id", "role", "n"))).alias("r"),
         F.expr(f"array({counts})").alias("counts"))
     busiest = F.array_position("counts", F.array_max("counts"))

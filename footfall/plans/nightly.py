@@ -73,16 +73,27 @@ def _dated(df: DataFrame, tz: str) -> DataFrame:
     return df.withColumn(_DATED, local_date(F.col("ts"), tz))
 
 
-def load_calendar(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> int:
+#: (table, rule, rows that break it), noted while a table is written
+Broken = list[tuple[str, str, int]]
+
+
+def _watched(table: str, broken: Broken) -> dict:
+    """The declared rules of a table for a keyed write, and where it reports to."""
+    return {"rules": schemas.rules(table), "report": lambda found: broken.extend(
+        (table, rule, n) for rule, n in found.items() if n)}
+
+
+def load_calendar(spark: SparkSession, cfg: NightlyConfig, as_of: datetime,
+                  broken: Broken) -> int:
     days = days_between(spark, cfg.first_day, as_of.date())
     rows = calendar(days, breaks=cfg.school_breaks).withColumn("year", F.year(_DATED))
     return insert_ignore_table(
-        rows, cfg.path("calendar"), key=[_DATED], partition="year",
+        rows, cfg.path("calendar"), key=[_DATED], partition="year", **_watched("calendar", broken),
         schema=T.StructType([*schemas.CALENDAR.fields, T.StructField("year", T.IntegerType())]))
 
 
 def _features(spark: SparkSession, cfg: NightlyConfig, visits: DataFrame, weather: DataFrame,
-              stamp: Column, within: Column | None) -> int:
+              stamp: Column, within: Column | None, broken: Broken) -> int:
     """Features of the given hours, upserted."""
     days = read_table(spark, cfg.path("calendar"), schemas.CALENDAR)
     rows = feature_store(visits.drop(_DATED), weather, days, tz=cfg.tz).withColumn(
@@ -93,16 +104,17 @@ def _features(spark: SparkSession, cfg: NightlyConfig, visits: DataFrame, weathe
         "event_max_visitors")]
     return upsert_table(rows, cfg.path("feature_store"), key=["site_id", "ts"],
                         schema=_with_date(schemas.FEATURE_STORE), partition=_DATED,
-                        update=update, within=within)
+                        update=update, within=within, **_watched("feature_store", broken))
 
 
-def _days(cfg: NightlyConfig, features: DataFrame) -> int:
+def _days(cfg: NightlyConfig, features: DataFrame, broken: Broken) -> int:
     # whole days are summed again, so their partitions are simply replaced
     return write_partitions(daily_history(features).select(*schemas.DAILY_HISTORY.names),
-                            cfg.path("daily_history"), _DATED)
+                            cfg.path("daily_history"), _DATED, **_watched("daily_history", broken))
 
 
-def land_files(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> dict[str, int]:
+def land_files(spark: SparkSession, cfg: NightlyConfig, stamp: Column,
+               broken: Broken) -> dict[str, int]:
     """Rows added from landed files that no earlier call has read.
 
     Each of the two sources is a stream with its own checkpoint; the days that gain rows
@@ -122,11 +134,13 @@ def land_files(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> dict[s
 
         land_once(_dated(rows, cfg.tz).withColumn("fetched_at", stamp), cfg.path(f"{name}_hourly"),
                   cfg.path("changed_days"), schema=_with_date(schema), key=key, partition=_DATED,
-                  checkpoint=cfg.path(f"checkpoints/{name}"), counted=count).awaitTermination()
+                  checkpoint=cfg.path(f"checkpoints/{name}"), counted=count,
+                  **_watched(f"{name}_hourly", broken)).awaitTermination()
     return added
 
 
-def rebuild_days(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> tuple[int, int]:
+def rebuild_days(spark: SparkSession, cfg: NightlyConfig, stamp: Column,
+                 broken: Broken) -> tuple[int, int]:
     """Features and totals of the days noted since the last call; rows written of each.
 
     Partitions of other days are neither read nor written.  A run that failed before it came
@@ -142,26 +156,33 @@ def rebuild_days(spark: SparkSession, cfg: NightlyConfig, stamp: Column) -> tupl
             return touched_partitions(stored(spark, cfg, table, schema), changed, _DATED)
 
         written[0] += _features(spark, cfg, hours("visits_hourly", schemas.VISITS_HOURLY),
-                                hours("weather_hourly", schemas.WEATHER_HOURLY), stamp, None)
-        written[1] += _days(cfg, hours("feature_store", schemas.FEATURE_STORE))
+                                hours("weather_hourly", schemas.WEATHER_HOURLY), stamp, None, broken)
+        written[1] += _days(cfg, hours("feature_store", schemas.FEATURE_STORE), broken)
 
     rebuild_changed(spark, cfg.path("changed_days"), dates, rebuild,
                     checkpoint=cfg.path("checkpoints/features")).awaitTermination()
     return written[0], written[1]
 
 
-def load_and_rebuild(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> dict[str, int]:
+def load_and_rebuild(spark: SparkSession, cfg: NightlyConfig, as_of: datetime,
+                     broken: Broken | None = None) -> dict[str, int]:
     """The part of an incremental run that comes before the forecast: rows by step."""
+    broken = [] if broken is None else broken
     stamp = instant_from_local(now_local(as_of), cfg.tz)
-    added = land_files(spark, cfg, stamp)
-    days = load_calendar(spark, cfg, as_of)
-    features, totals = rebuild_days(spark, cfg, stamp)
+    added = land_files(spark, cfg, stamp, broken)
+    days = load_calendar(spark, cfg, as_of, broken)
+    features, totals = rebuild_days(spark, cfg, stamp, broken)
     return {"load visits": added["visits"], "load weather": added["weather"],
             "load calendar": days, "build features": features, "sum days": totals}
 
 
 def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
-    """Run all steps for the wall-clock time ``as_of``; returns the run id."""
+    """Run all steps for the wall-clock time ``as_of``; returns the run id.
+
+    The run log has the rows and seconds of every step, and the rows that break a declared
+    rule, counted while the tables are written.
+    """
+    broken: Broken = []
     run_id = uuid.uuid4().hex
     stamp = instant_from_local(now_local(as_of), cfg.tz)
     log: list[tuple[str, str, int, float]] = []
@@ -189,23 +210,25 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
                                  pretty_printed=cfg.pretty_printed)
         return insert_ignore_table(
             landed(pages), cfg.path("visits_hourly"), schema=_with_date(schemas.VISITS_HOURLY),
-            key=["site_id", "ts"], partition=_DATED, within=loaded)
+            key=["site_id", "ts"], partition=_DATED, within=loaded,
+            **_watched("visits_hourly", broken))
 
     def load_weather() -> int:
         arrays = read_weather_arrays(spark, cfg.weather, tz=cfg.tz,
                                      pretty_printed=cfg.pretty_printed)
         return insert_ignore_table(
             landed(arrays), cfg.path("weather_hourly"), schema=_with_date(schemas.WEATHER_HOURLY),
-            key=["ts"], partition=_DATED, within=loaded)
+            key=["ts"], partition=_DATED, within=loaded, **_watched("weather_hourly", broken))
 
     def build_features() -> int:
         visits = stored(spark, cfg, "visits_hourly", schemas.VISITS_HOURLY)
         weather = stored(spark, cfg, "weather_hourly", schemas.WEATHER_HOURLY)
-        return _features(spark, cfg, visits.filter(recent), weather.filter(recent), stamp, recent)
+        return _features(spark, cfg, visits.filter(recent), weather.filter(recent), stamp, recent,
+                         broken)
 
     def write_days() -> int:
         features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
-        return _days(cfg, features.filter(recent))
+        return _days(cfg, features.filter(recent), broken)
 
     def forecast() -> DataFrame:
         # the small daily table, not the hourly one, is read over its whole length
@@ -218,7 +241,8 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
         return upsert_table(
             rows, cfg.path("predictions"), schema=_with_date(schemas.PREDICTIONS),
             key=schemas.NATURAL_KEYS["predictions"], partition=_DATED, within=ahead,
-            update=["predicted_visitors", "confidence_lower", "confidence_upper", "predicted_at"])
+            update=["predicted_visitors", "confidence_lower", "confidence_upper", "predicted_at"],
+            **_watched("predictions", broken))
 
     def write_staffing() -> int:
         # from the stored forecast of this run, not a second computation of it
@@ -233,25 +257,27 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
             schema=_with_date(schemas.STAFFING_RECOMMENDATIONS),
             key=schemas.NATURAL_KEYS["staffing_recommendations"], partition=_DATED, within=ahead,
             update=["start_min", "end_min", "predicted_visitors", "recommended_staff",
-                    "demand_level", "model_version", "created_at"])
+                    "demand_level", "model_version", "created_at"],
+            **_watched("staffing_recommendations", broken))
 
     if cfg.incremental:
         start = time.monotonic()
-        rows = load_and_rebuild(spark, cfg, as_of)
+        rows = load_and_rebuild(spark, cfg, as_of, broken)
         log += [(run_id, name, n, time.monotonic() - start) for name, n in rows.items()]
         if stored(spark, cfg, "daily_history", schemas.DAILY_HISTORY).isEmpty():
             raise ValueError("the feature store is empty: no history to forecast from")
     else:
         step("load visits", load_counts)
         step("load weather", load_weather)
-        step("load calendar", lambda: load_calendar(spark, cfg, as_of))
+        step("load calendar", lambda: load_calendar(spark, cfg, as_of, broken))
         if step("build features", build_features) == 0 and cfg.since is None:
             raise ValueError("the feature store is empty: no history to forecast from")
         step("sum days", write_days)
     step("write predictions", write_predictions)
     step("write staffing", write_staffing)
 
-    # a handful of log rows, one per step
+    log += [(run_id, f"{table}: {rule}", n, 0.0) for table, rule, n in broken]
+    # a handful of log rows, one per step and broken rule
     rows = spark.createDataFrame(log, "run_id STRING, step STRING, rows BIGINT, seconds DOUBLE")
     (rows.withColumn("finished_at", stamp).coalesce(1)
      .write.mode("append").parquet(cfg.path("run_log")))

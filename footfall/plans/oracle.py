@@ -322,6 +322,49 @@ def _sql(body: str, *names: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
+def _constraints() -> list[tuple[str, str, str]]:
+    """(table, check, rows to be counted); tables not named have no fault by construction."""
+    found = []
+
+    def checks(table: str, source: str | None, key: str, filled: str, rules: dict[str, str]) -> None:
+        none = "(SELECT 1 WHERE false)"
+        found.append((table, f"duplicate key {key}", none if source is None else
+                      f"(SELECT 1 FROM {source} GROUP BY {key} HAVING count(*) > 1)"))
+        for c in filled.split(",") if filled else ():
+            found.append((table, f"null {c}", none if source is None else f"{source} WHERE {c} IS NULL"))
+        for rule, bad in rules.items():
+            found.append((table, rule, none if source is None else f"{source} WHERE {bad}"))
+
+    checks("visits_hourly", "stored_visits", "site_id,ts", "ts",
+           {"negative count_enter": "count_enter < 0", "negative count_exit": "count_exit < 0"})
+    checks("weather_hourly", None, "ts", "ts", {"negative precipitation_mm": ""})
+    checks("calendar", None, "date_local", "date_local,is_public_holiday,is_school_holiday", {})
+    checks("feature_store", None, "site_id,ts", "ts,date_local,hour_local,weekday,is_weekend,"
+           "is_public_holiday,is_school_holiday",
+           {"hour_local outside 0..23": "", "weekday outside 1..7": "", "negative visitor_count": ""})
+    checks("daily_history", None, "site_id,date_local", "date_local", {"weekday outside 1..7": ""})
+    checks("predictions", "stored_predictions", "site_id,model_name,model_version,date_local",
+           "model_name,model_version,date_local",
+           {"confidence_lower above confidence_upper": "confidence_lower > confidence_upper"})
+    checks("staffing_recommendations", None, "site_id,date_local,shift",
+           "date_local,shift,start_min,end_min,recommended_staff",
+           {"end not after start": "", "negative recommended_staff": ""})
+    checks("employees", "stored_employees", "id", "id,name,role,active", {})
+    checks("shifts", "shifts", "employee_id,weekday", "employee_id,weekday,start_min,end_min",
+           {"weekday outside 1..7": "weekday NOT BETWEEN 1 AND 7",
+            "end not after start": "end_min <= start_min"})
+    found += [
+        ("shifts", "orphan employee_id",
+         "shifts WHERE employee_id NOT IN (SELECT id FROM stored_employees)"),
+        ("lineitem", "duplicate key l_orderkey,l_linenumber",
+         "(SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
+        ("lineitem", "duplicate key l_partkey",
+         "(SELECT 1 FROM lineitem GROUP BY l_partkey HAVING count(*) > 1)"),
+        ("lineitem", "orphan l_orderkey",
+         "lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")]
+    return found
+
+
 def _hours(source: str, extra: str = "") -> str:
     """Hourly split of (site_id, date_local, forecast, low, high)."""
     v = _int("round_even(forecast, 0) * w / 925::DOUBLE")
@@ -407,7 +450,9 @@ _MONTHS = ("['Januar','Februar','März','April','Mai','Juni','Juli','August','Se
            "'Oktober','November','Dezember']")
 
 ORACLE: dict[str, str] = {
-    "feature_store": _sql("SELECT * FROM features", "features"),
+    "feature_store": _sql("""
+        SELECT *, CAST(NULL AS INT) AS pedestrian_count, CAST(NULL AS SMALLINT) AS event_count_nearby,
+          CAST(NULL AS INT) AS event_max_visitors FROM features""", "features"),
     "calendar_dim": _sql("""
         SELECT d AS date_local, h.day IS NOT NULL AS is_public_holiday,
           d BETWEEN DATE '1996-07-25' AND DATE '1996-09-09'
@@ -598,7 +643,8 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT emp_id FROM absences
         WHERE DATE '2024-01-31' BETWEEN start_date AND end_date""", "absences"),
     "weekly_coverage": _sql(f"""
-        SELECT site_id, weekday, label, planned, {_cut('planned / greatest(top, 1)::DOUBLE * 100')} AS height_pct
+        SELECT site_id, weekday, label, planned, {_cut('planned / greatest(top, 1)::DOUBLE * 100')} AS height_pct,
+          weekday = 3 AS is_today
         FROM (SELECT *, max(planned) OVER (PARTITION BY site_id) AS top FROM weekday_counts)""",
                             "weekday_counts"),
     "team_summary": _sql("""
@@ -759,7 +805,17 @@ ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT site_id FROM last_days) s
         CROSS JOIN (SELECT CAST(g AS INT) AS weekday FROM range(1, 8) AS r(g)) w
         LEFT JOIN last_days l ON l.site_id = s.site_id AND isodow(l.date_local) = w.weekday
-        GROUP BY s.site_id, w.weekday""", "last_days"),
+        GROUP BY s.site_id, w.weekday
+        UNION ALL
+        SELECT site_id, 'weather', CAST(CAST(avg_temp_c AS DECIMAL(9,1)) AS VARCHAR), visitors FROM last_days
+        UNION ALL
+        SELECT site_id, 'by_hour', {_label(f"hour({_local('ts')})")}, {_int('coalesce(avg(count_enter), 0)')}
+        FROM visits WHERE hour({_local('ts')}) BETWEEN 8 AND 22 GROUP BY site_id, hour({_local('ts')})
+        UNION ALL
+        SELECT site_id, 'forecast', date_local || ' ' || {_label('hour')}, predicted_visitors FROM demand
+        UNION ALL
+        SELECT site_id, 'coverage', date_local || ' ' || {_label('hour')}, scheduled FROM coverage
+        """, "last_days", "visits", "demand", "coverage"),
     "table_audit": """
         SELECT 'events' AS table_name, count(*) AS n_rows, min(ts) AS min_ts, max(ts) AS max_ts,
           count(*) FILTER (WHERE event_id IS NULL) AS null_keys FROM events
@@ -769,25 +825,16 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (WHERE l_orderkey IS NULL OR l_linenumber IS NULL) FROM lineitem
         UNION ALL SELECT 'supplier', count(*), NULL, NULL,
           count(*) FILTER (WHERE s_suppkey IS NULL) FROM supplier""",
-    "constraint_audit": _sql("""
-        SELECT 'employees' AS table_name, 'duplicate key id' AS check_name,
-          (SELECT count(*) FROM (SELECT id FROM employees GROUP BY 1 HAVING count(*) > 1)) AS violations
-        """ + "".join(f"""UNION ALL SELECT 'employees', 'null {c}', count(*) FROM employees WHERE {c} IS NULL
-        """ for c in ("id", "name", "role", "active")) + """
-        UNION ALL SELECT 'shifts', 'duplicate key employee_id,weekday', count(*) FROM (
-          SELECT 1 FROM shifts GROUP BY employee_id, weekday HAVING count(*) > 1)
-        """ + "".join(f"""UNION ALL SELECT 'shifts', 'null {c}', count(*) FROM shifts WHERE {c} IS NULL
-        """ for c in ("employee_id", "weekday", "start_min", "end_min")) + """
-        UNION ALL SELECT 'shifts', 'weekday outside 1..7', count(*) FROM shifts WHERE weekday NOT BETWEEN 1 AND 7
-        UNION ALL SELECT 'shifts', 'end not after start', count(*) FROM shifts WHERE end_min <= start_min
-        UNION ALL SELECT 'shifts', 'orphan employee_id', count(*) FROM shifts
-          WHERE employee_id NOT IN (SELECT id FROM employees)
-        UNION ALL SELECT 'lineitem', 'duplicate key l_orderkey,l_linenumber', count(*) FROM (
-          SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-        UNION ALL SELECT 'lineitem', 'duplicate key l_partkey', count(*) FROM (
-          SELECT 1 FROM lineitem GROUP BY l_partkey HAVING count(*) > 1)
-        UNION ALL SELECT 'lineitem', 'orphan l_orderkey', count(*) FROM lineitem
-          WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""", "employees", "shifts"),
+    "constraint_audit": _sql(f"""
+        , stored_visits AS (SELECT * REPLACE (count_enter - 40 AS count_enter) FROM visits),
+        stored_predictions AS (SELECT * FROM predictions
+          UNION ALL SELECT * FROM predictions WHERE model_name = 'external'),
+        stored_employees AS (SELECT * FROM employees WHERE id % 10 <> 7),
+        counted AS (
+        """ + " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{check}' AS check_name, count(*) AS violations FROM {bad}"
+        for table, check, bad in _constraints()) + """)
+        SELECT * FROM counted""", "visits", "predictions", "employees", "shifts"),
     "display_labels": _sql(f"""
         SELECT site_id, date_local,
           {_DAYS}[weekday] || ', ' || day(date_local) || '. ' || {_MONTHS}[month(date_local)] || ' ' || year(date_local) AS long_date,

@@ -63,15 +63,38 @@ NATURAL_KEYS = {
     "shifts": ("employee_id", "weekday"),
 }
 
+#: What must not hold for a row, by name; a NULL breaks no rule.
+RULES = {
+    "visits_hourly": {"negative count_enter": "count_enter < 0",
+                      "negative count_exit": "count_exit < 0"},
+    "weather_hourly": {"negative precipitation_mm": "precipitation_mm < 0"},
+    "feature_store": {"hour_local outside 0..23": "hour_local NOT BETWEEN 0 AND 23",
+                      "weekday outside 1..7": "weekday NOT BETWEEN 1 AND 7",
+                      "negative visitor_count": "visitor_count < 0"},
+    "daily_history": {"weekday outside 1..7": "weekday NOT BETWEEN 1 AND 7"},
+    "predictions": {"confidence_lower above confidence_upper":
+                    "confidence_lower > confidence_upper"},
+    "staffing_recommendations": {"end not after start": "end_min <= start_min",
+                                 "negative recommended_staff": "recommended_staff < 0"},
+    "shifts": {"weekday outside 1..7": "weekday NOT BETWEEN 1 AND 7",
+               "end not after start": "end_min <= start_min"},
+}
+
 NOT_NULL = {
     "visits_hourly": ("ts",),
     "weather_hourly": ("ts",),
     "calendar": ("date_local", "is_public_holiday", "is_school_holiday"),
     "feature_store": ("ts", "date_local", "hour_local", "weekday", "is_weekend",
                       "is_public_holiday", "is_school_holiday"),
+    "daily_history": ("date_local",),
     "predictions": ("model_name", "model_version", "date_local"),
     "staffing_recommendations": ("date_local", "shift", "start_min", "end_min",
                                  "recommended_staff"),
     "employees": ("id", "name", "role", "active"),
     "shifts": ("employee_id", "weekday", "start_min", "end_min"),
 }
+
+
+def rules(table: str) -> dict[str, str]:
+    """Every rule of a table, those of filled columns included."""
+    return {**{f"null {c}": f"{c} IS NULL" for c in NOT_NULL.get(table, ())}, **RULES.get(table, {})}

@@ -8,7 +8,7 @@ write reads and replaces only the partitions its rows fall into.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -101,16 +101,25 @@ def without_nulls(new: DataFrame, columns: Sequence[str]) -> DataFrame:
     return new.withColumns({name: checked(name) for name in dict.fromkeys(columns)})
 
 
-def write_partitions(df: DataFrame, path: str, partition: str, mode: str = "overwrite") -> int:
+Report = Callable[[dict[str, int]], None]
+
+
+def write_partitions(df: DataFrame, path: str, partition: str, mode: str = "overwrite",
+                     rules: Mapping[str, str] | None = None, report: Report | None = None) -> int:
     """Write whole partitions, replacing only those present; returns the row count.
 
     ``rebalance`` sizes the output files and splits a partition that holds too many
-    rows over several tasks.  The count is taken while writing.
+    rows over several tasks.  The count is taken while writing, and so are the rows that
+    break each of ``rules`` (conditions that are true for a bad row): ``report`` gets their
+    numbers when the write has succeeded.
     """
-    seen = Observation()
-    (df.hint("rebalance", partition).observe(seen, F.count(F.lit(1)).alias("rows"))
+    seen, rules = Observation(), dict(rules or {})
+    broken = [F.count_if(F.expr(bad)).alias(f"rule{i}") for i, bad in enumerate(rules.values())]
+    (df.hint("rebalance", partition).observe(seen, F.count(F.lit(1)).alias("rows"), *broken)
      .write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))
+    if report is not None:
+        report({rule: seen.get[f"rule{i}"] for i, rule in enumerate(rules)})
     return seen.get["rows"]
 
 
@@ -166,7 +175,8 @@ def key_bucket(*key: str, buckets: int = 64) -> Column:
 def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                         partition: str, arrival: Sequence[Column] | None = None,
                         within: Column | None = None, follows_key: bool = True,
-                        changes: str | None = None) -> int:
+                        changes: str | None = None, rules: Mapping[str, str] | None = None,
+                        report: Report | None = None) -> int:
     """Append the rows whose key is not in the table; running it again adds nothing.
 
     ``follows_key``: the partition is a function of the key, so only the partitions of the
@@ -181,15 +191,16 @@ def insert_ignore_table(new: DataFrame, path: str, *, schema: T.StructType, key:
         match = _with_partition(key, partition) if follows_key else [*key]
         added = absent_rows(rows, target, match, arrival=arrival).select(*schema.names)
         if changes is None:
-            return write_partitions(added, path, partition, "append")
+            return write_partitions(added, path, partition, "append", rules, report)
         with _kept(added) as kept:
             kept.select(partition).distinct().write.mode("append").parquet(changes)
-            return write_partitions(kept, path, partition, "append")
+            return write_partitions(kept, path, partition, "append", rules, report)
 
 
 def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequence[str],
                  partition: str, update: Sequence[str],
-                 arrival: Sequence[Column] | None = None, within: Column | None = None) -> int:
+                 arrival: Sequence[Column] | None = None, within: Column | None = None,
+                 rules: Mapping[str, str] | None = None, report: Report | None = None) -> int:
     """Merge rows into the table; running it again changes nothing.
 
     The partition must be a function of the key.  Merged partitions are staged and, when
@@ -200,4 +211,4 @@ def upsert_table(new: DataFrame, path: str, *, schema: T.StructType, key: Sequen
     with _sides(new, path, schema, key, partition, within, True) as (rows, target):
         merged = merged_rows(rows, target, _with_partition(key, partition), update,
                              arrival=arrival)
-        return write_partitions(merged, path, partition)
+        return write_partitions(merged, path, partition, rules=rules, report=report)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.operators.forecast import normalize_forecast
 
@@ -21,35 +20,54 @@ def read_forecast_csv(spark: SparkSession, path: str | Sequence[str], *,
     Each file's own header says where its columns are, in any order and case, among
     others; of ``columns`` only ``required`` must be there, the rest is NULL where a file
     lacks it.  Everything is read as text and converted by :func:`normalize_forecast`,
-    which turns bad numbers to NULL.  A value may be quoted but has no line breaks.  One
-    frame is planned per layout (distinct header); a file without a header is an error.
+    which turns bad numbers to NULL.  A value may be quoted but has no line breaks.  A file
+    without a header is an error.
+
+    However many layouts there are, the lines are read twice: once for the header of each
+    file, one row per file, and once for the rows, whose cells are then found by name.
     """
     wanted = [*keys, *columns]
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("__file"))
-    names = F.transform(F.split(F.lower(F.regexp_replace("value", "[\"\uFEFF]", "")), ","), F.trim)
+    names = F.transform(_cells(F.regexp_replace("value", "\uFEFF", "")),
+                        lambda c: F.lower(F.trim(c)))
     titled = F.forall(F.array(*[F.lit(c.lower()) for c in (*keys, *required)]),
                       lambda c: F.array_contains(names, c))
-    heads = lines.filter(titled).groupBy("__file").agg(F.min("value").alias("__head"))
-    layouts = [r[0] for r in heads.select("__head").distinct().collect()]  # few: not one per file
-    marked = lines.join(heads, "__file", "left").select("value", F.when(
-        F.col("__head").isNull(), F.raise_error(F.concat(
-            F.lit("no forecast header in "), "__file")).cast("string"))
-        .otherwise(F.col("__head")).alias("__head"))
-    frames = []
-    for head in layouts:
-        here = [c.strip().strip('"\ufeff').lower() for c in head.split(",")]
-        cells = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(len(here))))
-        rows = marked.filter((F.col("__head") == head) & (F.col("value") != head)).select(
-            cells.alias("cells"))
-        frames.append(rows.select(*[
-            (F.col(f"cells.c{here.index(c.lower())}") if c.lower() in here
-             else F.lit(None).cast("string")).alias(c) for c in wanted]))
-    if not frames:  # no file, no line or no header
-        empty = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
-        frames = [spark.createDataFrame([], empty).unionByName(marked.select(
-            *[F.col("__head").alias(c) for c in wanted]))]
-    return normalize_forecast(reduce(DataFrame.unionByName, frames), keys=keys)
+    heads = lines.filter(_may_be_header([*keys, *required]) & titled).groupBy("__file").agg(
+        F.min(F.struct("value", names.alias("names"))).alias("__head"))
+    rows = lines.join(heads, "__file", "left").filter(
+        F.col("__head").isNull() | (F.col("value") != F.col("__head.value")))
+    missing = F.raise_error(F.concat(F.lit("no forecast header in "), "__file"))
+    known = F.when(F.col("__head").isNull(), missing.cast("array<string>")).otherwise(
+        F.col("__head.names"))
+    rows = rows.select(_cells(F.col("value")).alias("cells"), known.alias("names"))
+
+    def named(column: str) -> Column:
+        at = F.array_position("names", F.lit(column.lower()))
+        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).alias(column)
+
+    return normalize_forecast(rows.select(*[named(c) for c in wanted]), keys=keys)
+
+
+def _may_be_header(names: Sequence[str]) -> Column:
+    """Whether a line holds all names at all: a cheap test before it is cut into cells."""
+    line = F.lower("value")
+    return reduce(lambda a, b: a & b, [F.contains(line, F.lit(n.lower())) for n in names])
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, at least as many as it has; an empty one is NULL.
+
+    In a quoted cell a quote is doubled or follows a backslash.
+    """
+    cut = F.regexp_extract_all(line, F.lit(r'("(?:[^"\\]|\\.|"")*"|[^,]*)(?:,|$)'), F.lit(1))
+    return F.transform(cut, lambda c: F.when(
+        F.startswith(c, F.lit('"')), _unquoted(c)).when(c != "", c))
+
+
+def _unquoted(cell: Column) -> Column:
+    inside = F.substr(cell, F.lit(2), F.length(cell) - 2)
+    return F.regexp_replace(F.replace(inside, F.lit('""'), F.lit('"')), r'\\(.)', '$1')
 
 
 def query(spark: SparkSession, text: str, params: Mapping[str, object] | None = None,

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from footfall.functions.timeparts import DEFAULT_TZ, local_date
 from footfall.sinks.keyed import (
-    absent_rows, insert_ignore_table, read_table, touched_partitions, upsert_table, without_nulls,
+    Report, absent_rows, insert_ignore_table, read_table, touched_partitions, upsert_table, without_nulls,
     write_partitions)
 
 AVAILABLE_NOW: Mapping[str, object] = {"availableNow": True}
@@ -52,16 +52,17 @@ def ingest_once(stream: DataFrame, path: str, *, schema: T.StructType, key: Sequ
 def land_once(stream: DataFrame, path: str, changes: str, *, schema: T.StructType,
               key: Sequence[str], partition: str, checkpoint: str,
               counted: Callable[[int], None] = lambda rows: None,
+              rules: Mapping[str, str] | None = None, report: Report | None = None,
               trigger: Mapping[str, object] = AVAILABLE_NOW) -> StreamingQuery:
     """Insert-if-absent of landed files; the partitions that gain rows are noted in ``changes``.
 
     The checkpoint knows the files read, so a file is opened once, whatever the table has
     grown to; the partition must be a function of the key.  ``counted`` gets the number of
-    rows that each batch adds.
+    rows that each batch adds, ``report`` those that break one of ``rules``.
     """
     def write(batch: DataFrame, _: int) -> None:
         counted(insert_ignore_table(batch, path, schema=schema, key=key, partition=partition,
-                                    changes=changes))
+                                    changes=changes, rules=rules, report=report))
 
     return _start(stream, write, checkpoint, trigger)
 

@@ -84,3 +84,11 @@ def test_unused_weather_is_not_joined(spark, sf_dir):
     # the events once for the counts and once, times only, for the days of the calendar
     assert text.count("FileScan") == 2
     assert text.count("ReadSchema: struct<ts:timestamp_ntz>") == 1
+
+
+def test_exchanges_of_composites(spark, sf_dir, no_broadcast):
+    """Data that is laid out once serves every choice of the source, model and day."""
+    text = plan(QUERIES["get_forecast"](spark, sf_dir))
+    assert text.count("Exchange hashpartitioning") - text.count("ReusedExchange") <= 10
+    # the audit reads stored tables; of its own it shuffles twice
+    assert plan(QUERIES["constraint_audit"](spark, sf_dir)).count("Exchange") == 2

@@ -9,6 +9,7 @@ from footfall.session import work_dir
 from footfall.sinks.exports import write_csv
 from footfall.sinks.keyed import (
     absent_rows, insert_ignore_table, merged_rows, read_table, upsert_table)
+from footfall.sinks.published import publish, read_published, upsert_published
 
 SCHEMA = flat_schema("k INT, v STRING, note STRING, d DATE")
 DAY = date(2026, 1, 1)
@@ -163,3 +164,53 @@ def test_csv_export(spark, tmp_path):
     assert files[0].read_text() == "datum,besucher\n2026-01-01,5\n"
     with pytest.raises(Exception):
         write_csv(spark.range(1), path)
+
+
+PLAN = flat_schema("site_id BIGINT, day BIGINT, staff INT")
+
+
+def _plan(spark, rows):
+    return spark.createDataFrame(rows, PLAN)
+
+
+def test_published_tables_are_seen_whole(spark, tmp_path):
+    """A run that fails between write and publication leaves the old table; the next one
+    publishes, and readers of the version before are not disturbed."""
+    path = str(tmp_path / "plan")
+
+    def rows():
+        return sorted(map(tuple, read_published(spark, path, PLAN).collect()))
+
+    def merge(new, **options):
+        return upsert_published(_plan(spark, new), path, schema=PLAN, key=["site_id", "day"],
+                                update=["staff"], partition="day", **options)
+
+    def lost(version):
+        assert spark.read.parquet(version).count() == 3
+        raise RuntimeError("the driver is lost")
+
+    assert rows() == []
+    first = merge([(1, 1, 5), (1, 2, 6)])
+    assert rows() == [(1, 1, 5), (1, 2, 6)]
+    with pytest.raises(RuntimeError, match="lost"):
+        merge([(1, 2, 7), (2, 1, 8)], before_pointer=lost)
+    assert rows() == [(1, 1, 5), (1, 2, 6)]
+    reader = read_published(spark, path, PLAN)
+    second = merge([(1, 2, 7), (2, 1, 8)])
+    assert rows() == [(1, 1, 5), (1, 2, 7), (2, 1, 8)]
+    assert sorted(map(tuple, reader.collect())) == [(1, 1, 5), (1, 2, 6)]
+    # the version before stays, the failed one is gone
+    assert {p.name for p in (tmp_path / "plan").glob("version-*")} == {first, second}
+    third = publish(_plan(spark, []), path)
+    assert rows() == []
+    assert {p.name for p in (tmp_path / "plan").glob("version-*")} == {second, third}
+
+
+def test_rules_are_counted_while_writing(spark):
+    path, found = work_dir(spark, "ruled"), []
+    rows = spark.createDataFrame([(1, 1, 5), (2, 1, -5), (3, 2, None)], PLAN)
+    written = insert_ignore_table(
+        rows, path, schema=PLAN, key=["site_id"], partition="day", follows_key=False,
+        rules={"null staff": "staff IS NULL", "negative staff": "staff < 0", "late": "day > 9"},
+        report=found.append)
+    assert written == 3 and found == [{"null staff": 1, "negative staff": 1, "late": 0}]

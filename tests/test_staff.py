@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import audit, coverage, forecast, shifts
+from footfall.session import work_dir
 from tests.seed import staff
+from tests.test_plans import plan
 
 WEDNESDAY, FRIDAY, SUNDAY = "2026-01-07", "2026-01-09", "2026-01-11"
 
@@ -193,3 +195,29 @@ def test_shift_times_from_text(spark):
                                  "employee_id STRING, weekday INT, start STRING, end STRING")
     with_text = shifts_from_text(rows.filter("weekday = 1")).first()
     assert (with_text.start_min, with_text.end_min) == (480, 870)
+
+
+def test_findings_of_all_tables(spark):
+    people = spark.createDataFrame([(1, "a"), (2, None), (2, "c"), (None, "d")], "id INT, name STRING")
+    work = spark.createDataFrame(
+        [(1, 1, 5, 9), (1, 1, 5, 4), (3, 2, 5, 9), (3, 2, 1, 1), (None, 1, 2, 3)],
+        "who INT, day INT, a INT, b INT")
+    tables = {
+        "people": audit.Checked(people, [["id"]], {"null name": "name IS NULL"}),
+        "work": audit.Checked(work, [["who", "day"], ["a"]], {"end not after start": "b <= a"},
+                              {"who": ("people", "id")}),
+        "empty": audit.Checked(people.limit(0), [["id"]], {}, {"id": ("people", "id")})}
+    found = audit.constraint_findings(tables)
+    assert {(r.table_name, r.check_name): r.violations for r in found.collect()} == {
+        ("people", "duplicate key id"): 1, ("people", "null name"): 1,
+        ("work", "duplicate key who,day"): 2, ("work", "duplicate key a"): 1,
+        ("work", "end not after start"): 2, ("work", "orphan who"): 2,
+        ("empty", "duplicate key id"): 0, ("empty", "orphan id"): 0}
+    # of its own the audit shuffles twice, however many tables there are
+    stored = {}
+    for name, checked in tables.items():
+        path = work_dir(spark, name)
+        checked.df.write.parquet(path)
+        stored[name] = audit.Checked(spark.read.schema(checked.df.schema).parquet(path),
+                                     checked.keys, checked.rules, checked.parents)
+    assert plan(audit.constraint_findings(stored)).count("Exchange") == 2

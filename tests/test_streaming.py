@@ -218,3 +218,22 @@ def test_an_upsert_rewrites_only_the_buckets_of_its_keys(spark):
     changed = {f.parent.name for f, _ in set(before.items()) ^ set(after.items())}
     assert len({f.parent.name for f in before}) == 16 and len(changed) == 1
     assert read_table(spark, path, schema).count() == 200
+
+
+def test_refresh_cadence(spark):
+    """A board kept up to date at its cadence takes what is there at once, then waits."""
+    assert jobs.BOARD_REFRESH == {"processingTime": "60 seconds"}
+    assert jobs.WEATHER_REFRESH == {"processingTime": "15 minutes"}
+    path, source, checkpoint = (work_dir(spark, n) for n in ("board", "src", "cp"))
+    schema = flat_schema("event_id BIGINT, n BIGINT, part BIGINT")
+    _day_file(spark, source, [(i, i) for i in range(20)])
+    stream = spark.readStream.schema(EVENT).parquet(source).withColumn(
+        "part", key_bucket("event_id", buckets=2)).select("event_id", "n", "part")
+    query = jobs.upsert_stream(stream, path, schema=schema, key=["event_id"], partition="part",
+                               update=["n"], checkpoint=checkpoint, trigger=jobs.BOARD_REFRESH)
+    try:
+        query.processAllAvailable()
+        assert read_table(spark, path, schema).count() == 20
+        assert query.isActive
+    finally:
+        query.stop()
