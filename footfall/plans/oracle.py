@@ -464,8 +464,9 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS o, count(*) AS n FROM orders GROUP BY 1) ON o = d""",
                          "holidays"),
     "calendar_by_region": _sql(f"""
-        , days AS (SELECT CAST(unnest(range(a, z + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (
-          SELECT min(CAST({_local('ts')} AS DATE)) AS a, max(CAST({_local('ts')} AS DATE)) AS z FROM events)),
+        , days AS (SELECT site, CAST(unnest(range(a, z + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (
+          SELECT user_id % 25 AS site, min(CAST({_local('ts')} AS DATE)) AS a,
+            max(CAST({_local('ts')} AS DATE)) AS z FROM events GROUP BY 1)),
         off AS (SELECT DISTINCT region, CAST(unnest(range(a, b + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day
           FROM (VALUES (0, DATE '2024-01-01', DATE '2024-01-06'), (0, DATE '2024-01-05', DATE '2024-01-09'),
             (1, DATE '2024-01-03', DATE '2024-01-05'), (1, DATE '2024-01-06', DATE '2024-01-07'),
@@ -475,10 +476,10 @@ ORACLE: dict[str, str] = {
         breaks AS (SELECT region, day, min(day) OVER run AS a, max(day) OVER run AS z FROM (
           SELECT *, day - CAST(row_number() OVER (PARTITION BY region ORDER BY day) AS INT) AS run_id FROM off)
           WINDOW run AS (PARTITION BY region, run_id))
-        SELECT s_suppkey AS site_id, d.day AS date_local, n_regionkey AS region,
+        SELECT site AS site_id, d.day AS date_local, n_regionkey AS region,
           h.day IS NOT NULL AS is_public_holiday, holiday_name, b.day IS NOT NULL AS is_school_holiday,
           b.a AS break_first_day, b.z AS break_last_day
-        FROM supplier JOIN nation ON n_nationkey = s_nationkey CROSS JOIN days d
+        FROM days d LEFT JOIN nation ON n_nationkey = site
           LEFT JOIN holidays h ON h.day = d.day
           LEFT JOIN breaks b ON b.region = n_regionkey AND b.day = d.day""", "holidays"),
     "event_features": _sql(f"""

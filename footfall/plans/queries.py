@@ -67,17 +67,14 @@ def calendar_dim(spark, sf):
 
 @query
 def calendar_by_region(spark, sf):
-    """Every day of the events for every supplier, with the breaks of its region."""
-    days = calendar.days_spanned(views.events(spark, sf), local_date(F.col("ts")))
-    sites = views.table(spark, sf, "supplier").join(
-        views.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("site_id"), F.col("n_regionkey").alias("region"))
+    """The days that the users of each nation span, with the breaks of its region."""
+    events = views.events(spark, sf).withColumn("site_id", (F.col("user_id") % 25).cast("int"))
+    days = calendar.days_spanned(events, local_date(F.col("ts")), keys=("site_id",))
+    sites = views.table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("site_id"), F.col("n_regionkey").alias("region"))
     breaks = constant_table(spark, ("region", "first_day", "last_day"), [
         (r, date.fromisoformat(a), date.fromisoformat(b)) for r, a, b in REGION_BREAKS])
-    # all days of all sites, by a constant key
-    each = sites.select("site_id", F.lit(0).alias("one")).join(
-        days.select(F.lit(0).alias("one"), "date_local"), "one").drop("one")
-    return calendar.calendar_by_region(each, sites, breaks)
+    return calendar.calendar_by_region(days, sites, breaks)
 
 
 @query
