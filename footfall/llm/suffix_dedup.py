@@ -174,8 +174,11 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
 
     def thinned(batches: Iterator[pa.RecordBatch], chosen=None) -> Iterator[pa.RecordBatch]:
         """Stretches whose anchors may be shared, by digest; with ``chosen``, a bitmap of
-        places, those at such places, with their bytes."""
+        places and of documents, those at such places, with their bytes."""
         bits = shipped.value
+        if chosen is not None:  # texts that have none of them are not looked at again
+            batches = (b.filter(pa.array(marked(chosen.value, b.column(1).to_numpy())))
+                       for b in batches)
         for batch, texts in text_batches(batches):
             out, data = [], []
             for i, text in enumerate(texts):
@@ -214,11 +217,12 @@ def repeated_spans(docs: DataFrame, length: int, group_texts: int) -> DataFrame:
     sizes = settled(firsts.groupBy("anchor").count().where("count > 1"), "shared-anchors")
     # the bytes are taken from the texts again, of these stretches only; a place that the
     # bitmap lets through by chance is one more true stretch and changes nothing
-    chosen = docs.sparkSession.sparkContext.broadcast(
-        bitmap(firsts.join(sizes, "anchor").select("place")))
-    shared = rows.mapInArrow(
-        lambda batches: thinned(batches, chosen),
-        "doc_id long, row_key long, anchor long, first int, bytes binary").join(sizes, "anchor")
+    still = firsts.join(sizes, "anchor").select(F.explode(F.array("place", "row_key")).alias("hash"))
+    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(still))
+    shared = settled(
+        rows.mapInArrow(lambda batches: thinned(batches, chosen),
+                        "doc_id long, row_key long, anchor long, first int, bytes binary"),
+        "open-stretches").join(sizes, "anchor")
     small = (shared.where(F.col("count") <= group_texts)
              .select("doc_id", "row_key", "anchor", "first", "bytes")
              .repartition("anchor").sortWithinPartitions("anchor"))
