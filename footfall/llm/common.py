@@ -37,6 +37,26 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text", F.lit("row"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for helper columns, changed where ``df`` has columns of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``rejected`` (doc_id, row_key); all columns are kept."""
+    key, one, other = unused(docs, "row__key", "one__id", "one__key")
+    gone = rejected.select(F.col("doc_id").alias(one), F.col("row_key").alias(other))
+    return docs.withColumn(key, row_key()).join(
+        gone, F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(key) == F.col(other)),
+        "left_anti").select(*docs.columns)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str, rank: str) -> DataFrame:
     """``df`` with the 0-based position of each row in ``order``, without one task for all.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm.common import row_key, settled, table, text_batches
+from footfall.llm.common import row_key, settled, table, text_batches, without_rows
 
 TERMS = 1 << 18
 SLICE = 1 << 15
@@ -323,11 +323,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, sam
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that a passage hits; all columns are kept."""
-    hits = settled(contaminated(docs, benchmark, **options).select(
-        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).dropDuplicates(), "hits")
-    return docs.withColumn("__row", row_key()).join(
-        hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")),
-        "left_anti").select(*docs.columns)
+    hits = contaminated(docs, benchmark, **options).select("doc_id", "row_key").dropDuplicates()
+    return without_rows(docs, settled(hits, "hits"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

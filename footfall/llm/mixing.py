@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import WORD, ranked, row_key, settled, table
+from footfall.llm.common import WORD, ranked, row_key, settled, table, unused
 
 #: Rows of one source and size that are ranked together when single copies are given out.
 BLOCK_ROWS = 50_000
@@ -159,17 +159,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
+    copies, rows, one, other, key, turn, copy = unused(
+        docs, "copies__", "alike__", "one__id", "one__key", "row__key", "turn__", "copy__")
     taken = (mix_sources(docs, **options).groupBy("doc_id", "row_key")
-             .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")))
-    taken = taken.withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
-    keyed = docs.withColumn("__row", row_key()).withColumn("__turn", F.row_number().over(
-        Window.partitionBy("doc_id", "__row").orderBy(F.lit(0))))
-    times = F.floor(F.col("__copies") / F.col("__alike")) + (
-        F.col("__turn") <= F.col("__copies") % F.col("__alike")).cast("long")
-    return (keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))
-                       & (F.col("__row") == F.col("__key")))
+             .agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+             .withColumnsRenamed({"doc_id": one, "row_key": other}))
+    # rows alike in id and text are told apart by their other columns
+    keyed = docs.withColumn(key, row_key()).withColumn(turn, F.row_number().over(
+        Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*docs.columns))))
+    times = F.floor(F.col(copies) / F.col(rows)) + (
+        F.col(turn) <= F.col(copies) % F.col(rows)).cast("long")
+    return (keyed.join(taken, F.col("doc_id").eqNullSafe(F.col(one))
+                       & (F.col(key) == F.col(other)))
             .where(times > 0)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), times)))
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
             .select(*docs.columns))
 
 

@@ -273,7 +273,8 @@ def _block(salt: int) -> Column:
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                        shard: int = SHARD) -> DataFrame:
-    """One row per document: doc_id, row_key, n_shingles and component_id.
+    """One row per document: doc_id, row_key, n_shingles, component_id and root, a long that
+    only the rows of one component share (null without shingles).
 
     Texts are lower-cased (A-Z) and cut at ASCII white space.  A text of fewer words than
     ``words`` is one shingle; null, empty and blank texts have none and are linked with
@@ -410,14 +411,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     labelled = classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
         "cid", "doc_id", F.coalesce("root", "cid").alias("root"))
     heads = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = settled(labelled.join(heads, "root").select("cid", "component_id"), "class-components")
+    of = settled(labelled.join(heads, "root").select("cid", "root", "component_id"),
+                 "class-components")
     return given.join(of, "cid", "left").select(
-        "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "root",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("row_key")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("row_key", "root")
 
 
 SQL = r"""

@@ -4,7 +4,9 @@ import numpy as np
 import xxhash
 
 from footfall.llm.components import components
-from footfall.llm.simhash import fingerprint, kept_rows, near_duplicates
+from footfall.llm.prefix_join import shingles
+from footfall.llm.simhash import (
+    distinct_rows, fingerprint, kept_rows, near_duplicates, verified_copies)
 from tests.llm.rows import TEXTS, awkward, documents
 
 
@@ -89,3 +91,52 @@ def test_components_of_a_long_chain(spark):
 
 def test_bits_agree_with_numpy():
     assert int(np.bitwise_count(np.uint64(plain("a b c d e f")))) == plain("a b c d e f").bit_count()
+
+
+def test_verified_copies_against_all_pairs(spark):
+    """At five words and 0.8: no pair that is less alike, nine in ten of those that are."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    shared = [word() for _ in range(60)]
+    texts = ["", None, "a b", "A  b", "a b c"]
+    for _ in range(60):
+        base = [word() for _ in range(rng.choice([40, 120, 300]))] + rng.choice([[], shared])
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            copy = list(base)
+            for _ in range(max(1, len(base) * rng.choice([1, 2, 3]) // 150)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    sets = [frozenset(map(int, shingles((t or "").encode(), 5))) for t in texts]
+    links, alike = [], []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                links.append((j, i))
+    got = {r.doc_id: r.root for r in verified_copies(documents(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 100 and found >= 0.9 * len(links)
+    # groups hold nothing that links don't connect
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        parent[find(j)] = find(i)
+    for i in range(len(texts)):
+        alike += [(i, j) for j in range(i) if got[i] == got[j]]
+    assert all(find(i) == find(j) for i, j in alike)
+
+
+def test_distinct_rows_of_awkward_texts(spark):
+    docs = awkward(spark).withColumnsRenamed({"lang": "row__key", "hash": "turn__", "fp": "one__id"})
+    kept = distinct_rows(docs).collect()
+    # the two foxes and the one without id, the empty ones, the long ones
+    assert sorted((r.doc_id, r.source) for r in kept) == [
+        (1, "s1"), (3, "s1"), (6, "s2"), (8, None), (9, "s3"), (9, "s3")]
+    assert distinct_rows(docs).columns == docs.columns
+    assert distinct_rows(docs.limit(0)).count() == 0
