@@ -37,7 +37,7 @@ BLOCK = 4096
 #: A segment is closed when it has this many ids; a document is never divided.
 SEGMENT_IDS = 1 << 18
 #: Bytes of distinct words, and of their parts, remembered by a task before it starts afresh.
-REMEMBERED = 12 << 20
+REMEMBERED = 64 << 20
 #: Bytes that an entry takes beside its word and its ids.
 ENTRY = 180
 #: Documents, and segments, that Spark hands to Python at once.
