@@ -14,15 +14,27 @@ from footfall.operators.features import daily_visitors, daily_weather
 from footfall.operators.ranking import first_rows
 
 
+def newest_days(visits: DataFrame, *, days: int = 30, keys: Sequence[str] = ("site_id",),
+                tz: str = DEFAULT_TZ, daily: DataFrame | None = None) -> DataFrame:
+    """(keys, date_local, visitors) of the newest ``days`` days that have visitors.
+
+    Where days are stored already, ``daily`` (keys, date_local, visitors) is read instead of
+    the hours.
+    """
+    rows = daily_visitors(visits, keys=keys, tz=tz) if daily is None else daily.select(
+        *keys, "date_local", "visitors")
+    return first_rows(rows.filter("visitors IS NOT NULL"), keys, [F.col("date_local").desc()], days)
+
+
 def last_days(visits: DataFrame, weather: DataFrame, *, days: int = 30,
-              keys: Sequence[str] = ("site_id",), tz: str = DEFAULT_TZ) -> DataFrame:
-    """The newest ``days`` days that have visitors, with mean temperature and rain.
+              keys: Sequence[str] = ("site_id",), tz: str = DEFAULT_TZ,
+              daily: DataFrame | None = None) -> DataFrame:
+    """:func:`newest_days` with mean temperature and rain.
 
     The newest days are picked before the weather joins, which keeps the join small.
     Missing weather counts as 0.
     """
-    daily = daily_visitors(visits, keys=keys, tz=tz).filter("visitors IS NOT NULL")
-    newest = first_rows(daily, keys, [F.col("date_local").desc()], days)
+    newest = newest_days(visits, days=days, keys=keys, tz=tz, daily=daily)
     wkeys = [k for k in keys if k in weather.columns]
     joined = newest.join(daily_weather(weather, keys=wkeys, tz=tz),
                          [*wkeys, "date_local"], "left").fillna(0.0, ["avg_temp", "rain"])

@@ -458,7 +458,7 @@ def last_30_days(spark, sf):
 
 @query
 def history_summary(spark, sf):
-    return history.history_summary(_last(spark, sf))
+    return history.history_summary(history.newest_days(views.visits_hourly(spark, sf)))
 
 
 @query
@@ -634,7 +634,8 @@ def kpi_report(spark, sf):
                                   extra=("change_next_pct",))
     totals = forecast.day_totals(hours, keys=("site_id", "change_next_pct"))
     return reports.kpi_report(
-        demand=totals, history=history.history_summary(_last(spark, sf)),
+        demand=totals,
+        history=history.history_summary(history.newest_days(views.visits_hourly(spark, sf))),
         coverage=coverage.coverage_summary(
             coverage.coverage_by_hour(hours, emp, sh, ab, days=("2024-02-01", "2024-02-01"))),
         team=shifts.team_summary(emp, sh))
