@@ -18,20 +18,23 @@ def feature_store(visits: DataFrame, weather: DataFrame, calendar: DataFrame, *,
                   event_days: DataFrame | None = None) -> DataFrame:
     """One row per series and hour with local time parts, calendar flags and weather.
 
-    Weather joins on the keys it shares with the visits plus ``ts``.  Neither join
-    is hinted: small sides are broadcast by their measured size, larger ones
-    shuffle on a key that is unique per row.  ``event_days`` (date_local,
+    Weather joins on the keys it shares with the visits plus ``ts``, the calendar on
+    those it shares plus the date: one weather or calendar for all, or one for each site.
+    Neither join is hinted: small sides are broadcast by their measured size, larger ones
+    shuffle; where one weather serves all, an hour's rows of all sites meet in one place,
+    and AQE splits what grows too large.  ``event_days`` (date_local,
     event_count_nearby, event_max_visitors) fills two of the reserved columns.
     """
     on = [k for k in keys if k in weather.columns] + ["ts"]
+    by_day = [k for k in keys if k in calendar.columns] + ["date_local"]
     hourly = visits.withColumn("local", local_time(F.col("ts"), tz))
     hourly = (hourly.withColumn("date_local", F.to_date("local"))
               .withColumn("hour_local", F.hour("local"))
               .withColumn("weekday", iso_weekday(F.col("date_local"))))
     joined = (hourly.join(weather.select(*on, "temperature_c", "precipitation_mm",
                                          "weather_code"), on, "left")
-              .join(calendar.select("date_local", "is_public_holiday", "is_school_holiday"),
-                    "date_local", "left"))
+              .join(calendar.select(*by_day, "is_public_holiday", "is_school_holiday"),
+                    by_day, "left"))
     if event_days is None:
         events = (F.lit(None).cast("smallint").alias("event_count_nearby"),
                   F.lit(None).cast("int").alias("event_max_visitors"))

@@ -27,7 +27,8 @@ from footfall.operators.forecast import (
 from footfall.operators.staffing import staffing_recommendations
 from footfall.sinks.keyed import (
     insert_ignore_table, read_table, touched_partitions, upsert_table, write_partitions)
-from footfall.sources.calendar import SCHOOL_BREAKS, calendar, days_between
+from footfall.sources.calendar import (
+    SCHOOL_BREAKS, calendar, calendar_by_region, days_between)
 from footfall.sources.landed_json import (
     read_count_pages, read_weather_arrays, stream_count_pages, stream_weather_arrays)
 from footfall.streaming.jobs import land_once, rebuild_changed
@@ -60,11 +61,28 @@ class NightlyConfig:
     incremental: bool = False
     #: landed files of a batch
     files: int = 1000
+    #: weather payloads name the site they are for, in ``site_id``
+    weather_by_site: bool = False
+    #: (site, region) pairs or a Parquet folder of them, and (region, first, last) of the
+    #: school breaks: with these every site has a calendar of its own, and only these sites
+    site_regions: Sequence[tuple[int, str]] | str | None = None
+    region_breaks: Sequence[tuple[str, str, str]] = ()
 
     def path(self, table: str) -> str:
         return f"{self.tables.rstrip('/')}/{table}"
 
 
+def _weather(cfg: NightlyConfig) -> tuple[T.StructType, list[str], dict[str, str]]:
+    """Schema and key of the stored weather, and the keys of its payloads."""
+    if cfg.weather_by_site:
+        return schemas.WEATHER_BY_SITE, ["site_id", "ts"], {"site_id": "BIGINT"}
+    return schemas.WEATHER_HOURLY, ["ts"], {}
+
+
+def _calendar_schema(cfg: NightlyConfig) -> T.StructType:
+    return schemas.CALENDAR if cfg.site_regions is None else schemas.CALENDAR_BY_SITE
+
+
 def stored(spark: SparkSession, cfg: NightlyConfig, table: str, schema: T.StructType) -> DataFrame:
     return read_table(spark, cfg.path(table), _with_date(schema))
 
@@ -85,17 +103,28 @@ def _watched(table: str, broken: Broken) -> dict:
 
 def load_calendar(spark: SparkSession, cfg: NightlyConfig, as_of: datetime,
                   broken: Broken) -> int:
-    days = days_between(spark, cfg.first_day, as_of.date())
-    rows = calendar(days, breaks=cfg.school_breaks).withColumn("year", F.year(_DATED))
+    days, schema = days_between(spark, cfg.first_day, as_of.date()), _calendar_schema(cfg)
+    if cfg.site_regions is None:
+        rows = calendar(days, breaks=cfg.school_breaks)
+    else:
+        regions = (spark.read.parquet(cfg.site_regions) if isinstance(cfg.site_regions, str)
+                   else spark.createDataFrame(cfg.site_regions, "site_id BIGINT, region STRING"))
+        breaks = spark.createDataFrame(cfg.region_breaks, "region STRING, a STRING, b STRING")
+        span = F.sequence(F.lit(cfg.first_day).cast("date"), F.lit(str(as_of.date())).cast("date"))
+        rows = calendar_by_region(
+            regions.select("site_id", F.explode(span).alias(_DATED)), regions,
+            breaks.select("region", F.to_date("a").alias("first_day"), F.to_date("b").alias("last_day")))
     return insert_ignore_table(
-        rows, cfg.path("calendar"), key=[_DATED], partition="year", **_watched("calendar", broken),
-        schema=T.StructType([*schemas.CALENDAR.fields, T.StructField("year", T.IntegerType())]))
+        rows.withColumn("year", F.year(_DATED)), cfg.path("calendar"),
+        key=[c for c in ("site_id", _DATED) if c in schema.names], partition="year",
+        **_watched("calendar", broken),
+        schema=T.StructType([*schema.fields, T.StructField("year", T.IntegerType())]))
 
 
 def _features(spark: SparkSession, cfg: NightlyConfig, visits: DataFrame, weather: DataFrame,
               stamp: Column, within: Column | None, broken: Broken) -> int:
     """Features of the given hours, upserted."""
-    days = read_table(spark, cfg.path("calendar"), schemas.CALENDAR)
+    days = read_table(spark, cfg.path("calendar"), _calendar_schema(cfg))
     rows = feature_store(visits.drop(_DATED), weather, days, tz=cfg.tz).withColumn(
         "created_at", stamp)
     # reserved columns and the time of first insertion are left alone
@@ -121,13 +150,14 @@ def land_files(spark: SparkSession, cfg: NightlyConfig, stamp: Column,
     are noted for :func:`rebuild_days`.
     """
     added = {"visits": 0, "weather": 0}
+    weather_schema, weather_key, payload_keys = _weather(cfg)
     sources = {
         "visits": (stream_count_pages(spark, cfg.counts, keys={"site_id": "BIGINT"},
                                       pretty_printed=cfg.pretty_printed, files=cfg.files),
                    schemas.VISITS_HOURLY, ["site_id", "ts"]),
-        "weather": (stream_weather_arrays(spark, cfg.weather, tz=cfg.tz,
+        "weather": (stream_weather_arrays(spark, cfg.weather, keys=payload_keys, tz=cfg.tz,
                                           pretty_printed=cfg.pretty_printed, files=cfg.files),
-                    schemas.WEATHER_HOURLY, ["ts"])}
+                    weather_schema, weather_key)}
     for name, (rows, schema, key) in sources.items():
         def count(n: int, name: str = name) -> None:
             added[name] += n
@@ -156,7 +186,7 @@ def rebuild_days(spark: SparkSession, cfg: NightlyConfig, stamp: Column,
             return touched_partitions(stored(spark, cfg, table, schema), changed, _DATED)
 
         written[0] += _features(spark, cfg, hours("visits_hourly", schemas.VISITS_HOURLY),
-                                hours("weather_hourly", schemas.WEATHER_HOURLY), stamp, None, broken)
+                                hours("weather_hourly", _weather(cfg)[0]), stamp, None, broken)
         written[1] += _days(cfg, hours("feature_store", schemas.FEATURE_STORE), broken)
 
     rebuild_changed(spark, cfg.path("changed_days"), dates, rebuild,
@@ -214,15 +244,16 @@ def run(spark: SparkSession, cfg: NightlyConfig, as_of: datetime) -> str:
             **_watched("visits_hourly", broken))
 
     def load_weather() -> int:
-        arrays = read_weather_arrays(spark, cfg.weather, tz=cfg.tz,
+        schema, key, payload_keys = _weather(cfg)
+        arrays = read_weather_arrays(spark, cfg.weather, keys=payload_keys, tz=cfg.tz,
                                      pretty_printed=cfg.pretty_printed)
         return insert_ignore_table(
-            landed(arrays), cfg.path("weather_hourly"), schema=_with_date(schemas.WEATHER_HOURLY),
-            key=["ts"], partition=_DATED, within=loaded, **_watched("weather_hourly", broken))
+            landed(arrays), cfg.path("weather_hourly"), schema=_with_date(schema),
+            key=key, partition=_DATED, within=loaded, **_watched("weather_hourly", broken))
 
     def build_features() -> int:
         visits = stored(spark, cfg, "visits_hourly", schemas.VISITS_HOURLY)
-        weather = stored(spark, cfg, "weather_hourly", schemas.WEATHER_HOURLY)
+        weather = stored(spark, cfg, "weather_hourly", _weather(cfg)[0])
         return _features(spark, cfg, visits.filter(recent), weather.filter(recent), stamp, recent,
                          broken)
 

@@ -27,8 +27,12 @@ VISITS_HOURLY = flat_schema(
 WEATHER_HOURLY = flat_schema(
     "ts TIMESTAMP, temperature_c DOUBLE, precipitation_mm DOUBLE, weather_code INT, "
     "wind_speed_kmh DOUBLE, cloud_cover_pct INT, fetched_at TIMESTAMP")
+#: Weather of places: as above, with the site each place stands for.
+WEATHER_BY_SITE = T.StructType([T.StructField("site_id", T.LongType()), *WEATHER_HOURLY.fields])
 CALENDAR = flat_schema(
     "date_local DATE, is_public_holiday BOOLEAN, is_school_holiday BOOLEAN, holiday_name STRING")
+#: A calendar for each site, with the school breaks of its region.
+CALENDAR_BY_SITE = T.StructType([T.StructField("site_id", T.LongType()), *CALENDAR.fields])
 FEATURE_STORE = flat_schema(
     "site_id BIGINT, ts TIMESTAMP, date_local DATE, hour_local INT, weekday INT, "
     "is_weekend BOOLEAN, is_public_holiday BOOLEAN, is_school_holiday BOOLEAN, "

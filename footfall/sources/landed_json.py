@@ -129,11 +129,16 @@ def weather_per_day_arrays(weather: DataFrame, *, tz: str = DEFAULT_TZ) -> DataF
 def days_ahead(weather: DataFrame, as_of, days: int, tz: str = DEFAULT_TZ) -> DataFrame:
     """Rows from local midnight of ``as_of`` to the end of the day ``days`` later.
 
-    Written as a plain range on ``ts`` so that it reaches the file scan.
+    Written as a plain range on ``ts`` so that it reaches the file scan; a table with a
+    ``date_local`` column (the local date of ``ts``) is bounded by it as well, so that only
+    the partitions of these days are read.
     """
     start = F.date_trunc("day", now_local(as_of)).cast("timestamp_ntz")
     first = instant_from_local(start, tz)
     end = instant_from_local(start + F.make_dt_interval(F.lit(days + 1)), tz)
+    if "date_local" in weather.columns:
+        day = F.to_date(start)
+        weather = weather.filter(F.col("date_local").between(day, F.date_add(day, days)))
     return weather.filter((F.col("ts") >= first) & (F.col("ts") < end))
 
 

@@ -141,6 +141,34 @@ def test_late_old_days_and_a_run_that_failed(spark, tmp_path, monkeypatch):
     assert _features(spark, cfg) == _features(spark, want)
 
 
+@pytest.mark.parametrize("incremental", [False, True])
+def test_weather_and_calendar_of_each_site(spark, tmp_path, incremental):
+    """Two sites in regions with different breaks and weather; counts below zero are noted."""
+    cfg = _land(tmp_path, 8, enter=lambda s, d, h: -1 if (s, d, h) == (1, 0, 6) else h)
+    for file in (tmp_path / "weather").iterdir():
+        payload = json.loads(file.read_text())
+        lines = []
+        for site in (1, 2):
+            hourly = dict(payload["hourly"], temperature_2m=[10.0 * site] * len(payload["hourly"]["time"]))
+            lines.append(json.dumps({"site_id": site, "hourly": hourly}))
+        file.write_text("\n".join(lines))
+    cfg = replace(cfg, weather_by_site=True, incremental=incremental,
+                  site_regions=[(1, "north"), (2, "south")],
+                  region_breaks=[("north", "2025-04-24", "2025-04-25"), ("north", "2025-04-25", "2025-04-26"),
+                                 ("south", "2025-04-28", "2025-04-28")])
+    run(spark, cfg, datetime(2025, 5, 2, 3))
+    features = stored(spark, cfg, "feature_store", schemas.FEATURE_STORE)
+    assert features.count() == 2 * 8 * 14
+    assert {tuple(r) for r in features.select("site_id", "temperature_c").distinct().collect()} == {
+        (1, 10.0), (2, 20.0)}
+    breaks = features.filter("is_school_holiday").select("site_id", "date_local").distinct().collect()
+    assert {(r.site_id, str(r.date_local)) for r in breaks} == {
+        (1, "2025-04-24"), (1, "2025-04-25"), (1, "2025-04-26"), (2, "2025-04-28")}
+    log = {r.step: r.rows for r in spark.read.parquet(cfg.path("run_log")).collect()}
+    assert log["visits_hourly: negative count_enter"] == 1
+    assert log["feature_store: negative visitor_count"] == 1
+
+
 def test_audit_of_stored_tables(spark, tmp_path):
     cfg = _land(tmp_path, 2)
     run(spark, cfg, datetime(2025, 4, 26, 3))

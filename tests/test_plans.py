@@ -60,6 +60,16 @@ def test_a_range_of_days_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(ts,2023-11-14" in text and "LessThan(ts,2023-11-16" in text
 
 
+def test_days_ahead_read_their_partitions_only(spark):
+    path = work_dir(spark, "dated-hours")
+    hours = spark.range(240).select(F.timestamp_seconds(F.col("id") * 3600 + 1700000000).alias("ts"))
+    hours.withColumn("date_local", F.to_date("ts")).write.partitionBy("date_local").parquet(path)
+    near = days_ahead(spark.read.schema("ts TIMESTAMP, date_local DATE").parquet(path),
+                      "2023-11-17", 1, "UTC")
+    assert re.search(r"PartitionFilters: \[isnotnull\(date_local.*2023-11-1", plan(near))
+    assert near.count() == 48
+
+
 def test_split_and_staffing_add_no_shuffle(spark, sf_dir):
     base = forecast.baseline_by_weekday(views.daily_series(spark, sf_dir),
                                         as_of=F.lit("2001-11-05").cast("date"))
