@@ -15,6 +15,20 @@ MARKS = 1 << 27
 SLICE = 1 << 20  # bytes
 
 
+class Packed:
+    """A large array that travels compressed; most of its places are alike."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __getstate__(self):
+        return zlib.compress(self.array.tobytes(), 1), self.array.dtype.str, self.array.shape
+
+    def __setstate__(self, state):
+        data, kind, shape = state
+        self.array = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+
+
 def marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two places in the bitmap for each hash."""
     h = hashes.view(np.uint64)
@@ -22,7 +36,7 @@ def marks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             (h >> np.uint64(32) & np.uint64(MARKS - 1)).astype(np.int64))
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
+def bitmap(hashes: DataFrame) -> Packed:
     """The bitmap of all ``hashes``, a column of longs; of fixed size, so it may be sent around."""
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(MARKS >> 3, np.uint8)
@@ -49,10 +63,10 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     for row in parts.groupBy("slice").applyInPandas(joined, schema).toLocalIterator():
         out[row.slice * SLICE:(row.slice + 1) * SLICE] = np.frombuffer(
             zlib.decompress(row.bits), np.uint8)
-    return out
+    return Packed(out)
 
 
-def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def marked(found: Packed, hashes: np.ndarray) -> np.ndarray:
     """Which ``hashes`` may be in the set."""
-    a, b = marks(hashes)
+    bits, (a, b) = found.array, marks(hashes)
     return (bits[a >> 3] >> (a & 7) & 1 & (bits[b >> 3] >> (b & 7))).astype(bool)

@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.bitmap import bitmap, marked
+from footfall.llm.bitmap import Packed, bitmap, marked
 from footfall.llm.common import row_key, settled, table, text_batches
 from footfall.llm.components import components
 
@@ -286,7 +286,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
                        "text")
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
+    counts = docs.sparkSession.sparkContext.broadcast(Packed(shingle_counts(docs, words)))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(cid)
-                first = ordered(found, counts.value)[:2 * prefix(len(found), percent)]
+                first = ordered(found, counts.value.array)[:2 * prefix(len(found), percent)]
                 prefixes.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int32()),
@@ -318,11 +318,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
         given.where("n > 0").groupBy("cid").agg(F.min(order).alias("least"), F.max("n").alias("n"))
         .select("cid", "n", "least.doc_id", "least.row_key"), "classes")
     prefixes = given.where("prefix IS NOT NULL").select("cid", "n", "prefix")
-    several = settled(
-        prefixes.select("cid", F.explode("prefix").alias("token")).groupBy("token")
-        .agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("token"),
-        "several")
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(several))
+    several = (prefixes.select("cid", F.explode("prefix").alias("token")).groupBy("token")
+               .agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b"))
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(several.select("token")))
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefixes, shingle by shingle, of classes that may have enough in common."""
@@ -345,25 +343,29 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                  pa.array((places - ends[row]).astype(np.int32)), pa.array(found[places])],
                 ["cid", "n", "at", "token"])
 
-    having = settled(
-        prefixes.mapInArrow(enough, "cid long, n int, at int, token long")
-        .join(several, "token").dropDuplicates(["cid", "token"]), "in-common")
+    # exact now: of the shingles that are left, those that occur in several classes
+    met = (prefixes.mapInArrow(enough, "cid long, n int, at int, token long")
+           .repartition("token").dropDuplicates(["token", "cid"]))
+    by_token = Window.partitionBy("token")
+    met = settled(met.withColumn("classes", F.count("*").over(by_token)).where("classes > 1")
+                  .drop("classes"), "in-common")
     length = F.expr(f"n + 1 - ({percent} * n + 99) div 100")  # as in prefix, in_common
-    kept = (having.groupBy("cid", "n").agg(F.count("*").alias("common"))
-            .withColumn("small", F.expr(f"({percent} * n + 99) div 100"))
-            .withColumn("length", F.expr(f"small + 1 - ({percent} * small + 99) div 100"))
-            .where("common > least(2 * length, small) - length").select("cid"))
-    having = having.where(F.col("at") < length).join(kept, "cid").select("cid", "n", "token")
+    kept = settled(
+        met.groupBy("cid", "n").agg(F.count("*").alias("common"))
+        .withColumn("small", F.expr(f"({percent} * n + 99) div 100"))
+        .withColumn("length", F.expr(f"small + 1 - ({percent} * small + 99) div 100"))
+        .where("common > least(2 * length, small) - length").select("cid"), "classes-left")
+    having = met.where(F.col("at") < length).join(kept, "cid").select("cid", "n", "token")
     # shingles that the same classes share make the same shard: one of them is enough
-    shared = (having.groupBy("token").agg(
-        F.count("*").alias("sharing"), F.sum("n").alias("weight"),
-        F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b"))
+    shared = settled(
+        having.groupBy("token").agg(
+            F.count("*").alias("sharing"), F.sum("n").alias("weight"),
+            F.bit_xor(F.xxhash64("cid")).alias("a"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("b"))
         .where("sharing > 1").groupBy("sharing", "weight", "a", "b")
-        .agg(F.min("token").alias("token")))
-    members = settled(having.select("cid", "token").join(
-        shared.select("token", "sharing",
-                      F.ceil(F.col("weight") / shard).cast("int").alias("blocks")), "token"),
-        "members")
+        .agg(F.min("token").alias("token"))
+        .select("token", "sharing", F.ceil(F.col("weight") / shard).cast("int").alias("blocks")),
+        "shards")
+    members = settled(having.select("cid", "token").join(shared, "token"), "members")
 
     # whole sets, from the texts again, of one row of each class that shares something; a row
     # that the bitmap lets through by chance finds no shard
@@ -378,7 +380,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(map(class_of, found)), pa.int64()),
                      pa.array(list(map(len, found)), pa.int32()),
-                     pa.array([ordered(f, counts.value).tobytes() for f in found], pa.binary())],
+                     pa.array([ordered(f, counts.value.array).tobytes() for f in found], pa.binary())],
                     ["cid", "n", "tokens"])
 
     sets = settled(rows.select("row_key", "text").mapInArrow(
@@ -399,8 +401,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     open_ = grouped.join(grouped.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"))
                          .where("a <> b").select("token"), "token", "left_semi")
     # a shingle whose classes all met in one shard of the first round has nothing to add
-    met = first.where("blocks = 1").select("cid", F.col("token").alias("shard"))
-    covered = (open_.join(met, "cid").groupBy("token", "sharing", "shard").count()
+    whole_ = first.where("blocks = 1").select("cid", F.col("token").alias("shard"))
+    covered = (open_.join(whole_, "cid").groupBy("token", "sharing", "shard").count()
                .where("count = sharing").select("token").distinct())
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
