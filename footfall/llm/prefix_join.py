@@ -39,8 +39,8 @@ COUNTS = 1 << 20
 SLICE = 1 << 16
 #: Shingles of the sets that a shard holds; beyond it a group is dealt in blocks.
 SHARD = 1 << 21
-#: Classes a task remembers to have given the prefix of.
-SEEN = 100_000
+#: Tokens that a task packs at once, and the lowest bits that a bucket's tokens differ in.
+PACKED, BUCKET = 1 << 18, 52
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -89,19 +89,33 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """In how many documents the shingles of each place of the table occur, over all ``docs``."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shingled(rows: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row_key, n, cid) of each of ``rows``; and from each task, where ``slice`` isn't
+    null, in how many of its texts the shingles of each place occur."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row_key", "n", "cid", "slice", "data"]
         out = np.zeros(COUNTS, np.int64)
-        for _, texts in text_batches(batches):
-            found = np.concatenate([shingles(t, words) for t in texts])
-            out += np.bincount((found & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
+        for batch, texts in text_batches(batches):
+            found = [shingles(t, words) for t in texts]
+            out += np.bincount((np.concatenate(found) & np.uint64(COUNTS - 1)).astype(np.int64),
+                               minlength=COUNTS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int32()),
+                 pa.array(list(map(class_of, found)), pa.int64()),
+                 pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names)
         for i in range(0, COUNTS, SLICE):
             if (part := out[i:i + SLICE]).any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i // SLICE], pa.int32()),
-                     pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["slice", "data"])
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
+                     pa.nulls(1, pa.int64()), pa.array([i // SLICE], pa.int32()),
+                     pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+
+    return rows.mapInArrow(
+        run, "doc_id long, row_key long, n int, cid long, slice int, data binary")
+
 
+def shingle_counts(parts: DataFrame) -> np.ndarray:
+    """The sum of the ``parts`` (slice, data): in how many texts the shingles of a place occur."""
     def added(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLICE, np.int64)
         for frame in rows:
@@ -110,8 +124,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         yield pd.DataFrame({"slice": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "slice int, data binary"
-    parts = docs.select("text").mapInArrow(counted, schema).withColumn(
-        "turn", F.spark_partition_id() % 64)
+    parts = parts.withColumn("turn", F.spark_partition_id() % 64)
     parts = parts.groupBy("slice", "turn").applyInPandas(added, schema)
     out = np.zeros(COUNTS, np.int64)
     for row in parts.groupBy("slice").applyInPandas(added, schema).toLocalIterator():
@@ -120,6 +133,59 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def repeats(lists: DataFrame) -> DataFrame:
+    """(token) of all that occurs more than once in ``lists``, one column of lists of longs.
+
+    Tokens travel sorted and packed, in buckets by their highest bits; of one that a task has
+    often, two go.
+    """
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            tokens = np.sort(np.concatenate(held).view(np.uint64))
+            often = np.zeros(len(tokens), bool)
+            often[2:] = tokens[2:] == tokens[:-2]
+            tokens = tokens[~often]
+            bucket = (tokens >> np.uint64(BUCKET)).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            ends = np.append(starts, len(tokens)).astype(np.int32) * 8
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[starts]), pa.Array.from_buffers(
+                    pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(tokens)])],
+                ["bucket", "tokens"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= PACKED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out():
+            tokens = np.sort(np.frombuffer(b"".join(held), np.int64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.unique(tokens[1:][tokens[1:] == tokens[:-1]]))], ["token"])
+
+        for batch in batches:
+            for bucket, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                if bucket != now and held:
+                    yield out()
+                    held = []
+                now = bucket
+                held.append(tokens)
+        if held:
+            yield out()
+
+    return (lists.mapInArrow(packed, "bucket int, tokens binary").repartition("bucket")
+            .sortWithinPartitions("bucket").mapInArrow(twice, "token long"))
+
+
 class Node:
     """A run of shingles that all sets below share, and the sizes of those sets."""
 
@@ -260,13 +326,23 @@ def _searched(percent: int):
 
 
 def _shards(dealt: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Links (u, v) found in the shards of ``dealt`` (token, i, j, block, cid, root)."""
-    rows = (dealt.join(sets, "cid").repartition("token", "i", "j")
+    """Links (u, v) found in the shards of ``dealt`` (token, i, j, block, cid, root).
+
+    Both sides are shuffled even where one is small, so a plan and its disk are the same in
+    proportion at any size.
+    """
+    rows = (dealt.join(sets.hint("merge"), "cid").repartition("token", "i", "j")
             .sortWithinPartitions("token", "i", "j", "block", "n"))
     return settled(rows.select("token", "i", "j", "block", "cid", "root", "tokens")
                    .mapInArrow(_searched(percent), "u long, v long"), name)
 
 
+def _chosen(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column, a hash, may be in the bitmap ``found``, a broadcast."""
+    for batch in batches:
+        yield batch.filter(pa.array(marked(found.value, batch.column(0).to_numpy())))
+
+
 def _block(salt: int) -> Column:
     return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col("blocks")).cast("int")
 
@@ -286,41 +362,32 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
                        "text")
-    counts = docs.sparkSession.sparkContext.broadcast(Packed(shingle_counts(docs, words)))
-
-    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch, texts in text_batches(batches):
-            n, cids, prefixes = [], [], []
-            for text in texts:
-                found = shingles(text, words)
-                cid = class_of(found)
-                n.append(len(found))
-                cids.append(cid)
-                if not len(found) or cid in seen:
-                    prefixes.append(None)
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(cid)
-                first = ordered(found, counts.value.array)[:2 * prefix(len(found), percent)]
-                prefixes.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int32()),
-                 pa.array(cids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "n", "cid", "prefix"])
-
-    given = settled(rows.mapInArrow(
-        prefixed, "doc_id long, row_key long, n int, cid long, prefix array<long>"), "prefixes")
+    context = docs.sparkSession.sparkContext
+    read = settled(shingled(rows, words), "shingled")
+    counts = context.broadcast(Packed(shingle_counts(
+        read.where("slice IS NOT NULL").select("slice", "data"))))
+    given = read.where("slice IS NULL").select("doc_id", "row_key", "n", "cid")
     # classes of equal sets; a large one is merged map-side
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     classes = settled(
         given.where("n > 0").groupBy("cid").agg(F.min(order).alias("least"), F.max("n").alias("n"))
         .select("cid", "n", "least.doc_id", "least.row_key"), "classes")
-    prefixes = given.where("prefix IS NOT NULL").select("cid", "n", "prefix")
-    several = (prefixes.select("cid", F.explode("prefix").alias("token")).groupBy("token")
-               .agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b"))
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(several.select("token")))
+    heads = context.broadcast(bitmap(classes.select("row_key")))
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefixes of one row of each class; of a few more that the bitmap lets through."""
+        for _, texts in text_batches(_chosen(batches, heads)):
+            found = [f for f in (shingles(t, words) for t in texts) if len(f)]
+            first = [ordered(f, counts.value.array)[:2 * prefix(len(f), percent)].view(np.int64)
+                     for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(map(class_of, found)), pa.int64()),
+                 pa.array(list(map(len, found)), pa.int32()),
+                 pa.array(first, pa.list_(pa.int64()))], ["cid", "n", "prefix"])
+
+    prefixes = settled(rows.select("row_key", "text").mapInArrow(
+        prefixed, "cid long, n int, prefix array<long>"), "prefixes")
+    shipped = context.broadcast(bitmap(settled(repeats(prefixes.select("prefix")), "repeats")))
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefixes, shingle by shingle, of classes that may have enough in common."""
@@ -370,18 +437,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     # whole sets, from the texts again, of one row of each class that shares something; a row
     # that the bitmap lets through by chance finds no shard
     wanted = members.select("cid").distinct().join(classes, "cid").select("row_key")
-    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    chosen = context.broadcast(bitmap(wanted))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take = np.flatnonzero(marked(chosen.value, batch.column(0).to_numpy()))
-            for _, texts in text_batches(batch.take(pa.array(take)) for _ in (0,)):
-                found = [shingles(t, words) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(map(class_of, found)), pa.int64()),
-                     pa.array(list(map(len, found)), pa.int32()),
-                     pa.array([ordered(f, counts.value.array).tobytes() for f in found], pa.binary())],
-                    ["cid", "n", "tokens"])
+        for _, texts in text_batches(_chosen(batches, chosen)):
+            found = [shingles(t, words) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(map(class_of, found)), pa.int64()),
+                 pa.array(list(map(len, found)), pa.int32()),
+                 pa.array([ordered(f, counts.value.array).tobytes() for f in found], pa.binary())],
+                ["cid", "n", "tokens"])
 
     sets = settled(rows.select("row_key", "text").mapInArrow(
         whole, "cid long, n int, tokens binary"), "sets")

@@ -128,3 +128,25 @@ def test_against_sql(spark, sf_dir):
     want = con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({prefix_join.SQL})").fetchall()
     got = op13_ngram_jaccard(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tokens_that_occur_twice(spark, monkeypatch):
+    """Over several packs, buckets and partitions; a token of many lists comes once."""
+    rng = random.Random(2)
+    once = [rng.randrange(-1 << 63, 1 << 63) for _ in range(900)]
+    lists = [[t] for t in once] + [[t, 5, -7] for t in once[:300]] + [[], [9]]
+    monkeypatch.setattr(prefix_join, "PACKED", 50)
+    found = prefix_join.repeats(spark.createDataFrame([(x,) for x in lists], "p array<long>")
+                                .repartition(5))
+    assert sorted(r.token for r in found.collect()) == sorted([*once[:300], 5, -7])
+
+
+def test_sets_are_shuffled_at_any_size(spark, monkeypatch):
+    """No plan of a shard joins small inputs in another way than large ones."""
+    plans = []
+    settled = prefix_join.settled
+    monkeypatch.setattr(prefix_join, "settled", lambda df, name: plans.append(
+        (name, df._jdf.queryExecution().executedPlan().toString())) or settled(df, name))
+    jaccard_components(documents(spark, near_copies(3))).collect()
+    shards = [plan for name, plan in plans if name.startswith("links")]
+    assert len(shards) == 2 and all("SortMergeJoin" in p for p in shards)
