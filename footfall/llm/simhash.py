@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.bitmap import bitmap, marked
 from footfall.llm.common import row_key, settled, table, text_batches, unused
 from footfall.llm.components import components
 from footfall.llm.prefix_join import class_of, jaccard_components, shingles
@@ -272,87 +271,19 @@ def kept_rows(docs: DataFrame, **options) -> DataFrame:
     return _first_of_groups(docs, near_duplicates(docs, **options))
 
 
-#: Of a set's shingles one in this many, by hash, says whether others may be like it.
-SAMPLED = 8
-
-
-def _majority(found: np.ndarray) -> int:
-    """SimHash of a set of 64-bit hashes, as a signed long: bits that over half of it have."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(found), 1 << 14):
-        part = found[at:at + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<i8")[0])
-
-
-def verified_copies(docs: DataFrame, words: int = 5, percent: int = 80,
-                    within: int = 14) -> DataFrame:
-    """(doc_id, row_key, root) of each row: SimHash finds candidates, Jaccard decides.
+def verified_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, row_key, root) of each row: the groups that rows alike are linked into.
 
     Rows are linked if the sets of their shingles of ``words`` words have a Jaccard
     similarity of ``percent`` or more; equal sets always are, so texts without words form
-    one group, and texts of fewer words are one shingle.  A set whose fingerprint has no
-    other within ``within`` bits is linked with none: at 80 % that misses a pair in some
-    fifteen.  Only classes with half of a sample of their shingles in common with others
-    are fingerprinted, since a pair that is alike shares far more.  Texts are read whole;
-    rows alike come out repeated.  An empty table gives none.
+    one group, and texts of fewer words are one shingle.  All such links count: no distance
+    of fingerprints holds every pair at 80 % (14 bits miss one in some fifteen, and vantage
+    points prune nothing there), so the candidates are the prefix-tree join's, which misses
+    none.  Texts are read whole; rows alike come out repeated.  An empty table gives none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
-                       "text")
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            found = [shingles(t, words) for t in texts]
-            some = [f[f % np.uint64(SAMPLED) == 0] if len(f) >= 8 * SAMPLED else f for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(class_of, found)), pa.int64()),
-                 pa.array(list(map(_majority, found)), pa.int64()),
-                 pa.array([s.view(np.int64) for s in some], pa.list_(pa.int64()))],
-                ["doc_id", "row_key", "cid", "fp", "some"])
-
-    given = settled(rows.mapInArrow(
-        printed, "doc_id long, row_key long, cid long, fp long, some array<long>"), "printed")
-    several = (given.select("cid", F.explode("some").alias("token")).groupBy("token")
-               .agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b"))
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(several.select("token")))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            ends = lists.offsets.to_numpy()
-            upto = np.concatenate(([0], np.cumsum(marked(shipped.value, lists.values.to_numpy()))))
-            size = np.diff(ends)
-            take = np.flatnonzero((size > 0) & (2 * (upto[ends[1:]] - upto[ends[:-1]]) >= size))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(pa.array(take)) for c in (0, 1)], ["cid", "fp"])
-
-    near = settled(given.select("cid", "fp", "some").mapInArrow(alike, "cid long, fp long")
-                   .dropDuplicates(), "near")
-    distinct = settled(near.groupBy("fp").agg(F.count("*").alias("classes")), "near-prints")
-    found = settled(links(distinct, within), "candidates")
-    prints = found.select(F.explode(F.array("u", "v")).alias("fp")).union(
-        distinct.where("classes > 1").select("fp")).distinct()
-    # one row of each candidate class, its whole text again
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    heads = settled(
-        given.groupBy("cid").agg(F.min(order).alias("first"))
-        .join(near.join(prints, "fp").select("cid"), "cid")
-        .select("cid", F.col("first.doc_id").alias("id"), F.col("first.row_key").alias("key")),
-        "candidate-rows")
-    chosen = docs.sparkSession.sparkContext.broadcast(bitmap(heads.select("key")))
-
-    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.take(pa.array(np.flatnonzero(marked(
-                chosen.value, batch.column(1).to_numpy()))))
-
-    texts = settled(rows.mapInArrow(picked, "doc_id long, row_key long, text string")
-                    .select(F.col("row_key").alias("doc_id"), "text"), "candidate-texts")
-    decided = settled(jaccard_components(texts, words, percent)
-                      .select(F.col("doc_id").alias("key"), "root").dropDuplicates(), "decided")
-    of = settled(heads.join(decided, "key").select("cid", "root").dropDuplicates(["cid"]), "roots")
-    return given.join(of, "cid", "left").select(
-        "doc_id", "row_key", F.coalesce("root", "cid").alias("root"))
+    blank = class_of(shingles(b"", words))
+    return jaccard_components(docs, words, percent).select(
+        "doc_id", "row_key", F.coalesce("root", F.lit(blank)).alias("root"))
 
 
 def distinct_rows(docs: DataFrame, **options) -> DataFrame:

@@ -140,3 +140,28 @@ def test_distinct_rows_of_awkward_texts(spark):
         (1, "s1"), (3, "s1"), (6, "s2"), (8, None), (9, "s3"), (9, "s3")]
     assert distinct_rows(docs).columns == docs.columns
     assert distinct_rows(docs.limit(0)).count() == 0
+
+
+def test_verified_copies_leave_no_pair_out(spark):
+    """Pairs just above the threshold, far apart by fingerprint and of few shingles."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    texts = []
+    for n in [14, 24, 50, 70, 70, 90, 120, 200] * 12:
+        base = [word() for _ in range(n)]
+        copy = list(base)
+        # one block of words changed: as many shingles as a similarity of 0.8 allows
+        shared = -(-160 * (n - 4) // 180)
+        changed = max(1, n - 4 - shared - 4)
+        if n - 4 - changed - 4 < shared:
+            copy = [*base, word()]
+        else:
+            copy[9:9 + changed] = [word() for _ in range(changed)]
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [frozenset(map(int, shingles(t.encode(), 5))) for t in texts]
+    got = {r.doc_id: r.root for r in verified_copies(documents(spark, texts)).collect()}
+    pairs = [i for i in range(0, len(texts), 2)
+             if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])]
+    assert len(pairs) > 90
+    assert [i for i in pairs if got[i] != got[i + 1]] == []
+    assert len(set(got.values())) == len(texts) - len(pairs)
