@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from footfall.llm import prefix_join, simhash
 from footfall.llm.components import components
 from footfall.llm.prefix_join import shingles
 from footfall.llm.simhash import (
@@ -165,3 +166,25 @@ def test_verified_copies_leave_no_pair_out(spark):
     assert len(pairs) > 90
     assert [i for i in pairs if got[i] != got[i + 1]] == []
     assert len(set(got.values())) == len(texts) - len(pairs)
+
+
+def test_verified_copies_make_no_more_rows_than_a_group_has(spark, monkeypatch):
+    """A large group of near copies gives links in proportion to its size, not its square."""
+    rng = random.Random(4)
+    base, made = [f"w{i}" for i in range(300)], []
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        copy[rng.randrange(300)] = f"x{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(copy))
+
+    def counted(edges, *args):
+        made.append(edges.count())
+        return components(edges, *args)
+
+    for module in (simhash, prefix_join):
+        monkeypatch.setattr(module, "components", counted)
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: made.append((found := links(*a)).count()) or found)
+    assert len({r.root for r in verified_copies(documents(spark, texts)).collect()}) == 1
+    assert made and max(made) < 4 * len(texts)
