@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,8 +37,8 @@ MAGIC = b"FFPACK01"
 BLOCK = 4096
 #: A segment is closed when it has this many ids; a document is never divided.
 SEGMENT_IDS = 1 << 18
-#: Bytes of distinct words, and of their parts, remembered by a task before it starts afresh.
-REMEMBERED = 64 << 20
+#: Bytes of distinct words and their parts remembered by a task before it starts afresh.
+REMEMBERED = 96 << 20
 #: Bytes that an entry takes beside its word and its ids.
 ENTRY = 180
 #: Documents, and segments, that Spark hands to Python at once.
@@ -119,12 +120,13 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.format = "H" if self.dtype.itemsize == 2 else "I"
         probe = ["Ab,", "c1's", "dé", "́x"]
         self.by_word = self._whole(" \n ".join(probe) + "\t") == sum(map(self._whole, probe), [])
-        self.parts: dict[str, bytes] = {}
-        self.held = self.parts_held = 0
+        self.held = 0
         signs = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
         signs += [b for b in range(256) if b not in signs]  # bytes in the order of their signs
         self.signs = {b: chr(b if i < 188 else 256 + i - 188) for i, b in enumerate(signs)}
@@ -134,29 +136,33 @@ class Encoder(dict):
     def _model(self, text: str) -> list[int]:
         """Ids of one lower-case word or run of signs, past the tokenizer's preparation."""
         mapped = text.encode().decode("latin-1").translate(self.signs)
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return [t.id for t in self.model.tokenize(mapped)]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _part(self, text: str) -> bytes:
-        if (ids := self.parts.get(text)) is None:
-            if self.parts_held >= REMEMBERED:
-                self.parts.clear()
-                self.parts_held = 0
-            found = self._model(text) if self.direct else self._whole(text)
-            ids = self.parts[text] = np.array(found, self.dtype).tobytes()
-            self.parts_held += ENTRY + len(text) + len(ids)
-        return ids
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.format}", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if plain := PLAIN.fullmatch(text):
-            ids = self._part(plain[1].lower())
-            if plain[2]:
-                ids += self._part(plain[2])
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            lower = word.lower()
+            if lower != word:
+                ids = self[lower]
+            elif self.direct:  # such letters stand for themselves
+                ids = self._bytes([t.id for t in self.model.tokenize(word.decode())])
+            else:
+                ids = self._bytes(self._whole(word.decode()))
         else:
-            ids = np.array(self._whole(text), self.dtype).tobytes()
+            text = word.decode("utf-8", "replace")
+            if not (plain := PLAIN.fullmatch(text)):
+                ids = self._bytes(self._whole(text))
+            elif plain[2]:
+                ids = self[plain[1].lower().encode()] + self[plain[2].encode()]
+            elif (lower := text.lower()) != text:
+                ids = self[lower.encode()]
+            else:
+                ids = self._bytes(self._model(text) if self.direct else self._whole(text))
         if len(word) <= 64:
             if self.held >= REMEMBERED:
                 self.clear()

@@ -54,3 +54,12 @@ def test_awkward_rows(spark):
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     assert t.token_ids(docs.limit(0)).count() == 0
+
+
+def test_words_and_their_parts_are_remembered_once():
+    encoder = t.Encoder(t.vocabulary_path())
+    ids = encoder.ids("alpha Alpha alpha, été ÉTÉ. x1 #!".encode())
+    assert ids.tolist() == encoder._whole("alpha Alpha alpha, été ÉTÉ. x1 #!")
+    assert {w.decode() for w in encoder} == {
+        "alpha", "Alpha", "alpha,", ",", "été", "ÉTÉ.", ".", "x1", "#!"}
+    assert encoder.held == sum(t.ENTRY + len(w) + len(i) for w, i in encoder.items())
