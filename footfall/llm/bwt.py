@@ -21,24 +21,44 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(signs: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling; end signs differ and sort by place."""
+    """Suffixes in order, by doubling; end signs differ and sort by place.
+
+    Four signs fit in one key, so the first sort is by four, and later sorts look only at
+    suffixes that share their rank with others.
+    """
     n = len(signs)
     ends = np.flatnonzero(signs == 0)
-    rank = signs.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    step = 1
-    while True:
-        key = rank * (rank.max() + 2)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, bool)
+    key = signs.astype(np.int64) + len(ends)
+    key[ends] = np.arange(len(ends))
+    step, most = 1, len(ends) + 257
+    while step < 4 and most ** 2 < 1 << 62:
+        wide = key * (most + 1)
+        wide[:-step] += key[step:] + 1
+        key, step, most = wide, 2 * step, (most + 1) ** 2
+    order = np.argsort(key)
+    fresh = np.empty(n, bool)
+    fresh[0] = True
+    held = key[order]
+    np.not_equal(held[1:], held[:-1], out=fresh[1:])
+    # a rank is the place of the first suffix that shares it, so it stays when others split
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    while len(at):
+        open_ = order[at]
+        ahead = open_ + step
+        key = rank[open_] * (n + 2)
+        key += np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        turn = np.argsort(key)
+        order[at] = open_ = open_[turn]
+        held = key[turn]
+        fresh = np.empty(len(at), bool)
         fresh[0] = True
-        np.not_equal(key[order[1:]], key[order[:-1]], out=fresh[1:])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+        np.not_equal(held[1:], held[:-1], out=fresh[1:])
+        rank[open_] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        at = at[~(fresh & np.append(fresh[1:], True))]
         step *= 2
-        if fresh.all():
-            return order
+    return order
 
 
 class Shard:

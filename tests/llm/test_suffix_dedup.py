@@ -68,3 +68,19 @@ def test_awkward_rows(spark):
     for r in rows:
         assert r.n_bytes - r.n_removed == len(r.kept or b"")
     assert remove_repeats(awkward(spark).limit(0)).count() == 0
+
+
+def test_only_open_suffixes_are_sorted_again(monkeypatch):
+    from footfall.llm import bwt
+
+    rng = random.Random(8)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(400)) for _ in range(20)]
+    texts += [texts[0][:200] + texts[1][200:], b"", b"a", texts[2]]
+    signs, _ = bwt._joined(texts)
+    place = np.cumsum(signs == 0)  # end signs differ and sort by place
+    want = sorted(range(len(signs)), key=lambda i: [
+        (int(s), int(p) if not s else 0) for s, p in zip(signs[i:i + 500], place[i:i + 500], strict=True)])
+    argsort, sorted_ = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, **k: sorted_.append(len(a)) or argsort(a, **k))
+    assert bwt.suffix_order(signs).tolist() == want
+    assert sum(sorted_) < 3 * len(signs)
