@@ -22,7 +22,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import settled, table, text_batches
+from footfall.llm.common import DOCUMENTS, batches_of, settled, table, text_batches
 from footfall.session import work_dir
 
 MAGIC = b"FFPACK01"
@@ -41,8 +40,8 @@ SEGMENT_IDS = 1 << 18
 REMEMBERED = 96 << 20
 #: Bytes that an entry takes beside its word and its ids.
 ENTRY = 180
-#: Documents, and segments, that Spark hands to Python at once.
-DOCUMENTS, SEGMENTS = 500, 8
+#: Segments that Spark hands to Python at once.
+SEGMENTS = 8
 #: Latin-1 letters, then ASCII signs other than the apostrophe: split alike by any case.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -187,19 +186,6 @@ def _encoder(path: str) -> Encoder:
     return _READY[path]
 
 
-@contextmanager
-def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows in what runs inside, so that long rows don't
-    add up to a batch of many megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None) -> str:
     """Writes the ids of every text, ``end_id`` after each, and returns the folder.
 
@@ -234,7 +220,7 @@ def write_token_ids(docs: DataFrame, path: str, end_id: int = 1, folder: str | N
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
                        F.xxhash64("text").alias("tie"))
-    with _batches_of(docs.sparkSession, DOCUMENTS):
+    with batches_of(docs.sparkSession, DOCUMENTS):
         (rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
          .select("doc_id", "text")
          .mapInArrow(run, "part int, number int, inside long, n_ids long, doc_ids array<long>, "
@@ -286,7 +272,7 @@ def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the ids of ``docs`` and reads the digest of each document back from the files."""
     spark = docs.sparkSession
     folder = write_token_ids(docs, path or vocabulary_path())
-    with _batches_of(spark, SEGMENTS):
+    with batches_of(spark, SEGMENTS):
         return settled(documents_of(read_token_ids(spark, folder)), "token-digests")
 
 
