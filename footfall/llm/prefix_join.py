@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from footfall.llm.bitmap import Packed, bitmap, marked
-from footfall.llm.common import row_key, settled, table, text_batches
+from footfall.llm.common import DOCUMENTS, batches_of, row_key, settled, table, text_batches
 from footfall.llm.components import components
 
 #: Counts that order the shingles, by their lowest bits; of fixed size.
@@ -97,8 +97,7 @@ def shingled(rows: DataFrame, words: int) -> DataFrame:
         out = np.zeros(COUNTS, np.int64)
         for batch, texts in text_batches(batches):
             found = [shingles(t, words) for t in texts]
-            out += np.bincount((np.concatenate(found) & np.uint64(COUNTS - 1)).astype(np.int64),
-                               minlength=COUNTS)
+            np.add.at(out, (np.concatenate(found) & np.uint64(COUNTS - 1)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int32()),
                  pa.array(list(map(class_of, found)), pa.int64()),
@@ -325,6 +324,12 @@ def _searched(percent: int):
     return run
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """:func:`settled`, where rows hold whole texts, prefixes or sets: few reach Python at once."""
+    with batches_of(df.sparkSession, DOCUMENTS):
+        return settled(df, name)
+
+
 def _shards(dealt: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """Links (u, v) found in the shards of ``dealt`` (token, i, j, block, cid, root).
 
@@ -333,8 +338,8 @@ def _shards(dealt: DataFrame, sets: DataFrame, percent: int, name: str) -> DataF
     """
     rows = (dealt.join(sets.hint("merge"), "cid").repartition("token", "i", "j")
             .sortWithinPartitions("token", "i", "j", "block", "n"))
-    return settled(rows.select("token", "i", "j", "block", "cid", "root", "tokens")
-                   .mapInArrow(_searched(percent), "u long, v long"), name)
+    return _written(rows.select("token", "i", "j", "block", "cid", "root", "tokens")
+                    .mapInArrow(_searched(percent), "u long, v long"), name)
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
@@ -363,7 +368,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
                        "text")
     context = docs.sparkSession.sparkContext
-    read = settled(shingled(rows, words), "shingled")
+    read = _written(shingled(rows, words), "shingled")
     counts = context.broadcast(Packed(shingle_counts(
         read.where("slice IS NOT NULL").select("slice", "data"))))
     given = read.where("slice IS NULL").select("doc_id", "row_key", "n", "cid")
@@ -385,9 +390,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                  pa.array(list(map(len, found)), pa.int32()),
                  pa.array(first, pa.list_(pa.int64()))], ["cid", "n", "prefix"])
 
-    prefixes = settled(rows.select("row_key", "text").mapInArrow(
+    prefixes = _written(rows.select("row_key", "text").mapInArrow(
         prefixed, "cid long, n int, prefix array<long>"), "prefixes")
-    shipped = context.broadcast(bitmap(settled(repeats(prefixes.select("prefix")), "repeats")))
+    shipped = context.broadcast(bitmap(_written(repeats(prefixes.select("prefix")), "repeats")))
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Prefixes, shingle by shingle, of classes that may have enough in common."""
@@ -414,8 +419,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
     met = (prefixes.mapInArrow(enough, "cid long, n int, at int, token long")
            .repartition("token").dropDuplicates(["token", "cid"]))
     by_token = Window.partitionBy("token")
-    met = settled(met.withColumn("classes", F.count("*").over(by_token)).where("classes > 1")
-                  .drop("classes"), "in-common")
+    met = _written(met.withColumn("classes", F.count("*").over(by_token)).where("classes > 1")
+                   .drop("classes"), "in-common")
     length = F.expr(f"n + 1 - ({percent} * n + 99) div 100")  # as in prefix, in_common
     kept = settled(
         met.groupBy("cid", "n").agg(F.count("*").alias("common"))
@@ -448,7 +453,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90,
                  pa.array([ordered(f, counts.value.array).tobytes() for f in found], pa.binary())],
                 ["cid", "n", "tokens"])
 
-    sets = settled(rows.select("row_key", "text").mapInArrow(
+    sets = _written(rows.select("row_key", "text").mapInArrow(
         whole, "cid long, n int, tokens binary"), "sets")
 
     best = members.groupBy("cid").agg(F.max(F.struct("sharing", "blocks", "token")).alias("best"))
